@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from weft.llm import exact_dedup, sharding
+import public_tokenizers
+
+from weft.llm import exact_dedup, packing, sharding, simhash_dedup, token_store
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash_dedup(spark, sf_dir):
+    return simhash_dedup.near_groups(_table(spark, sf_dir, "documents"))
+
+
+def op5_token_store(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_store.store_documents(_table(spark, sf_dir, "documents"), str(path), end_id=1)
+
+
+def op6_packing(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), str(path), end_id=0)
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +46,9 @@ FROM t JOIN g ON t.norm = g.norm
 
 def queries():
     return {
+        "op3_simhash_dedup": op3_simhash_dedup,
+        "op5_token_store": op5_token_store,
+        "op6_packing": op6_packing,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_sharding": op9_sharding,
     }
