@@ -191,13 +191,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> Non
     dtype = id_type(tokenizer)
 
     def make():
-        encode = encoder(tokenizer)
-        end = np.array([end_id], dtype).tobytes()
+        encode = encoder(tokenizer).encode
 
         def encoded(doc_ids, texts):
             numbers = doc_ids.to_pandas().fillna(-(1 << 63)).to_numpy().astype(np.int64)
             shard = np.searchsorted(bounds, numbers, "right")
-            return [pa.array([x + end for x in encode.encode(texts.to_pylist())], pa.binary()), pa.array(shard)]
+            return [encode(texts, end_id), pa.array(shard)]
 
         return encoded
 

@@ -14,27 +14,34 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from weft.llm.common import append_columns
 
 #: White space of the byte-level pattern, as a character class.
-_WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECES = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+_WHITE = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Ends a piece of a byte-level vocabulary: white space and the word behind it.
+_CUT = "\0"
 #: Letters that neither normalisation nor lower case turns into several.
-_PLAIN = re.compile(r"[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+")
-#: Pieces that a worker remembers, and the longest such piece.
-REMEMBERED, LONGEST = 600_000, 64
-#: Characters of text that are looked up together, and plain pieces encoded in one call.
-_TOGETHER, _JOINED = 1 << 20, 2000
+_LETTERS = "A-Za-zß-öø-ÿÀ-ÖØ-Þ"
+#: Pieces that can be encoded next to others and told apart again, by kind of
+#: vocabulary: words without apostrophes, or one white space and a word.
+_PLAIN_WORD = re.compile(f"[{_LETTERS}0-9!-&(-/:-@[-`{{-~]+")
+_PLAIN_BYTES = re.compile(r"[ \n][^\s\x1c-\x1f]+")
+_PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+#: Pieces of either generation that a worker remembers, and the longest such piece.
+REMEMBERED, LONGEST = 500_000, 64
+#: Bytes of text that are looked up together, and plain pieces encoded in one call.
+_TOGETHER, _JOINED = 8 << 20, 2000
 
 
 class Encoder:
     """Encodes whole texts to the bytes of arrays of ids, of type self.dtype.
 
-    A text that holds the text of an added token is encoded in one piece. Null
-    and empty texts have no ids.
+    Texts are cut in pieces and distinct pieces looked up; ids are gathered by
+    array operations. A text that holds the text of an added token is encoded
+    in one piece. Null and empty texts have no ids.
     """
 
     def __init__(self, path: str):
@@ -44,69 +51,107 @@ class Encoder:
         vocabulary = self._tokenizer.get_vocab()
         self.dtype = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
         added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._whole = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self._whole = "|".join(map(re.escape, [*added, _CUT]))
         kind = str(self._tokenizer.pre_tokenizer)
         # Word vocabularies drop white space: words alone carry the ids.
         self._words = "Split" in kind
         if not self._words and "use_regex=True" not in kind:
             raise ValueError("unknown kind of tokenizer: its pieces can't be told")
-        # One token of a plain piece has the word end, or the space before it.
+        # One token of each part of a plain word has the word end; the first
+        # token of a plain byte-level piece has the white space.
         self._edge = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._edge[[i for t, i in vocabulary.items() if (t.endswith("</w>") if self._words else t.startswith("Ġ"))]] = True
+        edge = (lambda t: t.endswith("</w>")) if self._words else (lambda t: t[0] in "ĠĊ")
+        self._edge[[i for t, i in vocabulary.items() if edge(t)]] = True
+        # When the younger generation is full, it replaces the older one; what
+        # is met again comes back from there.
         self._memory: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+    def _encode(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _pieces(self, text: str) -> list[str]:
-        if not self._words:
-            return _PIECES.findall(text)
-        # str.split() has more white space than the words here.
-        return text.split() if text.isascii() and not re.search(r"[\x1c-\x1f]", text) else _WORDS.findall(text)
-
-    def _plain(self, pieces: list[str]) -> bool:
-        """Encode plain pieces in one call; False if the ids can't be told apart."""
-        ids = self._encode((" " if self._words else "").join(pieces))
+    def _plain(self, pieces: list[str]) -> None:
+        """Encode plain pieces in one call, or each if the ids can't be told apart."""
+        data = self._encode((" " if self._words else "").join(pieces))
+        ids = np.frombuffer(data, self.dtype)
         edges = np.flatnonzero(self._edge[ids])
-        if len(edges) != len(pieces):
-            return False
-        data, size = ids.tobytes(), self.dtype.itemsize
-        cuts = np.r_[0, edges + 1] if self._words else np.r_[edges, len(ids)]
-        cuts = (cuts * size).tolist()
+        parts = np.cumsum([len(_PARTS.findall(p)) for p in pieces]) if self._words else np.arange(1, len(pieces) + 1)
+        if len(edges) != parts[-1]:
+            self._memory.update((p, self._encode(p)) for p in pieces)
+            return
+        cuts = np.r_[0, edges[parts - 1] + 1] if self._words else np.r_[edges, len(ids)]
+        cuts = (cuts * self.dtype.itemsize).tolist()
         self._memory.update((p, data[a:b]) for p, a, b in zip(pieces, cuts, cuts[1:]))
-        return True
-
-    def _learn(self, wanted: set[str]) -> None:
-        new = wanted.difference(self._memory)
-        if len(self._memory) + len(new) > REMEMBERED:
-            self._memory.clear()
-            new = wanted
-        skip = 0 if self._words else 1
-        plain = [p for p in new if p[:skip] in ("", " ") and _PLAIN.fullmatch(p, skip)]
+
+    def _lookup(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        if len(self._memory) + len(pieces) > REMEMBERED:
+            self._memory, self._older = {}, self._memory
+        new = [p for p in pieces if p not in self._memory]
+        older, unknown = self._older, []
+        for p in new:
+            if (ids := older.get(p)) is None:
+                unknown.append(p)
+            else:
+                self._memory[p] = ids
+        pattern = _PLAIN_WORD if self._words else _PLAIN_BYTES
+        plain = list(filter(pattern.fullmatch, unknown))
         for at in range(0, len(plain), _JOINED):
-            part = plain[at : at + _JOINED]
-            if not self._plain(part):
-                self._memory.update((p, self._encode(p).tobytes()) for p in part)
-        self._memory.update((p, self._encode(p).tobytes()) for p in new.difference(plain))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, as bytes."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            group, held = [], 0
-            while at < len(texts) and held < _TOGETHER:
-                text = texts[at] or ""
-                group.append(text if self._whole.search(text) else self._pieces(text))
-                held += len(text)
-                at += 1
-            wanted = set().union(*[g for g in group if isinstance(g, list)])
-            self._learn(wanted)
-            get = self._memory.__getitem__
-            out += [self._encode(g).tobytes() if isinstance(g, str) else b"".join(map(get, g)) for g in group]
-            for p in [p for p in wanted if len(p) > LONGEST]:
+            self._plain(plain[at : at + _JOINED])
+        self._memory.update((p, self._encode(p)) for p in set(unknown).difference(plain))
+        found = list(map(self._memory.__getitem__, pieces))
+        for p in unknown:
+            if len(p) > LONGEST:
                 del self._memory[p]
-        return out
+        return found
+
+    def _split(self, texts: pa.Array) -> pa.Array:
+        """The pieces of each text; empty ones stand for nothing."""
+        marks = f"([{_LETTERS}])([.,;:!?|])"
+        if self._words:
+            # A mark is a word of its own behind letters, and case does not count.
+            return pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), marks, r"\1 \2"))
+        cut = pc.replace_substring_regex(texts, marks, f"\\1{_CUT}\\2")
+        # Before a lone space or line end is a cut; runs of white space need their whole context.
+        runs = pc.match_substring_regex(cut, f"[{_WHITE}][ \n]")
+        lone = pc.if_else(runs, "", cut)
+        for white in (" ", "\n"):
+            lone = pc.replace_substring(lone, white, _CUT + white)
+        rest = pc.replace_substring_regex(pc.if_else(runs, cut, ""), f"([{_WHITE}]*[^{_WHITE}{_CUT}]+)", f"\\1{_CUT}")
+        return pc.split_pattern(pc.if_else(runs, rest, lone), _CUT)
+
+    def _gather(self, texts: pa.Array, end: bytes) -> list[pa.Array]:
+        lists = self._split(texts)
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        found = [*self._lookup(pieces), end]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        table, starts = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        order = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(pieces))
+        counts = sizes[order]
+        through = np.cumsum(counts)
+        ids = table[np.repeat(starts[order] - (through - counts), counts) + np.arange(int(through[-1]))]
+        cuts = np.r_[0, through[ends + np.arange(len(ends))]] * self.dtype.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)])
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> pa.Array:
+        """The ids of each text, and the end id if there is one, as a binary array."""
+        close = b"" if end is None else np.array([end], self.dtype).tobytes()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        parts, at = [], 0
+        while at < len(texts):
+            stop = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _TOGETHER)) + 1
+            part = texts[at:stop]
+            whole = pc.match_substring_regex(part, self._whole)
+            ids = self._gather(pc.if_else(whole, "", part), close)
+            if pc.any(whole).as_py():
+                chosen = zip(whole.to_pylist(), part, ids, strict=True)
+                ids = pa.array([self._encode(t.as_py()) + close if w else i.as_py() for w, t, i in chosen], pa.large_binary())
+            parts.append(ids)
+            at = stop
+        return pa.concat_arrays(parts).cast(pa.binary()) if parts else pa.array([], pa.binary())
 
 
 def encoder(path: str) -> Encoder:
@@ -124,9 +169,8 @@ def with_ids(docs: DataFrame, path: str, end_id: int, text: str = "text", name:
     """
 
     def make():
-        encode = encoder(path)
-        end = np.array([end_id], encode.dtype).tobytes()
-        return lambda column: [pa.array([ids + end for ids in encode.encode(column.to_pylist())], pa.binary())]
+        encode = encoder(path).encode
+        return lambda column: [encode(column, end_id)]
 
     return append_columns(docs, [text], make, f"{name} binary")
 
