@@ -4,17 +4,40 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from weft.llm import exact_dedup, packing, sharding, simhash_dedup, token_store
+from weft.llm import (
+    embed_dedup,
+    exact_dedup,
+    langid,
+    license_scan,
+    mixing,
+    packing,
+    secret_scan,
+    sharding,
+    simhash_dedup,
+    token_store,
+)
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark, sf_dir):
+    return langid.identify_documents(_table(spark, sf_dir, "documents"))
+
+
+def op2_embedding_dedup(spark, sf_dir):
+    return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_dedup(spark, sf_dir):
     return simhash_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark, sf_dir):
+    return mixing.mix_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_store.store_documents(_table(spark, sf_dir, "documents"), str(path), end_id=1)
@@ -25,6 +48,10 @@ def op6_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), str(path), end_id=0)
 
 
+def op7_license_scan(spark, sf_dir):
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +60,10 @@ def op9_sharding(spark, sf_dir):
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark, sf_dir):
+    return secret_scan.scan_documents(_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -46,11 +77,16 @@ FROM t JOIN g ON t.norm = g.norm
 
 def queries():
     return {
+        "op1_language_id": op1_language_id,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op3_simhash_dedup": op3_simhash_dedup,
+        "op4_mixing": op4_mixing,
         "op5_token_store": op5_token_store,
         "op6_packing": op6_packing,
+        "op7_license_scan": op7_license_scan,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_sharding": op9_sharding,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
