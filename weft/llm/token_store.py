@@ -87,9 +87,12 @@ class Shard:
         """Rules for frequent pairs, numbered from size, and the sequence that uses them."""
         none = np.zeros(0, np.uint32)
         a, b = sequence[:-1], sequence[1:]
-        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - _COUNTER_BITS)
+        slot = a * np.uint32(0x9E3779B1)
+        slot += b * np.uint32(0x85EBCA77)
+        slot >>= np.uint32(32 - _COUNTER_BITS)
         slot = slot.astype(np.int64)
-        slot[(a == 0) | (b == 0)] = 1 << _COUNTER_BITS
+        ends = np.flatnonzero(sequence == 0)
+        slot[ends[ends < len(slot)]] = slot[ends[ends > 0] - 1] = 1 << _COUNTER_BITS
         counts = np.bincount(slot, minlength=(1 << _COUNTER_BITS) + 1)[:-1]
         often = np.flatnonzero(counts >= LEAST_USES)
         if len(often) > ROUND_RULES:

@@ -31,9 +31,9 @@ _PLAIN_WORD = re.compile(f"[{_LETTERS}0-9!-&(-/:-@[-`{{-~]+")
 _PLAIN_BYTES = re.compile(r"[ \n][^\s\x1c-\x1f]+")
 _PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 #: Pieces of either generation that a worker remembers, and the longest such piece.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: Bytes of text that are looked up together, and plain pieces encoded in one call.
-_TOGETHER, _JOINED = 8 << 20, 2000
+_TOGETHER, _JOINED = 4 << 20, 2000
 
 
 class Encoder:
@@ -85,9 +85,10 @@ class Encoder:
 
     def _lookup(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces."""
-        if len(self._memory) + len(pieces) > REMEMBERED:
-            self._memory, self._older = {}, self._memory
         new = [p for p in pieces if p not in self._memory]
+        if len(self._memory) + len(new) > REMEMBERED:
+            self._memory, self._older = {}, self._memory
+            new = pieces
         older, unknown = self._older, []
         for p in new:
             if (ids := older.get(p)) is None:
