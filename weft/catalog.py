@@ -1,9 +1,11 @@
 """Registry of the profile-alignment queries and their SQL equivalents."""
 
+from weft.plans import alignments, relational
+
 
 def queries():
-    return {}
+    return {**relational.QUERIES, **alignments.QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return {**relational.ORACLE, **alignments.ORACLE}
