@@ -115,6 +115,23 @@ def test_all_routes_of_input_give_the_same(spark, files):
     assert texts[0] == texts[1] and [t.replace("-", "") for t in texts[0][1::2]] == ["GHK", "AC", "D"]
 
 
+def test_command_line_routes(spark, files):
+    from weft import cli
+
+    read = lambda name: [r.value for r in spark.read.text(str(files / name)).collect()]
+    one, two, listed = (str(files / n) for n in ("one.gmat", "two.gmat.gz", "list.dat"))
+    common = ["--tree_type", "UPGMA", "--score_type", "dot_product"]
+    cli.run(spark, ["--in", f"{one},{two}", "--out", str(files / "a"), "--out_stats", str(files / "s"), "--out_matrix", str(files / "m"), *common])
+    cli.run(spark, ["--in_list", listed, "--in_stats", next(str(p) for p in (files / "s").glob("part-*")), "--out", str(files / "b.gz"), *common])
+    assert read("a") == read("b.gz") and read("a")[0::2] == [">one", ">two some words\t", ">three"]
+    assert len(read("s")) == 4 and read("m")[0].startswith(">") and read("m")[-1].startswith("@")
+    found = cli.run(spark, ["--in_list", listed, "--a3m_pairwise", "--alignment_type", "local", "--out", str(files / "c")])
+    assert read("c")[:2] == [">one", "GHK"] and found["a3m"].count() == 2
+    (files / "x.fas").write_text(">q\nMKVLA\n>t\nMKLA\n>u\nMKVVLA\n")
+    cli.run(spark, ["--in_fasta", str(files / "x.fas"), "--normalize", "false", "--score_type", "dot_product", "--out", str(files / "f")])
+    assert [t.replace("-", "") for t in read("f")[1::2]] == ["MKVLA", "MKLA", "MKVVLA"]
+
+
 def test_gmat_writer(spark, files):
     lines = [r.line for r in sinks.gmat_lines(text.read_gmat(spark, [str(files / "two.gmat.gz")])).orderBy("seq_ord", "pos", "part").collect()]
     assert lines[:3] == [">two some words\t", "@\t1.00000\t0.00000\t0.10000\t0.90000", "A\t1.00000\t2.00000\t3.00000\t4.00000"]

@@ -337,6 +337,16 @@ def aligned_rows(spark, whole: Profile, score: float) -> DataFrame:
     return spark.createDataFrame(rows, "name string, aligned string, last_merge_score double")
 
 
+def merged_profile(spark, whole: Profile, member: int = 0) -> DataFrame:
+    """A merged profile in long form, named after a member whose aligned residues it shows."""
+    text, size = whole.aligned(member), len(whole)
+    rows = [
+        (0, whole.names[member], i, text[i] if i < size else None, whole.vec[i].tolist() if i < size else [0.0] * whole.vec.shape[1], *map(float, whole.gap[i]))
+        for i in range(size + 1)
+    ]
+    return spark.createDataFrame(rows, "seq_ord int, name string, pos int, residue string, vec array<double>, " + ", ".join(f"{c} double" for c in _STATE))
+
+
 def edge_alignment(packed: DataFrame, edges: list[tuple[int, int]], options: AlignOptions, merge_all: bool = True) -> list[tuple[Profile, float]]:
     """Merges along given edges (places in seq_ord order), for collections that fit the driver."""
     profiles = [unpack(r.name, r.columns) for r in packed.orderBy("seq_ord").collect()]
