@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import vectors as V
 from weft.functions.blosum import BLOSUM62, parse_matrix
-from weft.operators import pairs, stats, strings
+from weft.operators import graph, pairs, stats, strings
 from weft.plans.tables import (
     ALIGNED_SQL,
     LONG_SQL,
@@ -314,6 +314,16 @@ def tree_leaves(spark, sf_dir):
     return spark.createDataFrame(rows, "node int, leaf int")
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT vec_id AS a, vec_id // 3 AS b FROM embeddings WHERE vec_id % 5 <> 0),
+s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS node, a AS to_ FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.to_)
+SELECT node, min(to_) AS root FROM r GROUP BY node""")
+def union_find(spark, sf_dir):
+    ids = table(spark, sf_dir, "embeddings").where("vec_id % 5 <> 0")
+    return graph.smallest_reachable(ids.select(F.col("vec_id").alias("a"), F.floor(F.col("vec_id") / 3).alias("b")))
+
+
 @query(f"""
 WITH {POSITIONS_SQL}, {LONG_SQL}, {_MEANS_SQL}, d AS (
   SELECT b.vec_id AS id, a.seq_ord AS side, {_EUCLID} AS d FROM means a JOIN positions b ON a.seq_ord < 2

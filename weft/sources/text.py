@@ -96,9 +96,10 @@ def parse_profiles(records: DataFrame) -> DataFrame:
     )
 
 
-def read_gmat(spark, paths: list[str]) -> DataFrame:
-    """Profiles of GMAT files, in long form."""
-    return parse_profiles(split_records(whole_files(spark, paths)))
+def read_gmat(spark, paths: list[str], max_records: int | None = None) -> DataFrame:
+    """Profiles of GMAT files, in long form; the first max_records ones if given."""
+    profiles = parse_profiles(split_records(whole_files(spark, paths)))
+    return profiles if max_records is None else profiles.where(F.col("seq_ord") < max_records)
 
 
 def parse_fasta(files: DataFrame, keep_space: bool = False) -> DataFrame:
@@ -165,7 +166,7 @@ def parse_stats(lines: DataFrame) -> DataFrame:
     useful = lines.where((F.length("line") >= 2) & ~F.col("line").startswith("#")).withColumn("m", pairs)
 
     def value(key):
-        found = F.get("m", F.lit(key)) if False else F.col("m")[key]
+        found = F.col("m")[key]
         kind = "long" if key == "count" else "double"
         return F.when(found.isNotNull(), found.cast(kind)).otherwise(F.raise_error(F.lit(f"no {key}")).cast(kind)).alias(key)
 
