@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 
 import pyarrow as pa
@@ -15,6 +17,9 @@ SPACE = r"[\x20\x09-\x0D]"
 #: ones go through a shuffled join. 500,000 rows are about 32 MB when hashed.
 BROADCAST_ROWS = 500_000
 
+#: Bytes of an Arrow batch that a task exchanges with Python, about.
+BATCH_BYTES = 4 << 20
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept in the session's checkpoint folder."""
@@ -34,6 +39,26 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def small_batches(spark) -> None:
+    """Arrow batches of at most BATCH_BYTES, from here on in this session.
+
+    A batch is held several times over by the executor and by Python; by
+    default it may have 64 MB.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+    if size is None or not 0 < int(size[1]) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release_memory() -> None:
+    """Give back what a task has freed: an idle Python worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs of non-space characters; 0 for null."""
     trimmed = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
@@ -62,8 +87,11 @@ def append_columns(df: DataFrame, inputs: list[str], make, fields: str) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(count)), *new], names=schema_names
             )
+        del compute
+        release_memory()
 
     schema_names = schema.fieldNames()
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

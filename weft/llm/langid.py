@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weft.llm.common import append_columns
+from weft.llm.common import append_columns, release_memory, small_batches
 
 DIMENSIONS, GRAM, SEED = 1024, 3, 1
 #: Letters a-z have slots of their own; all others share the rest by a hash.
@@ -144,7 +144,10 @@ def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang")
             [pa.array(names, pa.string()), pa.array([sums[n].tolist() for n in names], pa.list_(pa.int64()))],
             names=["lang", "bundle"],
         )
+        del bundler
+        release_memory()
 
+    small_batches(labelled.sparkSession)
     rows = labelled.select(text, lang).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     parts = rows.mapInArrow(bundle, "lang string, bundle array<long>")
     sums = parts.select("lang", F.posexplode("bundle")).groupBy("lang", "pos").agg(F.sum("col").alias("v"))

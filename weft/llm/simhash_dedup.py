@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.common import append_columns, bounded, checkpointed, connected_components, forest
+from weft.llm.common import append_columns, bounded, checkpointed, connected_components, forest, release_memory
 
 #: Fingerprints link at this many differing bits or fewer.
 DISTANCE = 2
@@ -174,6 +174,7 @@ def _links(batches):
             keys, fps = keys[last:], fps[last:]
     if len(keys):
         yield closed(keys, fps)
+    release_memory()
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:

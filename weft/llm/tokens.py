@@ -31,7 +31,7 @@ _PLAIN_WORD = re.compile(f"[{_LETTERS}0-9!-&(-/:-@[-`{{-~]+")
 _PLAIN_BYTES = re.compile(r"[ \n][^\s\x1c-\x1f]+")
 _PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 #: Pieces of either generation that a worker remembers, and the longest such piece.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 #: Bytes of text that are looked up together, and plain pieces encoded in one call.
 _TOGETHER, _JOINED = 4 << 20, 2000
 
@@ -40,18 +40,17 @@ class Encoder:
     """Encodes whole texts to the bytes of arrays of ids, of type self.dtype.
 
     Texts are cut in pieces and distinct pieces looked up; ids are gathered by
-    array operations. A text that holds the text of an added token is encoded
-    in one piece. Null and empty texts have no ids.
+    array operations. Names of special tokens in a text are ordinary text, so
+    that no document can set one. Null and empty texts have no ids.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = True  # the text of one is ordinary text
         vocabulary = self._tokenizer.get_vocab()
         self.dtype = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
-        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._whole = "|".join(map(re.escape, [*added, _CUT]))
         kind = str(self._tokenizer.pre_tokenizer)
         # Word vocabularies drop white space: words alone carry the ids.
         self._words = "Split" in kind
@@ -145,7 +144,7 @@ class Encoder:
         while at < len(texts):
             stop = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _TOGETHER)) + 1
             part = texts[at:stop]
-            whole = pc.match_substring_regex(part, self._whole)
+            whole = pc.match_substring(part, _CUT)  # rare: encoded in one piece
             ids = self._gather(pc.if_else(whole, "", part), close)
             if pc.any(whole).as_py():
                 chosen = zip(whole.to_pylist(), part, ids, strict=True)
