@@ -21,14 +21,17 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 def language_id(spark, docs, sf_dir):
     """Keeps the documents that have a language: those without letters go."""
     profiles = langid.train_profiles(langid.training_rows(docs))
-    found = langid.predict_language(docs, profiles)
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # whatever columns docs has, they stay
+    found = langid.predict_language(rows, profiles)
+    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select("row.*")
 
 
 def _keep(docs, kept):
     """The rows of docs whose doc_id is in kept(doc_id), once each."""
     kept = checkpointed(kept)
-    return docs.join(bounded(kept), "doc_id", "left_semi").select(*docs.columns)
+    rows = docs.join(bounded(kept), "doc_id", "left_semi").select(*docs.columns)
+    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return rows.dropDuplicates(["doc_id"]) if repeated else rows
 
 
 def exact_dedup_stage(spark, docs, sf_dir):

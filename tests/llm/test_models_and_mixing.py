@@ -95,6 +95,12 @@ def test_schedule_is_even_and_ranks_slots(spark):
             assert abs(sum(r.source == source for r in rows[:at]) - share * at) < 6
 
 
+def test_schedule_reaches_sources_of_one_slot(spark):
+    words = [1_000_000, 3, 2, 1, 1]
+    rows = mixing.schedule(spark, [1_500_000.0, 6.0, 4.0, 2.0, 1.0], words, 64).groupBy("source").agg(F.sum("take").alias("n")).collect()
+    assert {r.source: r.n for r in rows} == {0: 1_500_000, 1: 6, 2: 4, 3: 2, 4: 1}
+
+
 def test_mixed_rows_hold_the_words_taken(spark):
     rows = [r for r in documents(100) if r[1] and r[1].strip()]
     docs = frame(spark, rows)
@@ -234,6 +240,16 @@ def test_pipeline(spark):
         assert docs.columns == columns
 
 
+def test_stages_keep_clashing_columns_and_drop_repeated_rows(spark):
+    rows = documents(40)
+    docs = frame(spark, rows + rows[5:9], True)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and {r.score for r in out.select("score").collect()} == {"x"}
+        if name != "language_id":
+            assert out.count() == out.select("doc_id").distinct().count()
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for result in (langid.identify_documents(empty), mixing.mix_documents(empty), secret_scan.scan_documents(empty), license_scan.scan(empty)):

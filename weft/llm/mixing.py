@@ -27,8 +27,10 @@ STEP, PER_BUCKET = 1 << 16, 4096
 SOURCES_BROADCAST = 10_000
 #: Golden ratio in 31 bits (odd, so that all points differ within a period).
 _GOLDEN, _PERIOD = 1327217885, 1 << 31
-#: Slots beyond the words of the mix, for sources that the points leave short.
-_SPARE = 64
+#: Points for each slot of the mix. Gaps between golden-ratio points are below
+#: 1.9 over their number, so this many reach every source as often as it needs;
+#: what is too many for a source is left out.
+_POINTS = 3
 
 
 def capped_targets(sizes: list[int], weights: list[float], total: float, cap: float = EPOCHS) -> list[float]:
@@ -67,7 +69,7 @@ def schedule(spark, targets: list[float], words: list[int], block: int = BLOCK_W
     share = need / max(1, need.sum())
     edges = np.cumsum(share)
     edges[-1:] = 1.0
-    slots = int(need.sum() * 1.01) + _SPARE * len(targets)
+    slots = _POINTS * int(need.sum())
     steps = -(-slots // STEP)
 
     def sources(step: int) -> np.ndarray:
