@@ -97,9 +97,12 @@ def feature_robustness(base: DataFrame, shifted: DataFrame, stats: DataFrame | N
     base has (seq, pos, vec), shifted (seq, offset, pos, vec) with positions
     counted from its own start. With statistics, distances are in deviations.
     """
-    b = by_dimension(base, "seq", "pos").withColumnRenamed("x", "base_x")
-    s = by_dimension(shifted.withColumn("pos", F.col("pos") + F.col("offset")), "seq", "offset", "pos")
-    sums = b.join(s, ["seq", "pos", "dim"]).groupBy("dim").agg(F.sum(F.abs(F.col("base_x") - F.col("x"))).alias("absdiff"))
+    b = base.select("seq", "pos", F.col("vec").cast("array<double>").alias("base_vec"))
+    s = shifted.select("seq", (F.col("pos") + F.col("offset")).alias("pos"), F.col("vec").cast("array<double>").alias("vec"))
+    # Vectors are joined whole; only their distances are taken apart.
+    distance = F.zip_with("base_vec", "vec", lambda x, y: F.abs(x - y))
+    parts = b.join(s, ["seq", "pos"]).select(F.posexplode(distance).alias("dim", "x"))
+    sums = parts.groupBy("dim").agg(F.sum("x").alias("absdiff"))
     if stats is None:
         return sums
     return sums.join(F.broadcast(stats.select("dim", "var")), "dim").select("dim", (F.col("absdiff") / F.sqrt("var")).alias("absdiff"))
