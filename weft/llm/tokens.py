@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from weft.llm.common import append_columns
+from weft.llm.common import append_columns, release_memory
 
 #: White space of the byte-level pattern, as a character class.
 _WHITE = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -120,20 +120,26 @@ class Encoder:
         rest = pc.replace_substring_regex(pc.if_else(runs, cut, ""), f"([{_WHITE}]*[^{_WHITE}{_CUT}]+)", f"\\1{_CUT}")
         return pc.split_pattern(pc.if_else(runs, rest, lone), _CUT)
 
-    def _gather(self, texts: pa.Array, end: bytes) -> list[pa.Array]:
+    def _gather(self, texts: pa.Array, end: bytes) -> pa.Array:
         lists = self._split(texts)
         coded = lists.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        found = [*self._lookup(pieces), end]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        table, starts = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
         ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
-        order = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(pieces))
+        del lists
+        found = [*self._lookup(coded.dictionary.to_pylist()), end]
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // self.dtype.itemsize
+        table = np.frombuffer(b"".join(found), self.dtype)
+        order = np.insert(coded.indices.to_numpy(), ends, len(found) - 1)
+        del coded, found
         counts = sizes[order]
-        through = np.cumsum(counts)
-        ids = table[np.repeat(starts[order] - (through - counts), counts) + np.arange(int(through[-1]))]
+        through = np.cumsum(counts, dtype=np.int64)
         cuts = np.r_[0, through[ends + np.arange(len(ends))]] * self.dtype.itemsize
-        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)])
+        # Where each id comes from: a piece's place in the table, and on from there.
+        shift = (np.cumsum(sizes, dtype=np.int64) - sizes)[order] - (through - counts)
+        places = np.repeat(shift.astype(np.int32), counts)
+        del order, shift, counts
+        places += np.arange(len(places), dtype=np.int32)
+        ids = table[places]
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
 
     def encode(self, texts: pa.Array, end: int | None = None) -> pa.Array:
         """The ids of each text, and the end id if there is one, as a binary array."""
@@ -151,6 +157,7 @@ class Encoder:
                 ids = pa.array([self._encode(t.as_py()) + close if w else i.as_py() for w, t, i in chosen], pa.large_binary())
             parts.append(ids)
             at = stop
+            release_memory()  # else what is freed here stays with the worker
         return pa.concat_arrays(parts).cast(pa.binary()) if parts else pa.array([], pa.binary())
 
 
