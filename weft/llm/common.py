@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
+import sys
 import tempfile
 
 import pyarrow as pa
@@ -17,6 +19,9 @@ SPACE = r"[\x20\x09-\x0D]"
 #: ones go through a shuffled join. 500,000 rows are about 32 MB when hashed.
 BROADCAST_ROWS = 500_000
 
+#: Name under which a worker process keeps its token encoders.
+ENCODERS = "_weft_encoders"
+
 #: Bytes of an Arrow batch that a task exchanges with Python, about.
 BATCH_BYTES = 4 << 20
 
@@ -59,6 +64,13 @@ def release_memory() -> None:
         trim(0)
 
 
+def forget_encoders() -> None:
+    """Drop the token pieces that this worker remembers: it has turned to another operator."""
+    if sys.modules.pop(ENCODERS, None) is not None:
+        gc.collect()
+        release_memory()
+
+
 def word_count(text: Column) -> Column:
     """Number of maximal runs of non-space characters; 0 for null."""
     trimmed = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weft.llm.common import append_columns, release_memory, small_batches
+from weft.llm.common import append_columns, forget_encoders, release_memory, small_batches
 
 DIMENSIONS, GRAM, SEED = 1024, 3, 1
 #: Letters a-z have slots of their own; all others share the rest by a hash.
@@ -131,6 +131,7 @@ def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang")
     """
 
     def bundle(batches):
+        forget_encoders()
         bundler, sums = Bundler(), {}
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -172,6 +173,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], text: str
     prototypes = np.array([profiles[n] for n in names], np.float32).reshape(len(names), DIMENSIONS)
 
     def make():
+        forget_encoders()
         bundler = Bundler()
 
         def predict(column):

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.common import append_columns, bounded, checkpointed, connected_components, forest, release_memory
+from weft.llm.common import append_columns, bounded, checkpointed, connected_components, forest, forget_encoders, release_memory
 
 #: Fingerprints link at this many differing bits or fewer.
 DISTANCE = 2
@@ -108,6 +108,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "simhash"
     """docs with a long column that holds the 64 bits of each text's fingerprint."""
 
     def make():
+        forget_encoders()
         return lambda column: [pa.array(fingerprints(column.to_pylist()).view(np.int64))]
 
     return append_columns(docs, [text], make, f"{name} long")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weft.llm.common import append_columns, checkpointed
+from weft.llm.common import append_columns, bounded, checkpointed
 from weft.llm.tokens import encoder, id_type
 
 #: Documents of a shard, on average.
@@ -101,9 +101,8 @@ class Shard:
             return none, none, sequence
         rule = np.full((1 << _COUNTER_BITS) + 1, -1, np.int32)
         rule[often] = np.arange(len(often))
-        rules = rule[slot]
-        at = np.flatnonzero(rules >= 0)
-        rules = rules[at]
+        at = np.flatnonzero((rule >= 0)[slot])
+        rules = rule[slot[at]]
         sample = np.zeros(len(often), np.int64)
         sample[rules[::-1]] = at[::-1]  # the first place of each counter tells its pair
         first = sample[rules]
@@ -243,7 +242,7 @@ def read_tokens(spark, path: str) -> DataFrame:
                 columns = [doc_ids, pa.array(begins + first), pa.array(sizes), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    joined = stored.select("shard", "data").join(starts, "shard").select("data", "first")
+    joined = stored.select("shard", "data").join(bounded(starts), "shard").select("data", "first")
     return joined.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

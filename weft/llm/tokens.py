@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from weft.llm.common import append_columns, release_memory
+from weft.llm.common import ENCODERS, append_columns, release_memory
 
 #: White space of the byte-level pattern, as a character class.
 _WHITE = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -30,8 +30,9 @@ _LETTERS = "A-Za-zß-öø-ÿÀ-ÖØ-Þ"
 _PLAIN_WORD = re.compile(f"[{_LETTERS}0-9!-&(-/:-@[-`{{-~]+")
 _PLAIN_BYTES = re.compile(r"[ \n][^\s\x1c-\x1f]+")
 _PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
-#: Pieces of either generation that a worker remembers, and the longest such piece.
-REMEMBERED, LONGEST = 250_000, 64
+#: Pieces of either generation that a worker remembers, of a word vocabulary and
+#: of a byte-level one (its pieces hold the white space too), and the longest such piece.
+REMEMBERED, LONGEST = {True: 400_000, False: 250_000}, 64
 #: Bytes of text that are looked up together, and plain pieces encoded in one call.
 _TOGETHER, _JOINED = 4 << 20, 2000
 
@@ -67,14 +68,15 @@ class Encoder:
         self._older: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
     def _plain(self, pieces: list[str]) -> None:
         """Encode plain pieces in one call, or each if the ids can't be told apart."""
         data = self._encode((" " if self._words else "").join(pieces))
         ids = np.frombuffer(data, self.dtype)
         edges = np.flatnonzero(self._edge[ids])
-        parts = np.cumsum([len(_PARTS.findall(p)) for p in pieces]) if self._words else np.arange(1, len(pieces) + 1)
+        counts = [1 if p.isalpha() or not self._words else len(_PARTS.findall(p)) for p in pieces]
+        parts = np.cumsum(counts)
         if len(edges) != parts[-1]:
             self._memory.update((p, self._encode(p)) for p in pieces)
             return
@@ -84,25 +86,30 @@ class Encoder:
 
     def _lookup(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces."""
-        new = [p for p in pieces if p not in self._memory]
-        if len(self._memory) + len(new) > REMEMBERED:
+        found = list(map(self._memory.get, pieces))
+        new = [n for n, ids in enumerate(found) if ids is None]
+        if len(self._memory) + len(new) > REMEMBERED[self._words]:
             self._memory, self._older = {}, self._memory
-            new = pieces
-        older, unknown = self._older, []
-        for p in new:
-            if (ids := older.get(p)) is None:
-                unknown.append(p)
+            new = list(range(len(pieces)))
+        memory, older, unknown = self._memory, self._older, []
+        for n in new:
+            piece = pieces[n]
+            if (ids := older.get(piece)) is None:
+                unknown.append(piece)
             else:
-                self._memory[p] = ids
+                memory[piece] = found[n] = ids
         pattern = _PLAIN_WORD if self._words else _PLAIN_BYTES
         plain = list(filter(pattern.fullmatch, unknown))
         for at in range(0, len(plain), _JOINED):
             self._plain(plain[at : at + _JOINED])
-        self._memory.update((p, self._encode(p)) for p in set(unknown).difference(plain))
-        found = list(map(self._memory.__getitem__, pieces))
+        if len(plain) < len(unknown):
+            memory.update((p, self._encode(p)) for p in set(unknown).difference(plain))
+        for n in new:
+            if found[n] is None:
+                found[n] = memory[pieces[n]]
         for p in unknown:
             if len(p) > LONGEST:
-                del self._memory[p]
+                del memory[p]
         return found
 
     def _split(self, texts: pa.Array) -> pa.Array:
@@ -163,7 +170,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process for a vocabulary file."""
-    held = sys.modules.setdefault("_weft_encoders", ModuleType("_weft_encoders"))
+    held = sys.modules.setdefault(ENCODERS, ModuleType(ENCODERS))
     if path not in held.__dict__:
         held.__dict__[path] = Encoder(path)
     return held.__dict__[path]
