@@ -27,22 +27,27 @@ def language_id(spark, docs, sf_dir):
 
 
 def _keep(docs, kept):
-    """The rows of docs whose doc_id is in kept(doc_id), once each."""
-    kept = checkpointed(kept)
-    rows = docs.join(bounded(kept), "doc_id", "left_semi").select(*docs.columns)
-    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return rows.dropDuplicates(["doc_id"]) if repeated else rows
+    """The rows of docs whose doc_id is in kept(doc_id), once each.
+
+    Rows without a doc_id can't be told apart: all stay if one of them is kept.
+    """
+    kept = checkpointed(kept.select(F.col("doc_id").alias("kept_id")))
+    rows = docs.join(bounded(kept), docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+    if kept.where("kept_id IS NOT NULL").groupBy("kept_id").count().where("count > 1").limit(1).count():
+        named = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+        return named.unionByName(rows.where("doc_id IS NULL"))
+    return rows
 
 
 def exact_dedup_stage(spark, docs, sf_dir):
     """Keeps the document with the smallest doc_id of each group of equal texts."""
-    return _keep(docs, exact_dedup.exact_groups(docs).where("kept").select("doc_id"))
+    return _keep(docs, exact_dedup.exact_groups(docs).where("kept"))
 
 
 def simhash_dedup_stage(spark, docs, sf_dir):
     """Keeps the document with the smallest doc_id of each group of near copies."""
     groups = simhash_dedup.near_groups(docs)
-    return _keep(docs, groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id"))
+    return _keep(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def mixing_stage(spark, docs, sf_dir):

@@ -250,6 +250,19 @@ def test_stages_keep_clashing_columns_and_drop_repeated_rows(spark):
             assert out.count() == out.select("doc_id").distinct().count()
 
 
+def test_stages_keep_documents_without_ids(spark):
+    named = [(i, f"document number {i} {'abcdefghij'[i]} about rivers and stones", "en", "s", 9) for i in range(10)]
+    docs = frame(spark, named + [(None, "first text without an id here", None, None, 9), (None, "second and longer text that has no id", "en", "s", 9)])
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, DATA)
+    texts = {r.text for r in docs.collect()}
+    assert {"first text without an id here", "second and longer text that has no id"} <= texts
+    mixed = corpus_pipeline.mixing_stage(spark, docs, DATA)
+    assert {r.doc_id for r in mixed.collect()} >= {None} and sum(len(WORD.findall(r.text)) for r in mixed.collect()) == pytest.approx(
+        1.5 * sum(len(WORD.findall(t)) for t in texts), abs=3
+    )
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for result in (langid.identify_documents(empty), mixing.mix_documents(empty), secret_scan.scan_documents(empty), license_scan.scan(empty)):

@@ -151,6 +151,10 @@ def _shuffled(docs: DataFrame, rows: int, seed: int) -> DataFrame:
     )
 
 
+def _text_crc32(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def mix_documents(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -158,7 +162,7 @@ def mix_documents(
     block: int = BLOCK_WORDS,
     seed: int = 4,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (and source).
+    """One row per document: doc_id, size, source_size, target, taken (and source, text_crc32).
 
     size is the number of words. The sources in code point order, null last,
     weigh weights in turn and share total times all words; see
@@ -169,7 +173,7 @@ def mix_documents(
     doc_id, text and source are ignored; an empty table gives an empty result.
     """
     narrow = docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("__tie")
+        "doc_id", "source", word_count(F.col("text")).alias("size"), _text_crc32(F.col("text")).alias("__tie")
     )
     narrow = checkpointed(narrow)
     found = narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
@@ -200,7 +204,7 @@ def mix_documents(
         .groupBy("__source", "__start")
         .agg(F.sum(F.greatest(end - begin, F.lit(0))).alias("__taken"))
     )
-    columns = ["doc_id", "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("long").alias("taken"), "source"]
+    columns = ["doc_id", "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("long").alias("taken"), "source", F.col("__tie").alias("text_crc32")]
     # Documents with words have places of their own on the lines; the others take none.
     with_words = lined.where("size > 0").join(taken, ["__source", "__start"], "left").select(*columns)
     return with_words.unionByName(lined.where("size = 0").withColumn("__taken", F.lit(0)).select(*columns))
@@ -211,11 +215,19 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
     A document that is taken in part beyond its whole rounds gives one more row
     with its first words. n_chars is set to the length of the text if docs has
-    it. Rows that share a doc_id must share text and source too.
+    it. Documents are told apart by doc_id, source and text, so rows that
+    repeat all three are taken alike; each may be null.
     """
-    taken = mix_documents(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), "size", "taken")
-    counts = checkpointed(taken.groupBy("__id").agg(F.first("size").alias("__size"), F.max("taken").alias("__taken")))
-    joined = docs.join(bounded(counts), docs.doc_id == F.col("__id"))
+    key = ["doc_id", "source", "text_crc32"]
+    taken = mix_documents(docs, **options).where("taken > 0")
+    counts = taken.groupBy(*[F.col(c).alias(f"__{c}") for c in key]).agg(F.first("size").alias("__size"), F.max("taken").alias("__taken"))
+    counts = checkpointed(counts)
+    same = (
+        docs.doc_id.eqNullSafe(F.col("__doc_id"))
+        & docs.source.eqNullSafe(F.col("__source"))
+        & (_text_crc32(docs.text) == F.col("__text_crc32"))
+    )
+    joined = docs.join(bounded(counts), same)
     rounds = joined.withColumn("__round", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")))))
     rest = F.least("__size", F.col("__taken") - (F.col("__round") - 1) * F.col("__size")).cast("int")
     text = F.when(rest == F.col("__size"), F.col("text")).otherwise(first_words(F.col("text"), rest))
