@@ -208,6 +208,29 @@ def test_license_scan(spark):
     assert (4000, "Apache-2.0") in got and not [k for k in got if k[0] < 2000]
 
 
+def test_license_scan_finds_short_notices_and_common_licenses(spark):
+    texts = {
+        1: "Words before. All  rights\nRESERVED. Words behind.", 2: "// SPDX-License-Identifier: MIT\nint x;", 3: "MIT License",
+        4: "all rights are reserved; rights reserved", 5: "# SPDX-License-Identifier: LGPL-2.1-or-later",
+        6: "This is free and unencumbered software released into the public domain.", 7: "SPDX-License-Identifier: ISC",
+        8: "and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS",
+        9: "provided with the distribution. 3. Neither the name of the holder may be used to endorse or promote products derived "
+        "from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS",
+        10: "All rights reserved. " * 3 + "# SPDX-License-Identifier: Apache-2.0", 11: None, 12: "MIT",
+    }
+    rows = [(i, t, None, None, 0) for i, t in texts.items()]
+    got = {(r.doc_id, r.license_id): r.n_places for r in license_scan.scan(frame(spark, rows, True)).collect()}
+    reserved = "LicenseRef-All-Rights-Reserved"
+    want = {(1, reserved), (2, "MIT"), (3, "MIT"), (5, "LGPL-2.1"), (6, "Unlicense"), (7, "ISC"), (8, "BSD-2-Clause"), (9, "BSD-3-Clause"), (10, reserved), (10, "Apache-2.0")}
+    assert got.keys() == want and got[10, reserved] == 3
+    gnu = "This program is free software; you can redistribute it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or any later version."
+    kinds = {"GPL-2.0": ("", "2"), "GPL-3.0": ("", "3"), "LGPL-2.1": ("Lesser ", "2.1"), "LGPL-3.0": ("Lesser ", "3"), "AGPL-3.0": ("Affero ", "3")}
+    sisters = frame(spark, [(i, gnu.format(*k), None, None, 0) for i, k in enumerate(kinds.values())])
+    assert sorted((r.doc_id, r.license_id) for r in license_scan.scan(sisters).collect()) == list(enumerate(kinds))
+    only_short = license_scan.scan(frame(spark, rows), [("x", "the holder")]).collect()
+    assert [(r.doc_id, r.n_places, r.containment) for r in only_short] == [(9, 1, 1.0)]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}

@@ -3,7 +3,8 @@
 Everything runs in DataFrame functions without a shuffle of texts. Words are
 runs of a-z and 0-9 of the lower-cased text. A window of WINDOW shingles
 collides with a template in a band if the band's least hash in the window is
-one of the template's shingles.
+one of the template's shingles. Templates below SHINGLE words are one shingle
+of their own length and compared word by word.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Words of a shingle, shingles of a window, and shingles between windows.
 SHINGLE, WINDOW, STRIDE = 5, 2, 1
 #: Slots of the table that is asked first whether a shingle is of a template.
-TABLE = 1 << 13
+TABLE = 1 << 15
 #: Share of a template's shingles that its place in the text must hold.
 CONTAINMENT = 0.8
 #: A single shared shingle of a window is to be found with this probability.
 COLLISION = 0.999
 
-# Public license notices, by SPDX identifier.
+# Public license notices, by SPDX identifier. A notice is cut to the words
+# that tell it from its sisters: these hold less than CONTAINMENT of its shingles.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
@@ -37,14 +39,16 @@ TEMPLATES = (
      rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
      persons to whom the Software is furnished to do so, subject to the following conditions"""),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
-     Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
-     later version."""),
-    ("GPL-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
-     Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any
-     later version."""),
-    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+    ("GPL-3.0", """terms of the GNU General Public License as published by the Free Software
+     Foundation, either version 3 of the License"""),
+    ("GPL-2.0", """terms of the GNU General Public License as published by the Free Software
+     Foundation, either version 2 of the License"""),
+    # The opening of all BSD licenses; their clauses and what follows them tell which one it is.
+    ("LicenseRef-BSD", """Redistribution and use in source and binary forms, with or without modification, are permitted provided
      that the following conditions are met"""),
+    ("BSD-2-Clause", "provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE"),
+    ("BSD-3-Clause", """may be used to endorse or promote products derived from this software without specific prior written
+     permission. THIS SOFTWARE IS PROVIDED BY THE"""),
     ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
      not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -52,8 +56,62 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("LGPL-2.1", """terms of the GNU Lesser General Public License as published by the Free Software
+     Foundation, either version 2.1 of the License"""),
+    ("LGPL-3.0", """terms of the GNU Lesser General Public License as published by the Free Software
+     Foundation, either version 3 of the License"""),
+    ("AGPL-3.0", """terms of the GNU Affero General Public License as published by the Free Software
+     Foundation, either version 3 of the License"""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+     granted, provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("ISC", """Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby
+     granted, provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("0BSD", "with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+     held liable for any damages arising from the use of this software."""),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "terms of the Eclipse Public License 2.0"),
+    ("EPL-2.0", "terms of the Eclipse Public License v2.0"),
+    # Openings of full texts.
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", """"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by
+     Sections 1 through 9 of this document."""),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3"),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    # Tags of five and more words; shorter ones are below.
+    *(
+        (license_id, f"SPDX-License-Identifier: {tag}")
+        for license_id, tag in (
+            ("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2.0"), ("GPL-3.0", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"),
+            ("LGPL-3.0", "LGPL-3.0"), ("AGPL-3.0", "AGPL-3.0"), ("BSD-2-Clause", "BSD-2-Clause"),
+            ("BSD-3-Clause", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0"), ("EPL-2.0", "EPL-2.0"), ("BSL-1.0", "BSL-1.0"),
+            ("CC0-1.0", "CC0-1.0"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"),
+            ("CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+        )
+    ),
 )
 
+# Notices below SHINGLE words. No license but a reservation has a LicenseRef.
+SHORT_TEMPLATES = (
+    ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
+    ("MIT", "MIT License"),
+    ("ISC", "ISC License"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
+    ("0BSD", "SPDX-License-Identifier: 0BSD"),
+    ("Zlib", "SPDX-License-Identifier: Zlib"),
+)
+
 
 def bands(window: int = WINDOW, collision: float = COLLISION) -> int:
     """Bands of one row that find one shared shingle in a window with that probability."""
@@ -81,26 +139,62 @@ def _mixed(hash_: Column, band: int) -> Column:
     return hash_.bitwiseXOR(F.lit(word - (1 << 64) if word >> 63 else word))
 
 
-def _templates(spark, templates) -> list[tuple[str, int, list[int]]]:
-    """License, words and distinct shingle hashes of each template; templates are a short list."""
+def _templates(spark, templates) -> tuple[list[tuple[str, int, list[int]]], list[tuple[str, list[str]]]]:
+    """License, words and distinct shingle hashes of each template, and license and words of those that have no shingle."""
     df = spark.createDataFrame([(i, lic, text) for i, (lic, text) in enumerate(templates)], "i int, license string, text string")
-    rows = df.select("i", "license", words_of(F.col("text")).alias("w")).select("i", "license", F.size("w").alias("n"), shingles_of(F.col("w")).alias("s")).orderBy("i").collect()
-    short = [templates[r.i][1] for r in rows if not r.s]
-    if short:
-        raise ValueError(f"templates need {SHINGLE} words: {short}")
-    return [(r.license, r.n, sorted(set(r.s))) for r in rows]
+    rows = df.select("i", "license", words_of(F.col("text")).alias("w")).select("i", "license", "w", shingles_of(F.col("w")).alias("s")).orderBy("i").collect()
+    blank = [templates[r.i][1] for r in rows if not r.w]
+    if blank:
+        raise ValueError(f"templates need words: {blank}")
+    return [(r.license, len(r.w), sorted(set(r.s))) for r in rows if r.s], [(r.license, r.w) for r in rows if not r.s]
+
+
+def _short_places(docs: DataFrame, short: list[tuple[str, list[str]]]) -> DataFrame:
+    """doc_id, at, license_id, containment: every place of a template below SHINGLE words."""
+    # A text without a template's longest word can't hold it.
+    rare = sorted({max(w, key=len) for _, w in short})
+    lower = F.lower(F.col("text"))
+    words = docs.where(reduce(lambda a, b: a | b, [lower.contains(w) for w in rare]))
+    words = words.select("doc_id", words_of(F.col("text")).alias("words"))
+
+    def places(license_id: str, template: list[str]) -> Column:
+        last = F.size("words") - len(template) + 1
+        every = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        same = lambda i: reduce(lambda a, b: a & b, [F.element_at("words", i + k) == w for k, w in enumerate(template)])
+        return F.transform(
+            F.filter(every, same),
+            lambda i: F.struct(i.alias("at"), F.lit(license_id).alias("license_id"), F.lit(1.0).alias("containment")),
+        )
 
+    found = F.explode(F.flatten(F.array(*[places(*t) for t in short])))
+    return words.select("doc_id", found.alias("m")).select("doc_id", "m.*")
 
-def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+
+def scan(docs: DataFrame, templates=TEMPLATES + SHORT_TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license_id, n_places, containment: one row for each license found in a document.
 
     n_places is the number of windows in whose surroundings a template of the
-    license is held; containment is the largest share of a template's
-    shingles. Texts are whole; null, empty and shorter than five words hold
-    none. Rows that repeat a doc_id are one document. Other columns of docs
-    are ignored; an empty table gives an empty result.
+    license is held, and of other places of one below SHINGLE words, which is
+    held whole or not at all; containment is the largest share of a template's
+    shingles. Texts are whole; null and empty ones hold none. Rows that repeat
+    a doc_id are one document. Other columns of docs are ignored; an empty
+    table gives an empty result.
     """
-    known = _templates(docs.sparkSession, templates)
+    known, short = _templates(docs.sparkSession, templates)
+    found = []
+    if known:
+        found.append(_long_places(docs, known).where(F.col("containment") >= containment))
+    if short:
+        found.append(_short_places(docs, short))
+    return (
+        reduce(DataFrame.unionByName, found)
+        .groupBy("doc_id", "license_id")
+        .agg(F.countDistinct("at").alias("n_places"), F.max("containment").alias("containment"))
+    )
+
+
+def _long_places(docs: DataFrame, known: list[tuple[str, int, list[int]]]) -> DataFrame:
+    """doc_id, at, license_id, containment: the licenses' best shares around every window that a band finds."""
     every = sorted({h for _, _, s in known for h in s})
     words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     hashed = words.select("doc_id", shingles_of(F.col("words")).alias("h"))
@@ -133,9 +227,5 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
         )
         for lic in licenses
     ]
-    found = hits.select("doc_id", "at", F.explode(F.array(*best)).alias("m")).select("doc_id", "at", "m.*")
-    return (
-        found.where(F.col("containment") >= containment)
-        .groupBy("doc_id", "license_id")
-        .agg(F.countDistinct("at").alias("n_places"), F.max("containment").alias("containment"))
-    )
+    found = hits.select("doc_id", "at", F.explode(F.array(*best)).alias("m"))
+    return found.select("doc_id", "at", "m.*")
