@@ -116,6 +116,21 @@ def test_token_store(spark, clashes):
     assert got == want
 
 
+def test_names_of_special_tokens_are_tokens_as_in_the_library(spark):
+    texts = ["x <|endoftext|> y", "<|startoftext|>", "A<|ENDOFTEXT|>b", "a <| b", None, "plain text", "tail<|endoftext|><|endoftext|>"]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    docs, start = frame(spark, rows), 0
+    stored = {r.doc_id: r for r in token_store.store_documents(docs, WORD).collect()}
+    packed = {r.doc_id: r for r in packing.pack_documents(docs, BYTE, 0).collect()}
+    ordinary = {r.doc_id: r for r in packing.pack_documents(docs, BYTE, 0, special_tokens=False).collect()}
+    for i, text in enumerate(texts):
+        ids, byte_ids = ids_of(WORD, text, 1), ids_of(BYTE, text, 0)
+        assert (stored[i].start, stored[i].n_tokens, stored[i].ids_crc32) == (start, len(ids), crc(ids))
+        assert (packed[i].doc_tokens, packed[i].ids_crc32) == (len(byte_ids), crc(byte_ids))
+        start += len(ids)
+    assert ordinary[0].doc_tokens > packed[0].doc_tokens and ordinary[5].ids_crc32 == packed[5].ids_crc32
+
+
 def test_shard_round_trip_and_random_access():
     rng = np.random.default_rng(4)
     phrase = rng.integers(0, 49000, 40)

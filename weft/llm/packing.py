@@ -130,12 +130,15 @@ def pack_ids(encoded: DataFrame, rows: int, dtype: np.dtype, capacity: int = 102
     return grouped.groupBy("group").applyInArrow(pack, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 1024, special_tokens: bool = True
+) -> DataFrame:
     """Pieces of all documents: each whole text's ids and end_id (null text: end_id alone).
 
+    Names of special tokens in a text are these tokens, or else ordinary text.
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     Columns of docs other than doc_id and text are ignored; an empty table
     gives no pieces.
     """
-    encoded = with_ids(docs.select("doc_id", "text"), tokenizer, end_id).select("doc_id", "ids")
+    encoded = with_ids(docs.select("doc_id", "text"), tokenizer, end_id, special_tokens=special_tokens).select("doc_id", "ids")
     return pack_ids(encoded, docs.count(), id_type(tokenizer), capacity)

@@ -177,12 +177,13 @@ class Shard:
         return self
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, special_tokens: bool = True) -> None:
     """Write the ids of docs(doc_id, text) to path: rows (shard, n_docs, n_tokens, data).
 
     A shard is a range of doc_ids; shards and the documents in them ascend
     (null ids first; rows that repeat a doc_id lie side by side, ordered by
-    their ids). A null text is empty, so it holds end_id alone. An empty table
+    their ids). A null text is empty, so it holds end_id alone. Names of special
+    tokens in a text are these tokens, or else ordinary text. An empty table
     writes no shard.
     """
     count = docs.count()
@@ -193,7 +194,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> Non
     dtype = id_type(tokenizer)
 
     def make():
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, special_tokens).encode
 
         def encoded(doc_ids, texts):
             numbers = doc_ids.to_pandas().fillna(-(1 << 63)).to_numpy().astype(np.int64)
@@ -246,10 +247,10 @@ def read_tokens(spark, path: str) -> DataFrame:
     return joined.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def store_documents(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
+def store_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, special_tokens: bool = True) -> DataFrame:
     """Write docs to a new folder beside the checkpoints and read it back."""
     spark = docs.sparkSession
     checkpointed(spark.range(1))  # settles the shared folder
     path = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, tokenizer, end_id, path)
+    write_tokens(docs, tokenizer, end_id, path, special_tokens)
     return read_tokens(spark, path)

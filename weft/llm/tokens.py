@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import sys
+from os.path import commonprefix
 from types import ModuleType
 
 import numpy as np
@@ -41,15 +42,19 @@ class Encoder:
     """Encodes whole texts to the bytes of arrays of ids, of type self.dtype.
 
     Texts are cut in pieces and distinct pieces looked up; ids are gathered by
-    array operations. Names of special tokens in a text are ordinary text, so
-    that no document can set one. Null and empty texts have no ids.
+    array operations. With special_tokens, the name of one in a text is that
+    token, as the library has it; without, it is ordinary text, so that no
+    document can set one. Null and empty texts have no ids.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # the text of one is ordinary text
+        self._tokenizer.encode_special_tokens = not special_tokens
+        added = self._tokenizer.get_added_tokens_decoder().values() if special_tokens else ()
+        self._names = [t.content for t in added]
+        self._name_start = commonprefix(self._names)
         vocabulary = self._tokenizer.get_vocab()
         self.dtype = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
         kind = str(self._tokenizer.pre_tokenizer)
@@ -127,6 +132,14 @@ class Encoder:
         rest = pc.replace_substring_regex(pc.if_else(runs, cut, ""), f"([{_WHITE}]*[^{_WHITE}{_CUT}]+)", f"\\1{_CUT}")
         return pc.split_pattern(pc.if_else(runs, rest, lone), _CUT)
 
+    def _whole(self, texts: pa.Array) -> pa.Array:
+        """Whether a text is to be encoded in one piece; such ones are rare."""
+        whole = pc.match_substring(texts, _CUT)
+        if self._names and pc.any(pc.match_substring(texts, self._name_start, ignore_case=self._words)).as_py():
+            for name in self._names:
+                whole = pc.or_(whole, pc.match_substring(texts, name, ignore_case=self._words))
+        return whole
+
     def _gather(self, texts: pa.Array, end: bytes) -> pa.Array:
         lists = self._split(texts)
         coded = lists.flatten().dictionary_encode()
@@ -157,7 +170,7 @@ class Encoder:
         while at < len(texts):
             stop = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _TOGETHER)) + 1
             part = texts[at:stop]
-            whole = pc.match_substring(part, _CUT)  # rare: encoded in one piece
+            whole = self._whole(part)
             ids = self._gather(pc.if_else(whole, "", part), close)
             if pc.any(whole).as_py():
                 chosen = zip(whole.to_pylist(), part, ids, strict=True)
@@ -168,22 +181,25 @@ class Encoder:
         return pa.concat_arrays(parts).cast(pa.binary()) if parts else pa.array([], pa.binary())
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_tokens: bool = True) -> Encoder:
     """The encoder of this worker process for a vocabulary file."""
     held = sys.modules.setdefault(ENCODERS, ModuleType(ENCODERS))
-    if path not in held.__dict__:
-        held.__dict__[path] = Encoder(path)
-    return held.__dict__[path]
+    key = f"{path} {special_tokens}"
+    if key not in held.__dict__:
+        held.__dict__[key] = Encoder(path, special_tokens)
+    return held.__dict__[key]
 
 
-def with_ids(docs: DataFrame, path: str, end_id: int, text: str = "text", name: str = "ids") -> DataFrame:
+def with_ids(
+    docs: DataFrame, path: str, end_id: int, text: str = "text", name: str = "ids", special_tokens: bool = True
+) -> DataFrame:
     """docs with the ids of each whole text and end_id, as little-endian bytes.
 
-    Ids take two bytes if the vocabulary fits, else four; see id_type().
+    Names of special tokens in a text are these tokens, or else ordinary text. Ids take two bytes if the vocabulary fits, else four; see id_type().
     """
 
     def make():
-        encode = encoder(path).encode
+        encode = encoder(path, special_tokens).encode
         return lambda column: [encode(column, end_id)]
 
     return append_columns(docs, [text], make, f"{name} binary")
