@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from weft.llm import exact_dedup, langid, mixing, packing, simhash_dedup
 from weft.llm.common import bounded, checkpointed
@@ -26,28 +26,53 @@ def language_id(spark, docs, sf_dir):
     return found.where(F.col("lang_pred") != langid.UNDETERMINED).select("row.*")
 
 
-def _keep(docs, kept):
-    """The rows of docs whose doc_id is in kept(doc_id), once each.
+def _keep(docs, marks, of_group):
+    """The row of each group whose doc_id is kept in marks(doc_id, kept): one row, whatever ids rows share.
 
-    Rows without a doc_id can't be told apart: all stay if one of them is kept.
+    marks has a row for each of docs. Where a doc_id is of one row only, it
+    tells the row. of_group(rows) finds the groups of other rows, those without
+    an id included: it takes rows(row, doc_id, text) and returns the ones to
+    choose from with the column group. Of these a group's first by text stays.
     """
-    kept = checkpointed(kept.select(F.col("doc_id").alias("kept_id")))
-    rows = docs.join(bounded(kept), docs.doc_id.eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
-    if kept.where("kept_id IS NOT NULL").groupBy("kept_id").count().where("count > 1").limit(1).count():
-        named = rows.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        return named.unionByName(rows.where("doc_id IS NULL"))
-    return rows
+    marks = checkpointed(marks.select(F.col("doc_id").alias("kept_id"), "kept"))
+    shared = checkpointed(marks.groupBy("kept_id").count().where("count > 1 OR kept_id IS NULL").select("kept_id"))
+    kept = marks.where("kept").select("kept_id")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")  # whatever columns docs has, they stay
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    if not shared.limit(1).count():
+        return rows.join(bounded(kept), same, "left_semi").select("row.*")
+    alone = checkpointed(kept.join(bounded(shared), "kept_id", "left_anti").where("kept_id IS NOT NULL"))
+    known = rows.join(bounded(alone), same, "left_semi").select("row")
+    order = Window.partitionBy("group").orderBy("text", F.xxhash64("row"))
+    others = of_group(rows.join(bounded(shared), same, "left_semi"))
+    first = others.withColumn("place", F.row_number().over(order)).where("place = 1").select("row")
+    return known.unionByName(first).select("row.*")
 
 
 def exact_dedup_stage(spark, docs, sf_dir):
-    """Keeps the document with the smallest doc_id of each group of equal texts."""
-    return _keep(docs, exact_dedup.exact_groups(docs).where("kept"))
+    """Keeps the document with the smallest doc_id of each group of equal texts, one without an id if none has one."""
+    marks = checkpointed(exact_dedup.exact_groups(docs).select("doc_id", "kept", "text_sha256"))
+
+    def of_group(rows):
+        kept = checkpointed(marks.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text")).distinct())
+        keyed = rows.withColumn("group", F.sha2(exact_dedup.normalised(F.col("text")), 256))
+        same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("group") == F.col("kept_text"))
+        return keyed.join(bounded(kept, 200_000), same, "left_semi")
+
+    return _keep(docs, marks, of_group)
 
 
 def simhash_dedup_stage(spark, docs, sf_dir):
-    """Keeps the document with the smallest doc_id of each group of near copies."""
-    groups = simhash_dedup.near_groups(docs)
-    return _keep(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Keeps the document with the smallest doc_id of each group of near copies, one without an id if none has one."""
+    marks, groups = simhash_dedup.near_components(docs)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    found = marks.join(bounded(groups.select("fp", "component_id")), "fp").select("doc_id", kept.alias("kept"))
+
+    def of_group(rows):
+        printed = simhash_dedup.with_fingerprints(rows, "text", "fp")
+        return printed.join(bounded(groups), "fp").where(kept).withColumnRenamed("component", "group")
+
+    return _keep(docs, found, of_group)
 
 
 def mixing_stage(spark, docs, sf_dir):

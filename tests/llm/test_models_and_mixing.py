@@ -286,6 +286,25 @@ def test_stages_keep_documents_without_ids(spark):
     )
 
 
+def test_stages_tell_rows_apart_that_share_an_id_or_have_none(spark):
+    base = " ".join(f"{w}{i}" for i, w in enumerate("river stone winter garden letter paper green light walk house".split() * 4))
+    other = "an entirely different text about ships and harbours in the north sea"
+    rows = [(1, base), (None, base), (None, "no id " + other), (None, "no  id " + other), (None, "lone text without any id at all"),
+            (7, "first text of the id seven, on bread and butter"), (7, other), (7, other), (8, other)]
+    docs = frame(spark, [(i, t, "en", "s", 9) for i, t in rows], True)
+    kept = [base, "lone text without any id at all", "no  id " + other, "first text of the id seven, on bread and butter", other]
+    out = corpus_pipeline.exact_dedup_stage(spark, docs, DATA)
+    assert sorted(r.text for r in out.collect()) == sorted(kept) and out.columns == docs.columns
+    prints = simhash_dedup.fingerprints([t for _, t in rows]).tolist()
+    label = components(range(len(rows)), [(a, b) for a, b in combinations(range(len(rows)), 2) if (prints[a] ^ prints[b]).bit_count() <= 2])
+    groups = {g: [rows[i] for i in label if label[i] == g] for g in set(label.values())}
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_dedup_stage(spark, docs, DATA).collect()]
+    assert len(out) == len(groups)
+    for members in groups.values():
+        assert sum(out.count(m) for m in set(members)) == 1
+        assert min((i for i, _ in members if i is not None), default=None) in [i for i, t in out if (i, t) in members]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for result in (langid.identify_documents(empty), mixing.mix_documents(empty), secret_scan.scan_documents(empty), license_scan.scan(empty)):

@@ -199,15 +199,8 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
-
-    component_id is the smallest doc_id that links reach, the document itself
-    included. Documents without words (null, empty, white space) have
-    fingerprint zero and link like any other. Null ids are passed over for
-    component_id; a component of null ids has none. Equal fingerprints are one
-    node, so exact copies cost nothing. An empty table gives an empty result.
-    """
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp of each document, and fp, component, component_id of each fingerprint; see near_groups()."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marks = checkpointed(with_fingerprints(narrow, "text", "fp").select("doc_id", "fp"))
     nodes = checkpointed(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -218,7 +211,20 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # Only components of several fingerprints need their documents' minimum.
     labelled = checkpointed(labelled)
     smallest = checkpointed(labelled.groupBy("component").agg(F.min("least").alias("component_id")))
-    resolved = checkpointed(labelled.join(bounded(smallest), "component").select("fp", "component_id"))
-    return marks.join(bounded(resolved), "fp").select(
+    resolved = checkpointed(labelled.join(bounded(smallest), "component").select("fp", "component", "component_id"))
+    return marks, resolved
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
+
+    component_id is the smallest doc_id that links reach, the document itself
+    included. Documents without words (null, empty, white space) have
+    fingerprint zero and link like any other. Null ids are passed over for
+    component_id; a component of null ids has none. Equal fingerprints are one
+    node, so exact copies cost nothing. An empty table gives an empty result.
+    """
+    marks, resolved = near_components(docs, doc_id, text)
+    return marks.join(bounded(resolved.select("fp", "component_id")), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
