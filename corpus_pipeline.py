@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import Window, functions as F
 
@@ -19,8 +20,12 @@ TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 
 
 def language_id(spark, docs, sf_dir):
-    """Keeps the documents that have a language: those without letters go."""
+    """Keeps the documents that have letters: any language will do, however low its score.
+
+    Without labelled rows there are no profiles; texts with letters stay all the same.
+    """
     profiles = langid.train_profiles(langid.training_rows(docs))
+    profiles = profiles or {"": np.ones(langid.DIMENSIONS) / np.sqrt(langid.DIMENSIONS)}
     rows = docs.select(F.struct("*").alias("row"), "text")  # whatever columns docs has, they stay
     found = langid.predict_language(rows, profiles)
     return found.where(F.col("lang_pred") != langid.UNDETERMINED).select("row.*")

@@ -305,6 +305,11 @@ def test_stages_tell_rows_apart_that_share_an_id_or_have_none(spark):
         assert min((i for i, _ in members if i is not None), default=None) in [i for i, t in out if (i, t) in members]
 
 
+def test_language_stage_keeps_texts_with_letters_when_nothing_has_a_label(spark):
+    docs = frame(spark, [(1, "some words", None, "s", 9), (2, "123 !!", None, "s", 9), (3, None, None, "s", 9), (4, "слово", None, "s", 9)])
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, DATA).collect()} == {1, 4}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for result in (langid.identify_documents(empty), mixing.mix_documents(empty), secret_scan.scan_documents(empty), license_scan.scan(empty)):
