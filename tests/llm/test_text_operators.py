@@ -14,7 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from tests.llm.fixtures import SCHEMA, components, documents, frame
-from weft.llm import exact_dedup, packing, sharding, simhash_dedup, token_store, tokens
+from weft.llm import common, exact_dedup, packing, sharding, simhash_dedup, token_store, tokens
 
 WORD, BYTE = (str(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 SPACE = r"[\x20\x09-\x0D]"
@@ -116,6 +116,67 @@ def test_token_store(spark, clashes):
     assert got == want
 
 
+def test_runs_keep_rows_in_order_and_within_bounds():
+    sizes = [3, 0, 9, 1, 1, 20, 2, 2, 2, 5, 0, 0]
+    keys = [0, 0, 0, 0, 0, 0, 0, 1, 1, 1, 1, 2]
+    batch = pa.record_batch({"n": list(range(12)), "x": [b"x" * s for s in sizes], "k": keys})
+    batches = [batch[:5], batch[5:5], batch[5:8], batch[8:]]
+    tables = list(common.runs(batches, "x", 10, 3, "k"))
+    rows = [t.column("n").to_pylist() for t in tables]
+    assert sum(rows, []) == list(range(12))
+    for t in rows:
+        assert len(t) <= 3 and len({keys[n] for n in t}) == 1 and (len(t) == 1 or sum(sizes[n] for n in t) <= 10)
+    for t, after in zip(rows, rows[1:]):  # no table ends early
+        n = after[0]
+        assert keys[n] != keys[t[0]] or len(t) == 3 or sum(sizes[i] for i in t) + sizes[n] > 10
+    assert list(common.runs([], "x", 10)) == []
+
+
+def test_small_shards_and_groups_lose_nothing(spark, tmp_path):
+    rows = documents()
+    docs = frame(spark, rows)
+    token_store.write_tokens(docs, WORD, 1, str(tmp_path / "shards"), shard_bytes=500)
+    stored = spark.read.parquet(str(tmp_path / "shards"))
+    assert stored.where("n_docs > 1 AND n_tokens > 250").count() == 0 and stored.count() > 5
+    start, want = 0, {}
+    for row in sorted(rows):
+        ids = ids_of(WORD, row[1], 1)
+        want[row[0]] = (start, len(ids), crc(ids))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.read_tokens(spark, str(tmp_path / "shards")).collect()} == want
+    encoded = tokens.with_ids(docs.select("doc_id", "text"), BYTE, 0)
+    pieces = packing.pack_ids(encoded, tokens.id_type(BYTE), 64, group_bytes=400).collect()
+    held = {}
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        assert p.start == held.get(p.doc_id, 0)
+        held[p.doc_id] = p.start + p.length
+    assert held == {p.doc_id: p.doc_tokens for p in pieces} and len(held) == len(rows)
+    ends = {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == ends.get(p.sequence_id, 0)
+        ends[p.sequence_id] = p.offset + p.length
+    assert max(ends.values()) <= 64
+
+
+def test_grammar_ends_when_no_pair_pays_for_a_rule():
+    rng = np.random.default_rng(5)
+    phrase = rng.integers(2, 49000, 300)
+    documents = [np.r_[phrase, rng.integers(2, 400, 50), [1]] for _ in range(60)] + [np.r_[np.full(900, 7), [1]]]
+    ids = np.concatenate(documents).astype(np.uint32)
+    shard = token_store.Shard.build([*range(61)], ids, np.array([*map(len, documents)]))
+    pairs = {}
+    for n in range(61):
+        part = shard.sequence[shard.doc_starts[n] : shard.doc_starts[n + 1] - 1].tolist()
+        at = 0
+        while at < len(part) - 1:  # of a run of one symbol every second pair counts
+            pairs[tuple(part[at : at + 2])] = pairs.get(tuple(part[at : at + 2]), 0) + 1
+            at += 2 if part[at] == part[at + 1] else 1
+    assert max(pairs.values()) < token_store.LEAST_USES
+    assert shard.lengths.max() >= 300  # the passage is one rule
+    back = token_store.Shard.from_bytes(shard.to_bytes())
+    assert (back.all_tokens()[0] == ids).all()
+
+
 def test_names_of_special_tokens_are_tokens_as_in_the_library(spark):
     texts = ["x <|endoftext|> y", "<|startoftext|>", "A<|ENDOFTEXT|>b", "a <| b", None, "plain text", "tail<|endoftext|><|endoftext|>"]
     rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
@@ -137,7 +198,7 @@ def test_shard_round_trip_and_random_access():
     documents = [np.r_[np.tile(phrase, rng.integers(0, 30)), rng.integers(0, 50, rng.integers(0, 400)), [1]].astype(np.uint32) for _ in range(80)]
     documents.append(np.full(5000, 7, np.uint32))
     documents[-1][-1] = 1
-    shard = token_store.Shard.from_bytes(token_store.Shard.build([*range(80), None], documents).to_bytes())
+    shard = token_store.Shard.from_bytes(token_store.Shard.build([*range(80), None], np.concatenate(documents), np.array([*map(len, documents)])).to_bytes())
     whole = np.concatenate(documents)
     ids, sizes = shard.all_tokens()
     assert np.array_equal(ids, whole) and sizes.tolist() == [len(d) for d in documents]

@@ -8,7 +8,9 @@ import re
 import sys
 import tempfile
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
@@ -28,11 +30,19 @@ BATCH_BYTES = 4 << 20
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept in the session's checkpoint folder."""
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark) -> str:
+    """The checkpoint folder that the driver and all executors share; a temporary one on a single machine without a setting."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weft-checkpoint-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -107,6 +117,44 @@ def append_columns(df: DataFrame, inputs: list[str], make, fields: str) -> DataF
     return df.mapInArrow(run, schema)
 
 
+def runs(batches, column: str, size: int, rows: int | None = None, key: str | None = None):
+    """Tables of rows that follow each other: as many as have size bytes in a binary column, and not over rows.
+
+    A longer value is a table by itself. Rows of different keys are never in one table.
+    """
+    held, count, total, mine = [], 0, 0, None
+    for batch in batches:
+        through = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        keys = batch.column(key).to_numpy(zero_copy_only=False) if key else np.zeros(batch.num_rows, np.int64)
+        changes = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), batch.num_rows]
+        at = 0
+        while at < batch.num_rows:
+            before = int(through[at - 1]) if at else 0
+            stop = min(int(np.searchsorted(through, before + size - total, "right")), next(c for c in changes if c > at))
+            if rows:
+                stop = min(stop, at + rows - count)
+            if held and (stop <= at or keys[at] != mine):
+                yield pa.Table.from_batches(held)
+                held, count, total = [], 0, 0
+                continue
+            stop, mine = max(stop, at + 1), keys[at]
+            held.append(batch.slice(at, stop - at))
+            count, total = count + stop - at, total + int(through[stop - 1]) - before
+            at = stop
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def binary_values(column: pa.ChunkedArray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column, joined, as numbers of a type, and how many each row has."""
+    joined = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks]) if column.num_chunks else pa.array([], pa.large_binary())
+    counts = pc.binary_length(joined).to_numpy(zero_copy_only=False) // dtype.itemsize
+    _, offsets, data = joined.buffers()
+    first = int(np.frombuffer(offsets, np.int64)[joined.offset]) if len(joined) else 0
+    total = int(counts.sum())
+    return (np.frombuffer(data, dtype, total, first) if total else np.zeros(0, dtype)), counts
+
+
 def forest(edges):
     """A spanning forest of (a, b) pairs: [(node, smallest node of its tree)]."""
     parent: dict[int, int] = {}

@@ -6,12 +6,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from weft.llm.common import binary_values, release_memory, runs
 from weft.llm.tokens import id_type, with_ids
 
-#: Documents of a group, on average. The waste of a group is below one sequence.
-GROUP_DOCUMENTS = 1024
+#: Documents of a group at most, and bytes of their ids, unless it is one document. A group wastes less than one sequence.
+GROUP_DOCUMENTS, GROUP_BYTES = 1024, 8 << 20
 _PIECES = (
     "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -87,47 +89,44 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[list[tuple[i
     return bins + [packed[b] for b in kept]
 
 
-def pack_ids(encoded: DataFrame, rows: int, dtype: np.dtype, capacity: int = 1024) -> DataFrame:
+def pack_ids(encoded: DataFrame, dtype: np.dtype, capacity: int = 1024, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The pieces of encoded(doc_id, ids) in sequences of at most capacity tokens.
 
-    ids are arrays of type dtype as bytes; rows is the number of rows. Rows go
-    to groups by a hash of doc_id (null is an id like any other), and a group
-    is packed by itself: sequence_id is the group's number shifted by 32 bits
-    and the sequence's number inside it. An empty row gives no piece; rows that
-    repeat a doc_id are packed each. Capacity must be positive.
+    ids are arrays of type dtype as bytes. Rows are dealt and ordered by a hash
+    of doc_id and ids (null is an id like any other), and each run of
+    GROUP_DOCUMENTS rows or group_bytes of ids is packed by itself: a task holds
+    one such run, or one row that has more. sequence_id is the partition's
+    number shifted by 32 bits and the sequence's number inside it. An empty row
+    gives no piece; rows that repeat a doc_id are packed each. Capacity must be
+    positive.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    groups = max(1, -(-rows // GROUP_DOCUMENTS))
     schema = _PIECES.format(id=encoded.schema["doc_id"].dataType.simpleString())
 
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-        ids = [np.frombuffer(x, dtype).astype("<u4") for x in table.column("ids").to_pylist()]
-        group = table.column("group")[0].as_py()
-        sequences = first_fit_decreasing([len(x) for x in ids], capacity)
-        item, start, length, crc, sequence, offset = [], [], [], [], [], []
-        for n, pieces in enumerate(sequences):
-            at = 0
-            for i, first, size in pieces:
-                item.append(i)
-                start.append(first)
-                length.append(size)
-                crc.append(zlib.crc32(ids[i][first : first + size]))
-                sequence.append(group << 32 | n)
-                offset.append(at)
-                at += size
-        tokens = np.array([len(x) for x in ids], np.int64)
-        item = np.array(item, np.int64)
-        long = lambda x: pa.array(x, pa.int64())
-        return pa.table({
-            "doc_id": table.column("doc_id").take(pa.array(item)), "start": long(start), "length": long(length),
-            "ids_crc32": long(crc), "doc_tokens": long(tokens[item]), "sequence_id": long(sequence), "offset": long(offset),
-        })
-
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(6))
-    grouped = encoded.select("doc_id", "ids", F.pmod(key, F.lit(groups)).alias("group"))
-    return grouped.groupBy("group").applyInArrow(pack, schema)
+    def pack(batches):
+        done = 0
+        for table in runs(batches, "ids", group_bytes, GROUP_DOCUMENTS):
+            found, counts = binary_values(table.column("ids"), dtype)
+            ids, begins = found.astype("<u4"), np.cumsum(counts) - counts
+            sequences = first_fit_decreasing(counts.tolist(), capacity)
+            pieces = np.array([(i, first, size, n) for n, s in enumerate(sequences) for i, first, size in s], np.int64).reshape(-1, 4)
+            item, start, length, sequence = pieces.T
+            at = begins[item] + start
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            through = np.cumsum(length) - length
+            offset = through - through[np.searchsorted(sequence, sequence)]
+            number = (TaskContext.get().partitionId() << 32) + done + sequence
+            done += len(sequences)
+            doc_ids = table.column("doc_id").combine_chunks().take(pa.array(item))
+            columns = [start, length, np.array(crc, np.int64), counts[item], number, offset]
+            yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(c, pa.int64()) for c in columns)], names=names)
+        release_memory()
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.crc32("ids"), F.lit(6))
+    dealt = encoded.select("doc_id", "ids", key.alias("key")).repartition("key").sortWithinPartitions("key", "doc_id", "ids")
+    return dealt.mapInArrow(pack, schema)
 
 
 def pack_documents(
@@ -141,4 +140,4 @@ def pack_documents(
     gives no pieces.
     """
     encoded = with_ids(docs.select("doc_id", "text"), tokenizer, end_id, special_tokens=special_tokens).select("doc_id", "ids")
-    return pack_ids(encoded, docs.count(), id_type(tokenizer), capacity)
+    return pack_ids(encoded, id_type(tokenizer), capacity)

@@ -1,7 +1,7 @@
 """Token ids in shards that are compressed by a Re-Pair grammar.
 
-A shard repeatedly replaces its frequent pairs of ids by nonterminals. It
-stores the rules, the length of each nonterminal's expansion, and where each
+A shard repeatedly replaces its frequent pairs of ids by nonterminals, until
+no pair is used often enough to pay for a rule. It stores the rules, the length of each nonterminal's expansion, and where each
 document starts in the compressed sequence, so that any document or range of
 tokens is decoded without the rest. Rules never cross the end of a document.
 """
@@ -13,18 +13,24 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weft.llm.common import append_columns, bounded, checkpointed
+from weft.llm.common import append_columns, binary_values, bounded, checkpointed, release_memory, runs, shared_folder
 from weft.llm.tokens import encoder, id_type
 
-#: Documents of a shard, on average.
-SHARD_DOCUMENTS = 2048
-#: Rounds of replacement, pairs that a round replaces at most, and least uses of a rule.
-ROUNDS, ROUND_RULES, LEAST_USES = 6, 4096, 4
+#: Bytes of ids of a shard at most, unless it is one document.
+SHARD_BYTES = 4 << 20
+#: Documents of a range of doc_ids, on average, and ranges that there are of fewer.
+RANGE_DOCUMENTS, RANGES = 1 << 16, 1024
+#: Documents of a range at least.
+LEAST_DOCUMENTS = 2048
+#: Pairs that a round replaces at most, and least uses of a rule: it takes 12 bytes and each use saves two.
+ROUND_RULES, LEAST_USES = 8192, 8
 #: Counters of a round: 2**20; pairs that share one are told apart by value.
 _COUNTER_BITS = 20
 _MAGIC = b"RePair1\0"
+_STORED = "range long, part long, n_docs long, n_tokens long, data binary"
 
 
 def _expand(table: np.ndarray, starts: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -44,13 +50,12 @@ class Shard:
     )
 
     @classmethod
-    def build(cls, doc_ids: list[int | None], documents: list[np.ndarray]):
-        """From each document's ids; all end with the same id, and none is empty."""
+    def build(cls, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray):
+        """From all documents' ids, joined, and how many each has; all end with the same id, and none is empty."""
         self = cls()
         self.doc_ids = np.array([d or 0 for d in doc_ids], np.int64)
         self.doc_null = np.array([d is None for d in doc_ids], np.uint8)
-        ids = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
-        ends = np.cumsum([len(d) for d in documents]).astype(np.int64) - 1
+        ends = np.cumsum(counts, dtype=np.int64) - 1
         seen = np.zeros(int(ids.max(initial=0)) + 1, bool)
         seen[ids] = True
         end_id = ids[-1:] if len(ids) else np.zeros(1, np.uint32)
@@ -61,14 +66,20 @@ class Shard:
         sequence[ends] = 0
         left, right, rounds = [], [], []
         size = len(self.alphabet)
-        for _ in range(ROUNDS):
-            a, b, sequence = cls._round(sequence, size)
-            if not len(a):
+        # Where a pair may begin that is used often enough; none crosses a document's end.
+        open_ = np.ones(len(sequence), bool)
+        open_[ends] = open_[ends[ends > 0] - 1] = False
+        exact = False
+        while True:
+            a, b, sequence, open_ = cls._round(sequence, open_, size, len(rounds), exact)
+            if len(a):
+                left.append(a)
+                right.append(b)
+                rounds.append(len(a))
+                size += len(a)
+            elif exact:
                 break
-            left.append(a)
-            right.append(b)
-            rounds.append(len(a))
-            size += len(a)
+            exact = not len(a)  # no counter had a rule to give: count pair by pair
         none = np.zeros(0, np.uint32)
         self.left, self.right = np.concatenate([none, *left]), np.concatenate([none, *right])
         self.rounds = np.array(rounds, np.int64)
@@ -83,31 +94,40 @@ class Shard:
         return self
 
     @staticmethod
-    def _round(sequence: np.ndarray, size: int):
-        """Rules for frequent pairs, numbered from size, and the sequence that uses them."""
-        none = np.zeros(0, np.uint32)
-        a, b = sequence[:-1], sequence[1:]
-        slot = a * np.uint32(0x9E3779B1)
-        slot += b * np.uint32(0x85EBCA77)
-        slot >>= np.uint32(32 - _COUNTER_BITS)
-        slot = slot.astype(np.int64)
-        ends = np.flatnonzero(sequence == 0)
-        slot[ends[ends < len(slot)]] = slot[ends[ends > 0] - 1] = 1 << _COUNTER_BITS
-        counts = np.bincount(slot, minlength=(1 << _COUNTER_BITS) + 1)[:-1]
+    def _round(sequence: np.ndarray, open_: np.ndarray, size: int, turn: int, exact: bool):
+        """Rules for frequent pairs, numbered from size, the sequence that uses them, and where pairs are still open.
+
+        A pair that is rare can't become frequent unless it holds a new symbol,
+        so later rounds look at few places. Counters are shared by pairs that
+        the turn's hash brings together; with exact, each pair has its own.
+        """
+        at = np.flatnonzero(open_)
+        a, b = sequence[at], sequence[at + 1]
+        if exact:
+            _, slot = np.unique(a.astype(np.uint64) << np.uint64(32) | b, return_inverse=True)
+        else:
+            slot = a * np.uint32(0x9E3779B1 + 2 * turn)
+            slot += b * np.uint32(0x85EBCA77 + 2 * turn)
+            slot >>= np.uint32(32 - _COUNTER_BITS)
+            slot = slot.astype(np.int64)
+        counts = np.bincount(slot, minlength=1)
         often = np.flatnonzero(counts >= LEAST_USES)
+        if not len(often):
+            none = np.zeros(0, np.uint32)
+            return none, none, sequence, open_
+        live = (counts >= LEAST_USES)[slot]
         if len(often) > ROUND_RULES:
             often = often[np.argpartition(-counts[often], ROUND_RULES)[:ROUND_RULES]]
-        if not len(often):
-            return none, none, sequence
-        rule = np.full((1 << _COUNTER_BITS) + 1, -1, np.int32)
+        rule = np.full(len(counts), -1, np.int32)
         rule[often] = np.arange(len(often))
-        at = np.flatnonzero((rule >= 0)[slot])
-        rules = rule[slot[at]]
+        open_ = np.zeros(len(sequence), bool)
+        open_[at[live]] = True
+        use = np.flatnonzero((rule >= 0)[slot])
+        rules = rule[slot[use]]
         sample = np.zeros(len(often), np.int64)
-        sample[rules[::-1]] = at[::-1]  # the first place of each counter tells its pair
-        first = sample[rules]
-        same = (a[at] == a[first]) & (b[at] == b[first])
-        at, rules = at[same], rules[same]
+        sample[rules[::-1]] = use[::-1]  # the first place of each counter tells its pair
+        same = (a[use] == a[sample][rules]) & (b[use] == b[sample][rules])
+        at, rules = at[use[same]], rules[same]
         # Of overlapping places, every second one in a run is replaced.
         fresh = np.r_[True, np.diff(at) != 1][: len(at)]
         run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
@@ -117,12 +137,17 @@ class Shard:
         keep = useful[rules]
         at, rules = at[keep], rules[keep]
         number = np.cumsum(useful) - 1
-        left, right = a[sample[useful]].copy(), b[sample[useful]].copy()
+        left, right = a[sample[useful]], b[sample[useful]]
         out = sequence.copy()
         out[at] = size + number[rules]
         stays = np.ones(len(out), bool)
         stays[at + 1] = False
-        return left, right, out[stays]
+        out, open_ = out[stays], open_[stays]
+        new = np.flatnonzero(out >= size)
+        open_[new] = out[new + 1] != 0
+        behind = new[new > 0] - 1
+        open_[behind] = out[behind] != 0
+        return left, right, out, open_
 
     def _tables(self):
         if not hasattr(self, "_table"):
@@ -177,19 +202,21 @@ class Shard:
         return self
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, special_tokens: bool = True) -> None:
-    """Write the ids of docs(doc_id, text) to path: rows (shard, n_docs, n_tokens, data).
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, special_tokens: bool = True, shard_bytes: int = SHARD_BYTES) -> None:
+    """Write the ids of docs(doc_id, text) to path: rows (range, part, n_docs, n_tokens, data), one for each shard.
 
-    A shard is a range of doc_ids; shards and the documents in them ascend
+    Shards ascend by range and part, and the documents in them by doc_id
     (null ids first; rows that repeat a doc_id lie side by side, ordered by
     their ids). A null text is empty, so it holds end_id alone. Names of special
     tokens in a text are these tokens, or else ordinary text. An empty table
-    writes no shard.
+    writes no shard. A task sorts its ranges, on disk if need be, and holds one
+    shard of shard_bytes, or one document that has more. The driver holds one
+    doc_id for each range of RANGE_DOCUMENTS.
     """
     count = docs.count()
-    shards = max(1, -(-count // SHARD_DOCUMENTS))
-    ranges = docs.select("doc_id").repartitionByRange(shards, "doc_id")
-    firsts = ranges.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("first")).select("first")
+    ranges = max(1, min(-(-count // LEAST_DOCUMENTS), RANGES), -(-count // RANGE_DOCUMENTS))
+    dealt = docs.select("doc_id").repartitionByRange(ranges, "doc_id")
+    firsts = dealt.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("first")).select("first")
     bounds = np.array(sorted(r.first for r in firsts.where("first IS NOT NULL").collect())[1:], np.int64)
     dtype = id_type(tokenizer)
 
@@ -197,26 +224,29 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, specia
         encode = encoder(tokenizer, special_tokens).encode
 
         def encoded(doc_ids, texts):
-            numbers = doc_ids.to_pandas().fillna(-(1 << 63)).to_numpy().astype(np.int64)
-            shard = np.searchsorted(bounds, numbers, "right")
-            return [encode(texts, end_id), pa.array(shard)]
+            numbers = pc.fill_null(doc_ids, -(1 << 63)).to_numpy(zero_copy_only=False)
+            return [encode(texts, end_id), pa.array(np.searchsorted(bounds, numbers, "right"))]
 
         return encoded
 
-    def build(table: pa.Table) -> pa.Table:
-        order = [("doc_id", "ascending"), ("ids", "ascending")]
-        table = table.take(pa.compute.sort_indices(table, order, null_placement="at_start"))
-        documents = [np.frombuffer(x, dtype).astype(np.uint32) for x in table.column("ids").to_pylist()]
-        shard = Shard.build(table.column("doc_id").to_pylist(), documents)
-        return pa.table({
-            "shard": table.column("shard")[:1], "n_docs": pa.array([len(documents)], pa.int64()),
-            "n_tokens": pa.array([sum(map(len, documents))], pa.int64()), "data": pa.array([shard.to_bytes()], pa.binary()),
-        })
+    def build(batches):
+        last, part = None, 0
+        for table in runs(batches, "ids", shard_bytes, key="range"):
+            number = table.column("range")[0].as_py()
+            last, part = number, part + 1 if number == last else 0
+            ids, counts = binary_values(table.column("ids"), dtype)
+            shard = Shard.build(table.column("doc_id").to_pylist(), ids, counts)
+            columns = [[number], [part], [len(counts)], [len(ids)]]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in columns), pa.array([shard.to_bytes()], pa.binary())],
+                names=["range", "part", "n_docs", "n_tokens", "data"],
+            )
+        release_memory()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = append_columns(narrow, ["doc_id", "text"], make, "ids binary, shard long").drop("text")
-    stored = coded.groupBy("shard").applyInArrow(build, "shard long, n_docs long, n_tokens long, data binary")
-    stored.write.mode("overwrite").parquet(path)
+    coded = append_columns(narrow, ["doc_id", "text"], make, "ids binary, range long").drop("text")
+    ordered = coded.repartition("range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
+    ordered.mapInArrow(build, _STORED).write.mode("overwrite").parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
@@ -225,10 +255,18 @@ def read_tokens(spark, path: str) -> DataFrame:
     start counts the ids of all documents before it; the CRC is of the decoded
     ids as little-endian unsigned 32-bit integers.
     """
-    stored = spark.read.schema("shard long, n_docs long, n_tokens long, data binary").parquet(path)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    # A row for each shard, a few thousand documents each: small beside the ids.
-    starts = checkpointed(stored.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first")))
+    stored = spark.read.schema(_STORED).parquet(path)
+    sizes = checkpointed(stored.select("range", "part", "n_tokens"))
+    # Shards are summed up inside ranges, and only the ranges' sums in one task.
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sizes.groupBy("range").agg(F.sum("n_tokens").alias("n"))
+    ranges = checkpointed(sums.select("range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))
+    starts = checkpointed(
+        sizes.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+        .join(bounded(ranges), "range")
+        .select("range", "part", (F.col("before") + F.col("inside")).alias("first"))
+    )
 
     def decode(batches):
         for batch in batches:
@@ -243,14 +281,13 @@ def read_tokens(spark, path: str) -> DataFrame:
                 columns = [doc_ids, pa.array(begins + first), pa.array(sizes), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    joined = stored.select("shard", "data").join(bounded(starts), "shard").select("data", "first")
+    joined = stored.join(bounded(starts), ["range", "part"]).select("data", "first")
     return joined.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def store_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, special_tokens: bool = True) -> DataFrame:
     """Write docs to a new folder beside the checkpoints and read it back."""
     spark = docs.sparkSession
-    checkpointed(spark.range(1))  # settles the shared folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, tokenizer, end_id, path, special_tokens)
     return read_tokens(spark, path)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 from os.path import commonprefix
 from types import ModuleType
 
@@ -30,10 +31,16 @@ _LETTERS = "A-Za-zß-öø-ÿÀ-ÖØ-Þ"
 #: vocabulary: words without apostrophes, or one white space and a word.
 _PLAIN_WORD = re.compile(f"[{_LETTERS}0-9!-&(-/:-@[-`{{-~]+")
 _PLAIN_BYTES = re.compile(r"[ \n][^\s\x1c-\x1f]+")
+#: Pieces that are one pre-token of the vocabulary's pattern: the model takes them as they are.
+_LETTERS_ONLY = re.compile(f" ?[{_LETTERS}]+")
 _PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+#: The sign of each byte in a vocabulary, as a code point: printable bytes stand for themselves, the others follow 255.
+_BYTE_SIGNS = np.arange(256, dtype="<u4")
+_HIDDEN = np.r_[0:33, 127:161, 173]
+_BYTE_SIGNS[_HIDDEN] = 256 + np.arange(len(_HIDDEN))
 #: Pieces of either generation that a worker remembers, of a word vocabulary and
 #: of a byte-level one (its pieces hold the white space too), and the longest such piece.
-REMEMBERED, LONGEST = {True: 400_000, False: 250_000}, 64
+REMEMBERED, LONGEST = {True: 400_000, False: 350_000}, 64
 #: Bytes of text that are looked up together, and plain pieces encoded in one call.
 _TOGETHER, _JOINED = 4 << 20, 2000
 
@@ -52,6 +59,7 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = not special_tokens
+        self._model = self._tokenizer.model
         added = self._tokenizer.get_added_tokens_decoder().values() if special_tokens else ()
         self._names = [t.content for t in added]
         self._name_start = commonprefix(self._names)
@@ -72,46 +80,61 @@ class Encoder:
         self._memory: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
+    def _letters(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces of letters: the model gets what normalisation and the pattern would leave of each."""
+        joined = "|".join(pieces)
+        data = np.frombuffer((joined.lower() if self._words else joined).encode(), np.uint8)
+        spelt = _BYTE_SIGNS[data].tobytes().decode("utf-32-le").split("|")
+        kind, model = self.dtype.char, self._model.tokenize
+        return [array(kind, [t.id for t in model(p)]).tobytes() for p in spelt]
+
     def _encode(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
 
-    def _plain(self, pieces: list[str]) -> None:
-        """Encode plain pieces in one call, or each if the ids can't be told apart."""
+    def _plain(self, pieces: list[str]) -> list[bytes]:
+        """The ids of plain pieces, encoded in one call, or each if the ids can't be told apart."""
         data = self._encode((" " if self._words else "").join(pieces))
         ids = np.frombuffer(data, self.dtype)
         edges = np.flatnonzero(self._edge[ids])
-        counts = [1 if p.isalpha() or not self._words else len(_PARTS.findall(p)) for p in pieces]
-        parts = np.cumsum(counts)
+        counts = [1 if p.isalpha() else len(_PARTS.findall(p)) for p in pieces] if self._words else 1
+        parts = np.cumsum(np.broadcast_to(counts, len(pieces)))
         if len(edges) != parts[-1]:
-            self._memory.update((p, self._encode(p)) for p in pieces)
-            return
+            return list(map(self._encode, pieces))
         cuts = np.r_[0, edges[parts - 1] + 1] if self._words else np.r_[edges, len(ids)]
         cuts = (cuts * self.dtype.itemsize).tolist()
-        self._memory.update((p, data[a:b]) for p, a, b in zip(pieces, cuts, cuts[1:]))
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _unknown(self, pieces: list[str]) -> None:
+        """Encode pieces that are not remembered."""
+        letters = list(filter(_LETTERS_ONLY.fullmatch, pieces))
+        if letters:
+            self._memory.update(zip(letters, self._letters(letters), strict=True))
+        rest = set(pieces).difference(letters)
+        plain = list(filter((_PLAIN_WORD if self._words else _PLAIN_BYTES).fullmatch, rest))
+        for at in range(0, len(plain), _JOINED):
+            part = plain[at : at + _JOINED]
+            self._memory.update(zip(part, self._plain(part), strict=True))
+        rest.difference_update(plain)
+        self._memory.update(zip(rest, map(self._encode, rest), strict=True))
 
     def _lookup(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces."""
         found = list(map(self._memory.get, pieces))
-        new = [n for n, ids in enumerate(found) if ids is None]
-        if len(self._memory) + len(new) > REMEMBERED[self._words]:
+        places = [n for n, ids in enumerate(found) if ids is None]
+        if len(self._memory) + len(places) > REMEMBERED[self._words]:
             self._memory, self._older = {}, self._memory
-            new = list(range(len(pieces)))
-        memory, older, unknown = self._memory, self._older, []
-        for n in new:
-            piece = pieces[n]
-            if (ids := older.get(piece)) is None:
-                unknown.append(piece)
-            else:
-                memory[piece] = found[n] = ids
-        pattern = _PLAIN_WORD if self._words else _PLAIN_BYTES
-        plain = list(filter(pattern.fullmatch, unknown))
-        for at in range(0, len(plain), _JOINED):
-            self._plain(plain[at : at + _JOINED])
-        if len(plain) < len(unknown):
-            memory.update((p, self._encode(p)) for p in set(unknown).difference(plain))
-        for n in new:
-            if found[n] is None:
-                found[n] = memory[pieces[n]]
+            places = range(len(pieces))
+        new = [pieces[n] for n in places]
+        memory = self._memory
+        if self._older:
+            known = list(map(self._older.get, new))
+            memory.update((p, ids) for p, ids in zip(new, known, strict=True) if ids is not None)
+            unknown = [p for p, ids in zip(new, known, strict=True) if ids is None]
+        else:
+            unknown = new
+        self._unknown(unknown)
+        for n, piece in zip(places, new, strict=True):
+            found[n] = memory[piece]
         for p in unknown:
             if len(p) > LONGEST:
                 del memory[p]
@@ -145,21 +168,14 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
         del lists
-        found = [*self._lookup(coded.dictionary.to_pylist()), end]
-        sizes = np.fromiter(map(len, found), np.int32, len(found)) // self.dtype.itemsize
-        table = np.frombuffer(b"".join(found), self.dtype)
-        order = np.insert(coded.indices.to_numpy(), ends, len(found) - 1)
-        del coded, found
-        counts = sizes[order]
-        through = np.cumsum(counts, dtype=np.int64)
-        cuts = np.r_[0, through[ends + np.arange(len(ends))]] * self.dtype.itemsize
-        # Where each id comes from: a piece's place in the table, and on from there.
-        shift = (np.cumsum(sizes, dtype=np.int64) - sizes)[order] - (through - counts)
-        places = np.repeat(shift.astype(np.int32), counts)
-        del order, shift, counts
-        places += np.arange(len(places), dtype=np.int32)
-        ids = table[places]
-        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+        table = pa.array([*self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), end], pa.binary())
+        order = np.insert(coded.indices.to_numpy(), ends, len(table) - 1)
+        del coded
+        pieces = table.cast(pa.large_binary()).take(pa.array(order))
+        # The ids lie one behind the other: texts are cut behind their ends.
+        _, starts, ids = pieces.buffers()
+        cuts = np.frombuffer(starts, np.int64, len(pieces) + 1)[np.r_[0, ends + np.arange(1, len(ends) + 1)]]
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(cuts), ids])
 
     def encode(self, texts: pa.Array, end: int | None = None) -> pa.Array:
         """The ids of each text, and the end id if there is one, as a binary array."""
