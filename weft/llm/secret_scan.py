@@ -28,7 +28,7 @@ THRESHOLD = 0.5
 #: Labelled tokens of either kind that the models are fitted on.
 SAMPLES = 4096
 
-# Parts of ordinary identifiers and prose.
+# Parts that the samples of ordinary identifiers are made of: any list of common words would do.
 PARTS = (
     "account address alpha answer array batch before block branch buffer build cache call change channel check child "
     "class client column config connect content context control copy count create current data date default delete "
@@ -46,8 +46,8 @@ PARTS = (
 ).split()
 
 
-def labelled_samples(spark, samples: int = SAMPLES) -> DataFrame:
-    """token string, is_random boolean: random strings and identifiers made by rule.
+def labelled_samples(spark, samples: int = SAMPLES, first: int = 0) -> DataFrame:
+    """token string, is_random boolean: random strings and identifiers made by rule, numbered from first.
 
     Random strings are hex digits, base64 and upper-case letters with digits
     from a hash of the row number. Identifiers join parts by underscores,
@@ -73,7 +73,7 @@ def labelled_samples(spark, samples: int = SAMPLES) -> DataFrame:
     base64 = F.substring(F.base64(F.unhex(digest)), 1, 40)
     upper = F.translate(F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2(digest, 512))), "[+/=]", ""), 1, 40)), "-", "")
     random = F.when(i % 3 == 0, digest).when(i % 3 == 1, base64).otherwise(upper)
-    ids = spark.range(samples)
+    ids = spark.range(first, first + samples)
     return ids.select(random.alias("token"), F.lit(True).alias("is_random")).unionByName(
         ids.select(identifier.alias("token"), F.lit(False).alias("is_random"))
     )
@@ -106,40 +106,108 @@ def train_model(labelled: DataFrame) -> list[float]:
 def mean_ratio(token: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio of a token's character pairs."""
     table = F.from_json(F.lit(json.dumps(model)), "array<double>")
-    at = lambda n: F.instr(F.lit(CHARACTERS), token.substr(n, F.lit(1)))
+    codes = F.transform(F.split(token, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.instr(F.lit(CHARACTERS), c)))
+    ratio = lambda before, code: F.element_at(table, (before - 1) * len(CHARACTERS) + code)
     total = F.aggregate(
-        F.sequence(F.lit(2), F.length(token)),
-        F.lit(0.0),
-        lambda sum_, n: sum_ + F.element_at(table, (at(n - 1) - 1) * len(CHARACTERS) + at(n)),
+        F.filter(codes, lambda c: c > 0),
+        F.struct(F.lit(0).alias("before"), F.lit(0.0).alias("sum")),
+        lambda s, code: F.struct(
+            code.alias("before"), (s["sum"] + F.when(s["before"] > 0, ratio(s["before"], code)).otherwise(0.0)).alias("sum")
+        ),
+        lambda s: s["sum"],
     )
     return total / (F.length(token) - 1)
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), where value is computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(items: Column, first: Column, kind: str, step) -> Column:
+    """The states of a fold over items, one for each: array<kind>, where step(state, item) gives the next state.
+
+    An array that grows by one is copied for each item, so items are taken in
+    chunks of about the square root of their number: n items take n^1.5 copies.
+    """
+
+    def state(last: Column, states: Column) -> Column:
+        return F.struct(last.alias("last"), states.alias("states"))
+
+    def chunk(before: Column, part: Column) -> Column:
+        return F.aggregate(
+            part,
+            state(before, F.array().cast(f"array<{kind}>")),
+            lambda held, item: bound(step(held["last"], item), lambda s: state(s, F.concat(held["states"], F.array(s)))),
+        )
+
+    def chunks(all_: Column, width: Column) -> Column:
+        starts = F.when(F.size(all_) > 0, F.sequence(F.lit(1), F.size(all_), width)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.slice(all_, at, width))
+
+    width = lambda all_: F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(all_)))).cast("int")
+    whole = F.aggregate(
+        bound(items, lambda all_: bound(width(all_), lambda w: chunks(all_, w))),
+        state(first, F.array().cast(f"array<array<{kind}>>")),
+        lambda held, part: bound(
+            chunk(held["last"], part), lambda c: state(c["last"], F.concat(held["states"], F.array(c["states"])))
+        ),
+    )
+    return F.flatten(whole["states"])
+
+
 def _spans(text: Column, kind: str, order: int, pattern: str, group: int, keep) -> Column:
     """array<struct<start, kind order, end, kind, token>> of matches, in code points.
 
     Matches lie between the pieces that the pattern splits a text in, so that
-    their places are sums of lengths.
+    their places are running sums of lengths.
     """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     none = F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string,token:string>>")
-    walked = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match"), judged.alias("judged")),
-        F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda state, m: _step(state, m, kind, order),
-        lambda state: state["spans"],
+    matches = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match"), judged.alias("judged"))
+    places = bound(
+        matches,
+        lambda all_: F.arrays_zip(
+            running(
+                F.transform(all_, lambda m: F.length(m["gap"]) + F.length(m["match"])), F.lit(0), "int", lambda end, size: end + size
+            ).alias("end"),
+            F.transform(all_, lambda m: F.length(m["match"])).alias("size"),
+            F.transform(all_, lambda m: m["judged"]).alias("token"),
+        ),
     )
-    return F.when(text.rlike(pattern), F.filter(walked, lambda s: keep(s["token"]))).otherwise(none)
+    spans = F.transform(
+        F.filter(places, lambda m: keep(m["token"])),
+        lambda m: F.struct(
+            (m["end"] - m["size"]).alias("start"), F.lit(order).alias("kind_order"), m["end"].alias("end"),
+            F.lit(kind).alias("kind"), m["token"].alias("token"),
+        ),
+    )
+    return F.when(text.rlike(pattern), spans).otherwise(none)
+
 
+def without_overlap(added: Column, base: Column) -> Column:
+    """The spans of added that overlap none of base, in order.
 
-def _step(state: Column, match: Column, kind: str, order: int) -> Column:
-    start = state["at"] + F.length(match["gap"])
-    end = start + F.length(match["match"])
-    span = F.struct(
-        start.alias("start"), F.lit(order).alias("kind_order"), end.alias("end"), F.lit(kind).alias("kind"), match["judged"].alias("token")
+    In order of their starts, a span overlaps one of base before it if the
+    largest end so far is behind its start, and one after it if the smallest
+    start from behind is before its end.
+    """
+    marked = F.concat(
+        F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(False).alias("new"), s.alias("span"))),
+        F.transform(added, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(True).alias("new"), s.alias("span"))),
     )
-    return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    # Spans that start together lie side by side, those of base first.
+    in_order = F.array_sort(F.transform(marked, lambda m: F.struct(m["start"], m["new"].alias("new"), m["end"], m["span"])))
+
+    def free(ordered: Column) -> Column:
+        reached = running(ordered, F.lit(0), "int", lambda end, m: F.when(m["new"], end).otherwise(F.greatest(end, m["end"])))
+        far = F.lit(2**31 - 1)
+        ahead = running(F.reverse(ordered), far, "int", lambda start, m: F.when(m["new"], start).otherwise(F.least(start, m["start"])))
+        judged = F.arrays_zip(ordered.alias("m"), reached.alias("reached"), F.reverse(ahead).alias("ahead"))
+        return F.filter(judged, lambda x: x["m"]["new"] & (x["reached"] <= x["m"]["start"]) & (x["ahead"] >= x["m"]["end"]))
+
+    return F.transform(bound(in_order, free), lambda x: x["m"]["span"])
 
 
 def secret_spans(text: Column, model: list[float], threshold: float = THRESHOLD) -> tuple[dict[str, Column], Column]:
@@ -168,8 +236,9 @@ def scan_documents(docs: DataFrame, model: list[float] | None = None, threshold:
 
     spans lists kind:start:end of the base spans and of those that the model
     adds, by start, then by kind; ends are exclusive and places are code
-    points of the whole text. A null text is empty. Rows that repeat are
-    scanned each; other columns of docs are ignored; an empty table gives an
+    points of the whole text. A null text is empty, however long a text is it
+    stays in one row. Rows that repeat are scanned each, also those without a
+    doc_id; other columns of docs are ignored; an empty table gives an
     empty result.
     """
     model = model or train_model(labelled_samples(docs.sparkSession))
@@ -179,8 +248,8 @@ def scan_documents(docs: DataFrame, model: list[float] | None = None, threshold:
         "doc_id", *[spans.alias(f"__{kind}") for kind, spans in base.items()], added.alias("__added")
     )
     scanned = scanned.withColumn("__base", F.array_sort(F.concat(*[F.col(f"__{kind}") for kind in base])))
-    free = F.filter("__added", lambda a: ~F.exists("__base", lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])))
-    scanned = scanned.withColumn("__added", free)
+    free = without_overlap(F.col("__added"), F.col("__base"))
+    scanned = scanned.withColumn("__added", F.when(F.size("__added") > 0, free).otherwise(F.col("__added")))
     return scanned.select(
         "doc_id",
         *[F.size(f"__{kind}").cast("long").alias(f"n_{kind}") for kind in base],
