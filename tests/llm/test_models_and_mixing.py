@@ -238,6 +238,28 @@ def test_license_scan(spark):
     assert (4000, "Apache-2.0") in got and not [k for k in got if k[0] < 2000]
 
 
+def test_bands_retrieve_damaged_templates_of_all_lengths(spark):
+    assert license_scan.collision(11, 21, license_scan.WIDTHS[-1].bands) >= 0.999
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(6))
+    templates = [(f"L{n}", " ".join(word() for _ in range(5 + n % 120))) for n in range(600)]
+    rows, want = [], set()
+    for n, (name, text) in enumerate(templates):
+        words, pad = text.split(), [word() for _ in range(rng.randint(0, 40))]
+        cut = rng.randint(0, max(0, (len(words) - 4) // 5))  # ends damaged: at most a fifth of the shingles
+        front = rng.randint(0, cut)
+        kept = words[front : len(words) - (cut - front)]
+        if len(words) >= 34:  # or one word changed inside: five shingles
+            kept = [*words]
+            kept[rng.randint(8, len(words) - 9)] = "changed"
+        rows.append((n, " ".join([*pad, *kept, *pad[::-1]]), None, None, 0))
+        grams = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+        if len(grams([*pad, *kept, *pad]) & grams(words)) >= 0.8 * len(grams(words)):
+            want.add((n, name))
+    got = {(r.doc_id, r.license_id) for r in license_scan.scan(frame(spark, [*rows, *rows[:3]]), templates).collect()}
+    assert got == want and len(want) > 550
+
+
 def test_license_scan_finds_short_notices_and_common_licenses(spark):
     texts = {
         1: "Words before. All  rights\nRESERVED. Words behind.", 2: "// SPDX-License-Identifier: MIT\nint x;", 3: "MIT License",

@@ -1,28 +1,67 @@
 """License scans: MinHash bands over text windows, verified by shingle containment.
 
 Everything runs in DataFrame functions without a shuffle of texts. Words are
-runs of a-z and 0-9 of the lower-cased text. A window of WINDOW shingles
-collides with a template in a band if the band's least hash in the window is
-one of the template's shingles. Templates below SHINGLE words are one shingle
-of their own length and compared word by word.
+runs of a-z and 0-9 of the lower-cased text, shingles are runs of SHINGLE
+words. Texts and templates are cut to overlapping windows of shingles and
+signed alike by MinHash with one permutation: a band is the least of a window's
+shingle hashes in the band's range of values. A join by band and value
+retrieves the templates that share it, and each is verified by the share of its shingles that the text
+holds there. Templates below SHINGLE words are one shingle of their own length
+and compared word by word.
+
+A template is found through windows of one width, by its number of shingles;
+see WIDTHS. One changed word costs SHINGLE shingles, so a text that holds
+CONTAINMENT of a short template keeps a run of it, with whole windows.
 """
 
 from __future__ import annotations
 
 import json
-import math
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Words of a shingle, shingles of a window, and shingles between windows.
-SHINGLE, WINDOW, STRIDE = 5, 2, 1
-#: Slots of the table that is asked first whether a shingle is of a template.
-TABLE = 1 << 15
+from weft.llm.common import bound, bounded, checkpointed
+
+#: Words of a shingle.
+SHINGLE = 5
 #: Share of a template's shingles that its place in the text must hold.
 CONTAINMENT = 0.8
-#: A single shared shingle of a window is to be found with this probability.
-COLLISION = 0.999
+#: Slots at most of the table that is asked first whether a signature is of a template.
+MOST_SLOTS = 1 << 16
+
+
+class Width(NamedTuple):
+    """Windows of templates with at least so many shingles."""
+
+    least: int
+    shingles: int
+    stride: int
+    #: Ranges of hash values, a power of two: each is a band of one row, its least hash.
+    bands: int
+
+
+#: Up to 15 shingles, 0.8 of them lie in one run (of 4 and more from 4 on) that
+#: holds a whole window at stride 1, so that one band will do. From 16 on, some
+#: text window holds 11 of the 16 shingles of a template's window, of at most 21
+#: that either has: see collision().
+WIDTHS = (Width(1, 1, 1, 1), Width(4, 4, 1, 1), Width(16, 16, 8, 16))
+
+
+def collision(shared: int, either: int, bands: int) -> float:
+    """Probability that windows with so many shingles, of which some are shared, have a band's least hash in common.
+
+    Shingles fall in bands at random; the least hash of a band in use is a shared one in shared of either cases.
+    """
+    used = [1.0]  # probability that so many bands are in use
+    for _ in range(either):
+        used = [
+            (used[n] * n / bands if n < len(used) else 0.0) + (used[n - 1] * (bands - n + 1) / bands if n else 0.0)
+            for n in range(min(bands, len(used)) + 1)
+        ]
+    return 1 - sum(p * (1 - shared / either) ** n for n, p in enumerate(used))
+
 
 # Public license notices, by SPDX identifier. A notice is cut to the words
 # that tell it from its sisters: these hold less than CONTAINMENT of its shingles.
@@ -113,40 +152,79 @@ SHORT_TEMPLATES = (
 )
 
 
-def bands(window: int = WINDOW, collision: float = COLLISION) -> int:
-    """Bands of one row that find one shared shingle in a window with that probability."""
-    return math.ceil(math.log(1 - collision) / math.log(1 - 1 / window))
-
-
 def words_of(text: Column) -> Column:
     """The words of a text; an empty array for null."""
     found = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")
     return F.filter(found, lambda w: w != "")
 
 
-def shingles_of(words: Column) -> Column:
+def shingles_of(all_words: Column) -> Column:
     """Hashes of all runs of SHINGLE words."""
+    return bound(all_words, _shingles)
+
+
+def _shingles(words: Column) -> Column:
     last = F.size(words) - SHINGLE + 1
     places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(SHINGLE)]))
 
 
-def _mixed(hash_: Column, band: int) -> Column:
-    """The hash under a band's permutation: exclusive or with the band's random word."""
-    word = (band + 1) * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)
-    word ^= word >> 29
-    word = word * 0xBF58476D1CE4E5B9 & ((1 << 64) - 1)
-    return hash_.bitwiseXOR(F.lit(word - (1 << 64) if word >> 63 else word))
+def _starts(hashes: Column, stride: int) -> Column:
+    return F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.size(hashes), F.lit(stride))).otherwise(F.array().cast("array<int>"))
+
+
+def _signatures(hashes: Column, n: int, keep) -> Column:
+    """array<struct<at, band, value>> of the windows of the n-th width, where the value is kept.
+
+    A window that lies at the end may have less shingles than its width.
+    """
+    width, first = WIDTHS[n], sum(w.bands for w in WIDTHS[:n])
+    signature = lambda at, band, value: F.struct(at.alias("at"), band.alias("band"), value.alias("value"))
+    if width.bands == 1:
+        least = lambda at: F.get(hashes, at - 1)
+        if width.shingles > 1:
+            least = lambda at: F.least(*[F.get(hashes, at + (j - 1)) for j in range(width.shingles)])
+        kept = F.filter(_starts(hashes, width.stride), lambda at: keep(least(at)))
+        return F.transform(kept, lambda at: signature(at, F.lit(first), least(at)))
+    # A band has the hashes of one range: in order, the least one comes behind another band's.
+    bits = width.bands.bit_length() - 1
+    band = lambda h: F.shiftright(h, 64 - bits).cast("int")
+
+    def bins(at: Column) -> Column:
+        def least(ordered: Column) -> Column:
+            found = F.filter(ordered, lambda h, k: keep(h) & ((k == 0) | (band(h) != band(F.get(ordered, k - 1)))))
+            return F.transform(found, lambda h: signature(at, band(h) + (first + width.bands // 2), h))
+
+        return bound(F.sort_array(F.slice(hashes, at, width.shingles)), least)
+
+    return F.flatten(F.transform(_starts(hashes, width.stride), bins))
 
 
-def _templates(spark, templates) -> tuple[list[tuple[str, int, list[int]]], list[tuple[str, list[str]]]]:
-    """License, words and distinct shingle hashes of each template, and license and words of those that have no shingle."""
+def _templates(spark, templates) -> tuple[DataFrame, list[tuple[str, list[str]]]]:
+    """license_id, n_words, shingles of each template, and license and words of those that have no shingle."""
     df = spark.createDataFrame([(i, lic, text) for i, (lic, text) in enumerate(templates)], "i int, license string, text string")
     rows = df.select("i", "license", words_of(F.col("text")).alias("w")).select("i", "license", "w", shingles_of(F.col("w")).alias("s")).orderBy("i").collect()
     blank = [templates[r.i][1] for r in rows if not r.w]
     if blank:
         raise ValueError(f"templates need words: {blank}")
-    return [(r.license, len(r.w), sorted(set(r.s))) for r in rows if r.s], [(r.license, r.w) for r in rows if not r.s]
+    long = spark.createDataFrame([(r.i, r.license, len(r.w), r.s) for r in rows if r.s], "template int, license_id string, n_words int, h array<long>")
+    return long, [(r.license, r.w) for r in rows if not r.s]
+
+
+def _index(long: DataFrame) -> DataFrame:
+    """band, value, license_id, n_words, shingles: the signatures of all whole windows of the templates, at stride 1."""
+
+    def signed(n: int, width: Width) -> DataFrame:
+        mine = long.where(F.size("h") >= width.least)
+        if n + 1 < len(WIDTHS):
+            mine = mine.where(F.size("h") < WIDTHS[n + 1].least)
+        whole = F.sequence(F.lit(1), F.size("h") - (width.shingles - 1))
+        windows = mine.select("license_id", "n_words", F.array_distinct("h").alias("shingles"), F.explode(F.transform(whole, lambda at: F.slice("h", at, width.shingles))).alias("w"))
+        signatures = F.explode(_signatures(F.col("w"), n, lambda _: F.lit(True))).alias("s")
+        found = windows.select("license_id", "n_words", "shingles", signatures).where("s.at = 1")
+        return found.select("s.band", "s.value", "license_id", "n_words", "shingles")
+
+    return reduce(DataFrame.unionByName, [signed(n, w) for n, w in enumerate(WIDTHS)]).distinct()
 
 
 def _short_places(docs: DataFrame, short: list[tuple[str, list[str]]]) -> DataFrame:
@@ -180,10 +258,10 @@ def scan(docs: DataFrame, templates=TEMPLATES + SHORT_TEMPLATES, containment: fl
     a doc_id are one document. Other columns of docs are ignored; an empty
     table gives an empty result.
     """
-    known, short = _templates(docs.sparkSession, templates)
+    long, short = _templates(docs.sparkSession, templates)
     found = []
-    if known:
-        found.append(_long_places(docs, known).where(F.col("containment") >= containment))
+    if long.limit(1).count():
+        found.append(_long_places(docs, long).where(F.col("containment") >= containment))
     if short:
         found.append(_short_places(docs, short))
     return (
@@ -193,39 +271,21 @@ def scan(docs: DataFrame, templates=TEMPLATES + SHORT_TEMPLATES, containment: fl
     )
 
 
-def _long_places(docs: DataFrame, known: list[tuple[str, int, list[int]]]) -> DataFrame:
-    """doc_id, at, license_id, containment: the licenses' best shares around every window that a band finds."""
-    every = sorted({h for _, _, s in known for h in s})
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    hashed = words.select("doc_id", shingles_of(F.col("words")).alias("h"))
-    # Rows of a window hold its hashes as fields, so that minima stay in generated code.
-    starts = F.when(F.size("h") > 0, F.sequence(F.lit(1), F.size("h"), F.lit(STRIDE)))
-    fields = lambda at: [F.get("h", at + (j - 1)).alias(f"h{j}") for j in range(WINDOW)]
-    window = F.explode(F.transform(starts, lambda at: F.struct(at.alias("at"), *fields(at))))
-    windows = hashed.select("doc_id", "h", window.alias("w"))
-    least = [F.least(*[_mixed(F.col(f"w.h{j}"), b) for j in range(WINDOW)]) for b in range(bands())]
-    # A band's least value, unmixed, is the window's shingle that it stands for.
-    # A table by its low bits answers most bands that have no such shingle.
-    low = {h & (TABLE - 1) for h in every}
-    table = F.from_json(F.lit(json.dumps([int(i in low) for i in range(TABLE)])), "array<int>")
-    known_low = lambda h: F.get(table, h.bitwiseAND(F.lit(TABLE - 1)).cast("int")) == 1
-    least = [_mixed(m, b) for b, m in enumerate(least)]
-    hit = reduce(lambda a, b: a | b, [known_low(h) & h.isin(every) for h in least])
-    hits = windows.where(hit).select("doc_id", "h", F.col("w.at").alias("at"))
-
-    def share(words_of_template: int, shingles: list[int]) -> Column:
-        begin = F.greatest(F.col("at") - words_of_template, F.lit(1))
-        region = F.slice("h", begin, F.lit(WINDOW + 2 * words_of_template))
-        shared = F.array_intersect(region, F.array(*[F.lit(h) for h in shingles]))
-        return F.size(shared) / F.lit(float(len(shingles)))
-
-    licenses = sorted({lic for lic, _, _ in known})
-    best = [
-        F.struct(
-            F.lit(lic).alias("license_id"),
-            F.greatest(F.lit(0.0), *[share(n, s) for name, n, s in known if name == lic]).alias("containment"),
-        )
-        for lic in licenses
-    ]
-    found = hits.select("doc_id", "at", F.explode(F.array(*best)).alias("m"))
-    return found.select("doc_id", "at", "m.*")
+def _long_places(docs: DataFrame, long: DataFrame) -> DataFrame:
+    """doc_id, at, license_id, containment: the share of every template that a window retrieves, around the window."""
+    index = checkpointed(_index(long))
+    slots = min(MOST_SLOTS, 1 << (16 * index.count() - 1).bit_length())
+    low = {r.low for r in index.select(F.col("value").bitwiseAND(F.lit(slots - 1)).alias("low")).distinct().collect()}
+    table = F.from_json(F.lit(json.dumps([int(i in low) for i in range(slots)])), "array<int>")
+    hashed = docs.select("doc_id", shingles_of(words_of(F.col("text"))).alias("h"))
+
+    def known(slots_: Column) -> Column:
+        keep = lambda value: F.get(slots_, value.bitwiseAND(F.lit(slots - 1)).cast("int")) == 1
+        return F.concat(*[_signatures(F.col("h"), n, keep) for n in range(len(WIDTHS))])
+
+    signatures = hashed.select("doc_id", "h", F.explode(bound(table, known)).alias("s"))
+    hits = signatures.select("doc_id", "h", "s.*").join(bounded(index), ["band", "value"])
+    begin = F.greatest(F.col("at") - F.col("n_words"), F.lit(1))
+    region = F.slice("h", begin, F.lit(WIDTHS[-1].shingles) + 2 * F.col("n_words"))
+    share = F.size(F.array_intersect("shingles", region)) / F.size("shingles")
+    return hits.select("doc_id", "at", "license_id", share.alias("containment"))

@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weft.llm.common import bound
+
 # The kinds of the base scan in their order, each with its
 # pattern, the group whose length counts, and that length.
 BASE = (
@@ -119,11 +121,6 @@ def mean_ratio(token: Column, model: list[float]) -> Column:
     return total / (F.length(token) - 1)
 
 
-def bound(value: Column, body) -> Column:
-    """body(value), where value is computed once however often body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def running(items: Column, first: Column, kind: str, step) -> Column:
     """The states of a fold over items, one for each: array<kind>, where step(state, item) gives the next state.
 
