@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from weft.functions import trees
 from weft.functions.dynamic import Profile, align, align_and_merge, fold, merge, merge_by_edges, to_a3m
 from weft.functions.kmeans import bisecting_kmeans
+from weft.lineage import checkpointed
 from weft.options import AlignOptions
 
 _STATE = ("match_ratio", "del_ratio", "match_to_del", "del_to_del")
@@ -160,16 +161,6 @@ def _merge_level(spark, blobs: DataFrame, plan: list[tuple[int, int, int, float,
     return ready.mapInPandas(run, "node long, blob binary, score double")
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weft-checkpoint-"))
-    return df.checkpoint()
-
-
 def _levels(tree: list[trees.Node], leaves: dict[int, int]):
     """Levels of merges with weights, and the nodes that are left at the end."""
     levels = []
@@ -193,7 +184,7 @@ def tree_alignment(packed: DataFrame, options: AlignOptions, extra: list[Profile
     checkpoint; the driver holds one coordinate for each sequence and the
     result.
     """
-    packed = _checkpoint(packed)
+    packed = checkpointed(packed)
     points = coordinates(packed, options).orderBy("seq_ord").collect()
     orders = [r.seq_ord for r in points]
     if len(orders) < 3:
@@ -207,9 +198,9 @@ def tree_alignment(packed: DataFrame, options: AlignOptions, extra: list[Profile
     spark = packed.sparkSession
     number = spark.createDataFrame([(orders[leaf], n) for n, leaf in leaves.items()], "seq_ord int, leaf long")
     blobs = _blobs(packed).join(number, F.col("node") == F.col("seq_ord")).select(F.col("leaf").alias("node"), "blob", F.lit(0.0).alias("score"))
-    blobs = _checkpoint(blobs)
+    blobs = checkpointed(blobs)
     for plan in [*levels, *last]:
-        done = _checkpoint(_merge_level(spark, blobs, plan, options))
+        done = checkpointed(_merge_level(spark, blobs, plan, options))
         used = {x for step in plan for x in step[1:3]}
         blobs = blobs.where(~F.col("node").isin(list(used))).unionByName(done)
     (row,) = blobs.collect()
@@ -273,7 +264,7 @@ def cluster_points(spark, points: np.ndarray, max_members: int, seed: int) -> li
 def hierarchical_alignment(packed: DataFrame, options: AlignOptions) -> tuple[Profile, float]:
     """Clusters too many sequences, aligns each cluster in a task, and goes on with the merged groups."""
     spark = packed.sparkSession
-    blobs = _checkpoint(_blobs(packed))
+    blobs = checkpointed(_blobs(packed))
     while True:
         count = blobs.count()
         if count <= options.max_cluster_size:
@@ -295,7 +286,7 @@ def hierarchical_alignment(packed: DataFrame, options: AlignOptions) -> tuple[Pr
             done = tree_alignment_in_task(profiles, options, True) if len(profiles) > 3 else [(p, 0.0) for p in profiles]
             return pd.DataFrame({"node": f["node"].tolist()[: len(done)], "blob": [p.to_bytes() for p, _ in done]})
 
-        merged = _checkpoint(named.groupBy("cluster").applyInPandas(run, "node long, blob binary"))
+        merged = checkpointed(named.groupBy("cluster").applyInPandas(run, "node long, blob binary"))
         if merged.count() >= count:
             raise ValueError("clusters could not be merged further")
         blobs = merged
