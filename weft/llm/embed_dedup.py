@@ -13,11 +13,15 @@ share. Inside the task the share is tested for every pair in each block.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from weft.llm.common import bounded, checkpointed, connected_components
+from weft.lineage import bounded, checkpointed
+from weft.operators.graph import connected_components
 
 #: Vectors of a tile at most; dimensions of a block.
 TILE, BLOCK = 4096, 16
@@ -25,6 +29,8 @@ TILE, BLOCK = 4096, 16
 SAMPLE = 16_384
 #: Rows of a tile that are compared with another tile at once.
 STRIP = 512
+#: Boxes of tiles in a block of them.
+BOXES = 512
 _SLACK = 1e-4
 
 
@@ -76,11 +82,13 @@ class Split:
         return out
 
 
-def _units(column: pa.Array, turn: np.ndarray) -> np.ndarray:
-    """Rotated unit vectors of rows that all have finite components of one length."""
+def _unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors, in double precision, of rows that all have finite components of one length."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(len(column), -1)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True) @ turn
+    # Scaled by a power of two, which is exact, so that no square overflows.
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def _strip_links(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: np.ndarray, least: float):
@@ -100,12 +108,10 @@ def _strip_links(a: np.ndarray, b: np.ndarray, turned_a: np.ndarray, turned_b: n
 def _meet(least: float):
     def meet(table: pa.Table) -> pa.Table:
         """Links inside one pair of tiles: counts for each class, and edges that span its components."""
-        table = table.sort_by("rep")
-        vectors = table.column("v").combine_chunks()
-        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-        whole = flat / np.linalg.norm(flat, axis=1, keepdims=True)
+        table = table.sort_by("class")
+        whole = _unit_rows(table.column("v").combine_chunks())
         turned = (whole @ rotation(whole.shape[1])).astype(np.float32)
-        rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy().astype(np.float64)
+        rep, copies = table.column("class").to_numpy(), table.column("copies").to_numpy().astype(np.float64)
         second = table.column("second").to_numpy()
         one_tile = not second.any()
         left = np.flatnonzero(~second)
@@ -126,7 +132,7 @@ def _meet(least: float):
         has, bound = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(rep)))
         none = lambda n: [None] * n
         return pa.table({
-            "rep": pa.array([*rep[has].tolist(), *none(len(bound))], pa.int64()),
+            "class": pa.array([*rep[has].tolist(), *none(len(bound))], pa.int64()),
             "links": pa.array([*links[has].astype(np.int64).tolist(), *none(len(bound))], pa.int64()),
             "a": pa.array([*none(len(has)), *rep[bound].tolist()], pa.int64()),
             "b": pa.array([*none(len(has)), *rep[label[bound]].tolist()], pa.int64()),
@@ -138,36 +144,36 @@ def _meet(least: float):
 def _tiled(classes: DataFrame, rows: int, dimensions: int) -> DataFrame:
     """classes with a tile number: cells of a k-d split, and parts of cells that are too full."""
     turn = rotation(dimensions)
-    sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    split = Split(_units(sample, turn), -(-rows // TILE) if rows > TILE else 1)
+    sample = classes.orderBy(F.xxhash64("class")).limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    split = Split(_unit_rows(sample) @ turn, -(-rows // TILE) if rows > TILE else 1)
 
     def place(batches):
         for batch in batches:
-            cell = split.cell(_units(batch.column(2), turn))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["rep", "copies", "v", "cell"])
-
-    placed = checkpointed(classes.mapInArrow(place, "rep long, copies long, v array<float>, cell long"))
-    fill = placed.groupBy("cell").count()
-    parts = fill.select("cell", F.ceil(F.col("count") / TILE).alias("parts"), F.ceil(F.max("count").over(_all()) / TILE).alias("most"))
-    joined = placed.join(bounded(checkpointed(parts)), "cell")
-    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts"))
-    return joined.select("rep", "copies", "v", (F.col("cell") * F.col("most") + part).alias("tile"))
-
+            cell = split.cell(_unit_rows(batch.column(2)) @ turn)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["class", "copies", "v", "cell"])
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
+    kind = classes.schema["v"].dataType.simpleString()
+    placed = checkpointed(classes.mapInArrow(place, f"class long, copies long, v {kind}, cell long"))
+    fill = checkpointed(placed.groupBy("cell").count())
+    most = -(-fill.agg(F.max("count")).first()[0] // TILE)
+    parts = fill.select("cell", F.ceil(F.col("count") / TILE).alias("parts"))
+    part = F.pmod(F.xxhash64("class", F.lit(1)), F.col("parts"))
+    joined = placed.join(bounded(parts), "cell")
+    return joined.select("class", "copies", "v", (F.col("cell") * most + part).alias("tile"))
 
 
 def _tile_pairs(tiled: DataFrame, dimensions: int, least: float) -> DataFrame:
-    """(tile, other): pairs tile <= other whose boxes come within a block's share."""
+    """(tile, other): pairs of tiles, and each tile with itself, whose boxes come within a block's share.
+
+    Boxes are compared in blocks of BOXES by BOXES: a task holds two blocks,
+    whatever the number of tiles, and none go to the driver.
+    """
     turn = rotation(dimensions)
 
     def box(batches):
         low, high = {}, {}
         for batch in batches:
-            units, tiles = _units(batch.column(0), turn), batch.column(1).to_numpy()
+            units, tiles = _unit_rows(batch.column(0)) @ turn, batch.column(1).to_numpy()
             for t in np.unique(tiles).tolist():
                 rows = units[tiles == t]
                 low[t] = np.minimum(low[t], rows.min(axis=0)) if t in low else rows.min(axis=0)
@@ -178,46 +184,66 @@ def _tile_pairs(tiled: DataFrame, dimensions: int, least: float) -> DataFrame:
             names=["tile", "low", "high"],
         )
 
-    parts = tiled.select("v", "tile").mapInArrow(box, "tile long, low array<double>, high array<double>")
-    exploded = parts.select("tile", F.posexplode(F.arrays_zip("low", "high")))
+    found = tiled.select("v", "tile").mapInArrow(box, "tile long, low array<double>, high array<double>")
+    exploded = found.select("tile", F.posexplode(F.arrays_zip("low", "high")))
     sides = exploded.groupBy("tile", "pos").agg(F.min("col.low").alias("low"), F.max("col.high").alias("high"))
-    # One box for each TILE vectors: the driver holds rows / TILE boxes.
-    boxes = sides.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("pos", "low", "high"))).alias("box")).collect()
-    tiles = np.array([b.tile for b in boxes], np.int64)
-    low = np.array([[s.low for s in b.box] for b in boxes]).reshape(len(boxes), -1)
-    high = np.array([[s.high for s in b.box] for b in boxes]).reshape(len(boxes), -1)
+    boxes = sides.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("pos", "low", "high"))).alias("box"))
+    boxes = checkpointed(boxes.select("tile", F.col("box.low").alias("low"), F.col("box.high").alias("high")))
+    count = -(-boxes.count() // BOXES)
+    mine = F.pmod(F.xxhash64("tile"), F.lit(count)).cast("int")
+    dealt = boxes.select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("its"))
+    dealt = dealt.select("tile", "low", "high", (F.col("mine") > F.col("its")).alias("second"), F.least("mine", "its").alias("a"), F.greatest("mine", "its").alias("b"))
     budget = 2 - 2 * least
 
-    def near(batches):
-        for batch in batches:
-            for n in batch.column(0).to_pylist():
-                gap = np.maximum(0, np.maximum(low - high[n], low[n] - high)) ** 2
-                meets = np.zeros(len(tiles), bool)
-                for block in blocks(dimensions):
-                    share = budget * (block.stop - block.start) / dimensions * (1 + 2 * _SLACK) + _SLACK
-                    meets |= gap[:, block].sum(axis=1) <= share
-                others = tiles[meets & (tiles >= tiles[n])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(others), tiles[n])), pa.array(others)], names=["tile", "other"])
-
-    spark = tiled.sparkSession
-    numbers = spark.range(0, len(tiles), 1, max(1, min(len(tiles), 1024)))
-    return numbers.mapInArrow(near, "tile long, other long")
+    def near(table: pa.Table) -> pa.Table:
+        tiles, second = table.column("tile").to_numpy(), table.column("second").to_numpy()
+        low, high = (table.column(n).combine_chunks().flatten().to_numpy().reshape(len(tiles), -1) for n in ("low", "high"))
+        one_block = table.column("a")[0] == table.column("b")[0]
+        others = np.arange(len(tiles)) if one_block else np.flatnonzero(second)
+        out = []
+        for n in np.flatnonzero(~second).tolist():
+            gap = np.maximum(0, np.maximum(low[others] - high[n], low[n] - high[others])) ** 2
+            meets = np.zeros(len(others), bool)
+            for block in blocks(dimensions):
+                share = budget * (block.stop - block.start) / dimensions * (1 + 2 * _SLACK) + _SLACK
+                meets |= gap[:, block].sum(axis=1) <= share
+            if one_block:
+                meets &= tiles[others] >= tiles[n]
+            out.append(np.stack([np.full(meets.sum(), tiles[n]), tiles[others[meets]]]))
+        pairs = np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1)
+        return pa.table({"tile": pairs[0], "other": pairs[1]})
+
+    return dealt.groupBy("a", "b").applyInArrow(near, "tile long, other long")
+
+
+def _links(classes: DataFrame, rows: int, dimensions: int, least: float) -> DataFrame:
+    """class, links, a, b: how many vectors each class links with, and edges (a, b) of classes; one length of vectors."""
+    tiled = checkpointed(_tiled(classes, rows, dimensions))
+    pairs = checkpointed(_tile_pairs(tiled, dimensions, least))
+    sides = pairs.select("tile", "other", F.lit(False).alias("second"), F.col("tile").alias("mine")).unionByName(
+        pairs.where("tile <> other").select("tile", "other", F.lit(True).alias("second"), F.col("other").alias("mine"))
+    )
+    met = tiled.withColumnRenamed("tile", "mine").join(bounded(sides, 200_000), "mine")
+    return checkpointed(met.groupBy("tile", "other").applyInArrow(_meet(least), "class long, links long, a long, b long"))
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Vectors link at a cosine of least or more (0 < least <= 1). n_links counts
-    the other vectors that a vector links with; component_id is the smallest
-    vec_id that links reach, itself included; kept tells that it is the
+    Vectors link at a cosine of least or more (0 < least <= 1), whose
+    components have the precision of the column: float, or else double. n_links
+    counts the other vectors that a vector links with; component_id is the
+    smallest vec_id that links reach, itself included; kept tells that it is the
     vector's own. Null vectors, zero vectors, and vectors with null or
-    non-finite components link with nothing. All others must have one length;
-    another length raises an error. vec_id is taken to be a key and not null.
-    Equal vectors are one class with a count, and links of a class are counted
-    once for all its vectors. Other columns are ignored; an empty table gives
-    an empty result.
+    non-finite components link with nothing, and vectors of different lengths
+    don't link: each length is joined by itself. Rows are vectors of their own
+    whatever ids they share; a row without an id links like any other, and is
+    kept if its component has no id at all. Equal vectors are one class with a
+    count, and links of a class are counted once for all its vectors. Other
+    columns are ignored; an empty table gives an empty result.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("v"))
+    kind = "float" if vectors.schema[embedding].dataType == ArrayType(FloatType()) else "double"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("v"))
     clean = (
         F.col("v").isNotNull()
         & (F.size("v") > 0)
@@ -226,33 +252,30 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, vec_id: str = "vec_id"
     )
     rows = rows.withColumn("usable", F.coalesce(clean, F.lit(False)))
     usable = rows.where("usable").select("vec_id", "v")
-    classes = checkpointed(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "v"))
-    shape = classes.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
+    grouped = usable.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # The checkpoint settles the numbers of the classes.
+    numbered = checkpointed(grouped.select(F.monotonically_increasing_id().alias("class"), "copies", "v", "least"))
+    shapes = numbered.groupBy(F.size("v").alias("length")).count().orderBy("length").collect()
     alone = F.struct(F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if not shape.n:
-        return rows.select("vec_id", alone.alias("x")).select("vec_id", "x.*", F.lit(True).alias("kept"))
-    if shape.low != shape.high:
-        raise ValueError(f"vectors have between {shape.low} and {shape.high} components")
-    tiled = checkpointed(_tiled(classes, shape.n, shape.low))
-    pairs = checkpointed(_tile_pairs(tiled, shape.low, least))
-    sides = pairs.select("tile", "other", F.lit(False).alias("second"), F.col("tile").alias("mine")).unionByName(
-        pairs.where("tile <> other").select("tile", "other", F.lit(True).alias("second"), F.col("other").alias("mine"))
-    )
-    met = tiled.withColumnRenamed("tile", "mine").join(bounded(sides, 200_000), "mine")
-    found = checkpointed(met.groupBy("tile", "other").applyInArrow(_meet(least), "rep long, links long, a long, b long"))
-    links = found.where("rep IS NOT NULL").groupBy("rep").agg(F.sum("links").alias("links"))
-    components = connected_components(found.where("a IS NOT NULL").select("a", "b"))
-    resolved = (
-        classes.join(links, "rep", "left")
-        .join(bounded(components), classes.rep == components.node, "left")
-        .select(
-            "v",
-            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
-            F.coalesce("component", "rep").alias("component"),
-        )
-    )
-    joined = usable.join(checkpointed(resolved), "v").select(
-        "vec_id", F.struct(F.col("links").alias("n_links"), F.col("component").alias("component_id")).alias("x")
-    )
-    joined = joined.unionByName(rows.where("NOT usable").select("vec_id", alone.alias("x")))
-    return joined.select("vec_id", "x.*", (F.col("x.component_id") == F.col("vec_id")).alias("kept"))
+    out = rows.where("NOT usable").select("vec_id", alone.alias("x"))
+    if shapes:
+        parts = [
+            _links(numbered.where(F.size("v") == s.length).select("class", "copies", "v"), s["count"], s.length, least) for s in shapes
+        ]
+        found = reduce(DataFrame.unionByName, parts)
+        links = found.where("class IS NOT NULL").groupBy("class").agg(F.sum("links").alias("links"))
+        components = connected_components(found.where("a IS NOT NULL").select("a", "b"))
+        labelled = checkpointed(
+            numbered.join(links, "class", "left")
+            .join(bounded(components), numbered["class"] == components.node, "left")
+            .select(
+                "v", "least",
+                (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
+                F.coalesce("component", "class").alias("component"),
+            )
+        )
+        smallest = checkpointed(labelled.groupBy("component").agg(F.min("least").alias("component_id")))
+        resolved = labelled.join(bounded(smallest), "component").select("v", "links", "component_id")
+        x = F.struct(F.col("links").alias("n_links"), "component_id").alias("x")
+        out = out.unionByName(usable.join(resolved, "v").select("vec_id", x))
+    return out.select("vec_id", "x.*", F.col("x.component_id").eqNullSafe(F.col("vec_id")).alias("kept"))
