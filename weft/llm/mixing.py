@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weft.llm.common import bounded, checkpointed, word_count
+from weft.lineage import bounded, checkpointed
+from weft.llm.common import word_count
 
 #: Words of a block.
 BLOCK_WORDS = 1024
@@ -25,8 +26,8 @@ EPOCHS = 2
 STEP, PER_BUCKET = 1 << 16, 4096
 #: Sources up to this number are broadcast; more are joined by a shuffle.
 SOURCES_BROADCAST = 10_000
-#: Golden ratio in 31 bits (odd, so that all points differ within a period).
-_GOLDEN, _PERIOD = 1327217885, 1 << 31
+#: Golden ratio in 64 bits (odd, so that no two of 2**64 points are equal); products wrap around.
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Points for each slot of the mix. Gaps between golden-ratio points are below
 #: 1.9 over their number, so this many reach every source as often as it needs;
 #: what is too many for a source is left out.
@@ -73,8 +74,8 @@ def schedule(spark, targets: list[float], words: list[int], block: int = BLOCK_W
     steps = -(-slots // STEP)
 
     def sources(step: int) -> np.ndarray:
-        at = np.arange(step * STEP, min(slots, (step + 1) * STEP), dtype=np.int64) % _PERIOD
-        points = at * _GOLDEN % _PERIOD / _PERIOD
+        at = np.arange(step * STEP, min(slots, (step + 1) * STEP), dtype=np.uint64)
+        points = (at * _GOLDEN).astype(np.float64) / 2.0**64
         return np.minimum(np.searchsorted(edges, points, "right"), len(edges) - 1)
 
     def count(batches):
@@ -220,21 +221,23 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """
     key = ["doc_id", "source", "text_crc32"]
     taken = mix_documents(docs, **options).where("taken > 0")
-    counts = taken.groupBy(*[F.col(c).alias(f"__{c}") for c in key]).agg(F.first("size").alias("__size"), F.max("taken").alias("__taken"))
+    counts = taken.groupBy(*[F.col(c).alias(f"of_{c}") for c in key]).agg(F.first("size").alias("size"), F.max("taken").alias("taken"))
     counts = checkpointed(counts)
+    rows = docs.select(F.struct("*").alias("row"))  # whatever columns docs has, they stay
     same = (
-        docs.doc_id.eqNullSafe(F.col("__doc_id"))
-        & docs.source.eqNullSafe(F.col("__source"))
-        & (_text_crc32(docs.text) == F.col("__text_crc32"))
+        F.col("row.doc_id").eqNullSafe(F.col("of_doc_id"))
+        & F.col("row.source").eqNullSafe(F.col("of_source"))
+        & (_text_crc32(F.col("row.text")) == F.col("of_text_crc32"))
     )
-    joined = docs.join(bounded(counts), same)
-    rounds = joined.withColumn("__round", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")))))
-    rest = F.least("__size", F.col("__taken") - (F.col("__round") - 1) * F.col("__size")).cast("int")
-    text = F.when(rest == F.col("__size"), F.col("text")).otherwise(first_words(F.col("text"), rest))
-    out = rounds.withColumn("text", text)
+    joined = rows.join(bounded(counts), same)
+    rounds = joined.withColumn("round", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")))))
+    rest = F.least("size", F.col("taken") - (F.col("round") - 1) * F.col("size")).cast("int")
+    text = F.when(rest == F.col("size"), F.col("row.text")).otherwise(first_words(F.col("row.text"), rest))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    out = rounds.select("row", text.alias("text"))
+    return out.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def first_words(text: Column, count: Column) -> Column:
