@@ -75,6 +75,35 @@ FROM t JOIN g ON t.norm = g.norm
 """
 
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, four bits at a time, the lower half of a byte first."""
+    table = []
+    for value in range(16):
+        for _ in range(4):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    digits = f"string_split(regexp_replace(hex(encode({text})), '(.)(.)', '\\2\\1', 'g'), '')"
+    values = f"list_transform({digits}, lambda c: CAST(instr('123456789ABCDEF', c) AS BIGINT))"
+    step = f"xor(acc >> 4, {table}[(xor(acc, x) & 15) + 1])"
+    return f"CASE WHEN {text} = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295, {values}), lambda acc, x: {step}), 4294967295) END"
+
+
+def _shard_sql(shards: int) -> str:
+    """The shard with the largest score 1 / -ln(u) of a key's MD5, the smaller on a tie."""
+    u = "(CAST('0x' || substr(md5('=' || doc_id || '#' || n), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+    return f"(SELECT arg_max(CAST(n AS INTEGER), (1.0 / -ln({u}), -n)) FROM range({shards}) r(n))"
+
+
+OP9_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size, CAST({_crc32_sql("text")} AS BIGINT) AS text_crc32 FROM t),
+p AS (SELECT *, {_shard_sql(8)} AS shard, {_shard_sql(9)} AS grown_shard FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5('=' || doc_id || '|=' || text_crc32 || '|=' || size)) - 1 AS slot, grown_shard
+FROM p
+"""
+
+
 def queries():
     return {
         "op1_language_id": op1_language_id,
@@ -91,4 +120,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op9_sharding": OP9_SQL}

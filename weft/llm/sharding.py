@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from weft.llm.common import bounded, checkpointed
+from weft.lineage import bounded, checkpointed
 
 #: Rows that one window of slots should hold, on average over shards.
 PER_BUCKET = 2_000
@@ -46,31 +46,32 @@ def shard_rows(
 ) -> DataFrame:
     """df with shard int, slot long and, with grown weights, grown_shard int.
 
-    slot numbers the rows of a shard from 0 without gaps, in the order of a
-    hash of the key. Rows of a shard are numbered in buckets of that hash and
-    the bucket sizes summed up, so that no task sorts a whole shard. A null key
-    is a key like any other; rows that repeat a key go to one shard, where
-    order breaks the tie. Columns of those names in df are replaced.
+    slot numbers the rows of a shard from 0 without gaps, in the order of the
+    MD5 of the key and the order columns. Rows of a shard are numbered in
+    ranges of that hash and the sizes of ranges summed up, so that no task
+    sorts a whole shard. A null key is a key like any other; rows that repeat a
+    key go to one shard, spread by their order columns, and rows that repeat
+    both lie side by side in one range. Columns shard, slot and grown_shard of
+    df are replaced, others stay whatever their names.
     """
+    kept = df.drop("shard", "slot", "grown_shard")
     key = key_text(*keys)
-    new = {"shard": rendezvous(key, weights)}
+    new = [rendezvous(key, weights).alias("shard")]
     if grown is not None:
-        new["grown_shard"] = rendezvous(key, grown)
-    placed = df.drop("shard", "slot", "grown_shard").withColumns(new)
+        new.append(rendezvous(key, grown).alias("grown_shard"))
     buckets = max(64, -(-df.count() // (PER_BUCKET * len(weights))))
-    placed = placed.withColumn("__hash", F.xxhash64(key)).withColumn("__bucket", F.pmod("__hash", F.lit(buckets)))
-    sizes = placed.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = checkpointed(
-        sizes.select("shard", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    )
-    inside = Window.partitionBy("shard", "__bucket").orderBy("__hash", *keys, *(order or []))
-    return (
-        placed.withColumn("__row", F.row_number().over(inside))
-        .join(bounded(starts), ["shard", "__bucket"])
-        .withColumn("slot", (F.col("__start") + F.col("__row") - 1).cast("long"))
-        .drop("__hash", "__bucket", "__row", "__start")
-    )
+    hashed = F.md5(key_text(*keys, *(order or [])))
+    placed = kept.select(F.struct("*").alias("row"), *new, hashed.alias("hash"))
+    # Ranges ascend with the hash: its first 32 bits, scaled.
+    prefix = F.conv(F.substring("hash", 1, 8), 16, 10).cast("long")
+    placed = placed.withColumn("bucket", F.shiftright(prefix * F.lit(buckets), 32))
+    sizes = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = checkpointed(sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    inside = Window.partitionBy("shard", "bucket").orderBy("hash")
+    slot = (F.col("start") + F.col("place") - 1).cast("long").alias("slot")
+    numbered = placed.withColumn("place", F.row_number().over(inside)).join(bounded(starts), ["shard", "bucket"])
+    return numbered.select("row.*", "shard", slot, *(["grown_shard"] if grown is not None else []))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
