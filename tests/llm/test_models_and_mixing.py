@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.fixtures import SCHEMA, components, documents, frame
 from weft.llm import embed_dedup, langid, license_scan, mixing, secret_scan, simhash_dedup
-from weft.llm.common import connected_components
+from weft.operators.graph import connected_components
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -102,6 +102,15 @@ def test_schedule_reaches_sources_of_one_slot(spark):
     assert {r.source: r.n for r in rows} == {0: 1_500_000, 1: 6, 2: 4, 3: 2, 4: 1}
 
 
+def test_mixed_rows_keep_columns_of_any_name(spark):
+    docs = frame(spark, documents(60), True)
+    for name in ("__size", "__taken", "__source", "__round", "taken", "round", "row", "of_doc_id", "kept_id"):
+        docs = docs.withColumn(name, F.lit("x"))
+    out = mixing.mixed_rows(docs)
+    assert out.columns == docs.columns
+    assert out.select("__size", "taken", "row", "kept_id").distinct().collect() == [("x", "x", "x", "x")]
+
+
 def test_mixed_rows_hold_the_words_taken(spark):
     rows = [r for r in documents(100) if r[1] and r[1].strip()]
     docs = frame(spark, rows)
@@ -141,6 +150,40 @@ def test_near_vectors(spark, tile, monkeypatch):
     assert got == brute_vectors(rows)
 
 
+@pytest.mark.parametrize("boxes", [512, 2])
+def test_near_vectors_of_several_lengths_and_double_precision(spark, boxes, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "TILE", 20)
+    monkeypatch.setattr(embed_dedup, "BOXES", boxes)
+    rng = np.random.default_rng(9)
+    rows = []
+    for length, first in ((2, 0), (7, 1000), (40, 2000)):
+        centres = rng.standard_normal((12, length))
+        rows += [(first + i, (centres[i % 12] + rng.standard_normal(length) * 0.2).tolist()) for i in range(100)]
+    rows += [(5000, [1e300, 1.0]), (5001, [2e300, 2e290]), (5002, [1e-300, 1e-310]), (5003, [1.0, 0.0]), (5004, [0.0, 1e-320])]
+    # A cosine of 0.95 that float numbers would miss: the second component decides by its last digits.
+    side = float(np.sqrt(1 - 0.95**2))
+    rows += [(6000, [0.0, 0.0, 1.0]), (6001, [0.0, side, 0.95 + 1e-12]), (6002, [side, 0.0, 0.95 - 1e-12])]
+    unit = {k: np.ldexp(v, -np.frexp(np.abs(v).max())[1]) / np.linalg.norm(np.ldexp(v, -np.frexp(np.abs(v).max())[1])) for k, v in rows}
+    links = [(a, b) for a, b in combinations(unit, 2) if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
+    label = components(unit, links)
+    count = dict.fromkeys(unit, 0)
+    for pair in links:
+        for k in pair:
+            count[k] += 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_vectors(df).collect()}
+    assert got == {k: (count[k], label[k], label[k] == k) for k in unit}
+    assert got[6001][0] == 1 and got[6002][0] == 0 and got[5000][1] in got
+
+
+def test_near_vectors_of_null_and_repeated_ids(spark):
+    a, b, c, d = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(None, a), (5, b), (5, c), (5, c), (None, d), (None, d), (3, None), (None, None)]
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    want = [(None, 1, 5, False), (5, 1, 5, True), (5, 1, 5, True), (5, 1, 5, True), (None, 1, None, True), (None, 1, None, True), (3, 0, 3, True), (None, 0, None, True)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_near_vectors_of_none(spark):
     for rows in ([], [(1, None)]):
         df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
@@ -318,10 +361,12 @@ def test_pipeline(spark):
 def test_stages_keep_clashing_columns_and_drop_repeated_rows(spark):
     rows = documents(40)
     docs = frame(spark, rows + rows[5:9], True)
-    for name, stage in corpus_pipeline.STAGES[:3]:
+    for name in ("kept_id", "__size", "__taken", "row", "kept"):
+        docs = docs.withColumn(name, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns and {r.score for r in out.select("score").collect()} == {"x"}
-        if name != "language_id":
+        if name not in ("language_id", "mixing"):
             assert out.count() == out.select("doc_id").distinct().count()
 
 
@@ -359,7 +404,14 @@ def test_stages_tell_rows_apart_that_share_an_id_or_have_none(spark):
 
 def test_language_stage_keeps_texts_with_letters_when_nothing_has_a_label(spark):
     docs = frame(spark, [(1, "some words", None, "s", 9), (2, "123 !!", None, "s", 9), (3, None, None, "s", 9), (4, "слово", None, "s", 9)])
-    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, DATA).collect()} == {1, 4}
+    assert {(r.doc_id, r.lang) for r in corpus_pipeline.language_id(spark, docs, DATA).collect()} == {(1, None), (4, None)}
+
+
+def test_language_stage_labels_documents_without_a_label(spark):
+    rows = [(i, "the river and the house in winter", "en", "s", 9) for i in range(9)] + [(20 + i, "la rivière et la maison en hiver", "fr", "s", 9) for i in range(9)]
+    rows += [(100, "the house and the river", None, "s", 9), (None, "la maison et la rivière", None, "s", 9), (101, "the house", "fr", "s", 9)]
+    got = {(r.doc_id, r.text): r.lang for r in corpus_pipeline.language_id(spark, frame(spark, rows), DATA).collect()}
+    assert (got[100, "the house and the river"], got[None, "la maison et la rivière"], got[101, "the house"]) == ("en", "fr", "fr")
 
 
 def test_empty_tables(spark):

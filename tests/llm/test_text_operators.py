@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.fixtures import SCHEMA, components, documents, frame
@@ -252,6 +253,29 @@ def test_sharding(spark, clashes):
     assert 0 < sum(r.grown_shard == 8 for r in got) < 0.25 * len(rows)
 
 
+def brute_shard(doc_id, shards):
+    score = {}
+    for n in range(shards):
+        digits = hashlib.md5(f"={doc_id}#{n}".encode()).hexdigest()[:13]
+        score[n] = -1 / np.log((int(digits, 16) + 0.5) / 2**52)
+    return max(score, key=lambda n: (score[n], -n))
+
+
+def test_sharding_against_brute_force_with_null_and_repeated_ids(spark):
+    rows = documents(200) + [(None, t, None, None, 1) for t in ("a", "b", "b", None)] + [(1, "again", None, None, 5), (1, None, None, None, 0)]
+    docs = frame(spark, rows, True).withColumn("hash", F.lit("y")).withColumn("bucket", F.lit("y")).withColumn("row", F.lit("y"))
+    got = sharding.shard_documents(docs).collect()
+    named = [r for r in got if r.doc_id is not None]
+    assert all((r.shard, r.grown_shard) == (brute_shard(r.doc_id, 8), brute_shard(r.doc_id, 9)) for r in named)
+    assert len({r.shard for r in got if r.doc_id is None}) == 1 and len(got) == len(rows)
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    whole = sharding.shard_rows(docs, ["doc_id"], [1.0, 2.0])
+    assert {r["hash"] + r["bucket"] + r["row"] for r in whole.collect()} == {"yyy"}
+
+
 def test_weights_shift_rows_to_heavier_shards(spark):
     df = spark.range(20000).withColumnRenamed("id", "k")
     counts = {r.shard: r["count"] for r in sharding.shard_rows(df, ["k"], [1.0, 3.0]).groupBy("shard").count().collect()}

@@ -1,4 +1,4 @@
-"""Shared pieces: lineage cuts, column-appending Arrow maps and graph components."""
+"""Shared pieces: word counts, column-appending Arrow maps and runs of rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import ctypes
 import gc
 import re
 import sys
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +16,6 @@ from pyspark.sql.types import StructType
 #: The white space of the word contracts: space, \t, \n, \v, \f, \r.
 SPACE = r"[\x20\x09-\x0D]"
 
-#: A lookup table of at most this many (long, long) rows is broadcast; larger
-#: ones go through a shuffled join. 500,000 rows are about 32 MB when hashed.
-BROADCAST_ROWS = 500_000
-
 #: Name under which a worker process keeps its token encoders.
 ENCODERS = "_weft_encoders"
 
@@ -28,32 +23,6 @@ ENCODERS = "_weft_encoders"
 BATCH_BYTES = 4 << 20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the session's checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def shared_folder(spark) -> str:
-    """The checkpoint folder that the driver and all executors share; a temporary one on a single machine without a setting."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weft-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if a count shows at most so many rows.
-
-    df must be cheap to count (checkpointed). Beyond the bound Spark shuffles
-    both sides and splits skewed partitions.
-    """
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def small_batches(spark) -> None:
     """Arrow batches of at most BATCH_BYTES, from here on in this session.
 
@@ -177,46 +146,3 @@ def forest(edges):
         if a != b:
             parent[max(a, b)] = min(a, b)
     return [(x, root) for x in list(parent) if (root := find(x)) != x]
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of edges(a, b) but the smallest of each component.
-
-    component is the smallest node that can be reached. Alternates the
-    large-star and small-star steps until the edges stop changing: each step
-    is an aggregation with map-side minima and one join. Edges that are null
-    or loops count for nothing.
-    """
-    current = checkpointed(
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        .distinct()
-    )
-    before = None
-    while True:
-        state = current.agg(
-            F.count("*").alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")
-        ).first()
-        if state.n == 0 or state == before:
-            return current.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-        before = state
-        both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
-            current.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-        )
-        least = checkpointed(
-            both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        )
-        large = checkpointed(
-            both.join(bounded(least), "u")
-            .where("v > u")
-            .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-            .distinct()
-        )
-        least = checkpointed(large.groupBy("hi").agg(F.min("lo").alias("m")))
-        current = checkpointed(
-            large.join(bounded(least), "hi")
-            .where("lo <> m")
-            .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-            .unionByName(least.select("hi", F.col("m").alias("lo")))
-            .distinct()
-        )

@@ -23,7 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from weft.llm.common import append_columns, bounded, checkpointed, connected_components, forest, forget_encoders, release_memory
+from weft.lineage import bounded, checkpointed
+from weft.llm.common import append_columns, forest, forget_encoders, release_memory
+from weft.operators.graph import connected_components
 
 #: Fingerprints link at this many differing bits or fewer.
 DISTANCE = 2

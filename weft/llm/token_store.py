@@ -16,7 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weft.llm.common import append_columns, binary_values, bounded, checkpointed, release_memory, runs, shared_folder
+from weft.lineage import bounded, checkpointed, shared_folder
+from weft.llm.common import append_columns, binary_values, release_memory, runs
 from weft.llm.tokens import encoder, id_type
 
 #: Bytes of ids of a shard at most, unless it is one document.
