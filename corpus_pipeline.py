@@ -14,21 +14,25 @@ import public_tokenizers
 from pyspark.sql import Window, functions as F
 
 from weft.llm import exact_dedup, langid, mixing, packing, simhash_dedup
-from weft.llm.common import bounded, checkpointed
+from weft.lineage import bounded, checkpointed
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 0
 
 
 def language_id(spark, docs, sf_dir):
-    """Keeps the documents that have letters: any language will do, however low its score.
+    """Keeps the documents that have letters, and gives those without a label the language found.
 
-    Without labelled rows there are no profiles; texts with letters stay all the same.
+    Any language will do, however low its score: short texts score low in their
+    own. Without labelled rows there are no profiles; texts with letters stay
+    all the same, and labels stay null.
     """
     profiles = langid.train_profiles(langid.training_rows(docs))
     profiles = profiles or {"": np.ones(langid.DIMENSIONS) / np.sqrt(langid.DIMENSIONS)}
     rows = docs.select(F.struct("*").alias("row"), "text")  # whatever columns docs has, they stay
     found = langid.predict_language(rows, profiles)
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select("row.*")
+    label = F.coalesce(F.col("row")["lang"], F.nullif(F.col("lang_pred"), F.lit("")))
+    kept = found.where(F.col("lang_pred") != langid.UNDETERMINED)
+    return kept.select(*[label.alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _keep(docs, marks, of_group):
