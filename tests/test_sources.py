@@ -45,6 +45,39 @@ def test_record_without_header(spark, tmp_path):
     assert [(r.name, r.residue) for r in names] == [("", "A"), ("y", "C")]
 
 
+def test_records_are_numbered_over_files_without_moving_their_texts(spark, tmp_path):
+    paths = []
+    for n in range(5):
+        (tmp_path / f"{n}.gmat").write_text(("A 1 2\n" if n % 2 else "# only a comment\n\n") + "".join(f">r{n}{k}\nC {k} {n}\n" for k in range(n)))
+        paths.append(str(tmp_path / f"{n}.gmat"))
+    rows = text.read_gmat(spark, paths[::-1])
+    want = [name for n in (4, 3, 2, 1, 0) for name in ([""] if n % 2 else []) + [f"r{n}{k}" for k in range(n)]]
+    assert [(r.seq_ord, r.name) for r in rows.where("residue IS NOT NULL").orderBy("seq_ord").collect()] == list(enumerate(want))
+    assert "SinglePartition" not in rows._jdf.queryExecution().toString()
+    (tmp_path / "a.fas").write_text("no header\n>a x\nMK\n>b\n")
+    (tmp_path / "b.fas").write_text(">c\nAC\n")
+    fasta = text.read_fasta(spark, [str(tmp_path / "b.fas"), str(tmp_path / "a.fas")])
+    assert [tuple(r) for r in fasta.orderBy("ord").collect()] == [(0, "c", "", "AC"), (1, "a", "x", "MK"), (2, "b", "", "")]
+
+
+def test_tree_tasks_cover_chains_and_balanced_trees():
+    n = 100
+    chain = [(n + i, 0 if i == 0 else n + i - 1, i + 1, 0.5, 0.5) for i in range(n - 1)]
+    balanced, live, number = [], list(range(64)), 64
+    while len(live) > 1:
+        live = [balanced.append((number + i, live[2 * i], live[2 * i + 1], 0.5, 0.5)) or number + i for i in range(len(live) // 2)]
+        number += len(live)
+    for steps, rounds in ((chain, 7), (balanced, 2)):
+        made, tasks = set(range(n)), A._tasks(steps)
+        assert len(tasks) == rounds and sorted(s for t in tasks for x in t.values() for s in x) == sorted(steps)
+        for turn in tasks:
+            for task, mine in turn.items():
+                held = {s[0] for s in mine}
+                going = [c for s in mine for c in s[1:3] if c not in held]
+                assert len(going) <= A.TASK_INPUTS and set(going) <= made and mine[-1][0] == task
+            made |= set(turn)
+
+
 def test_column_statistics(spark, tmp_path):
     first = "GHIKLGHIKL"
     values = [[20, 12, 13, 14]] * 10

@@ -1,8 +1,8 @@
 """Alignments of whole profiles as DataFrame operations around the numpy kernels.
 
 A packed profile is one row with a blob; long rows are packed by one
-aggregation. Merges of one level of a guide tree run in parallel, each in a
-task of its own; trees of profiles are built on the driver from coordinates.
+aggregation. Parts of a guide tree are merged in parallel, each in a task of
+its own; trees of profiles are built on the driver from coordinates.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from weft.options import AlignOptions
 _STATE = ("match_ratio", "del_ratio", "match_to_del", "del_to_del")
 #: Profiles that one task folds or the driver builds a tree of at most; more are clustered first.
 TREE_LEAVES = 5000
+#: Differences of coordinates that are held at once.
+STRIP_VALUES = 1 << 23
+#: Profiles that one task merges at most when a tree is followed.
+TASK_INPUTS = 16
 #: Anchors of a clustering's coordinates, and trials of them.
 ANCHORS, ANCHOR_TRIALS = 5, 10
 
@@ -127,7 +131,10 @@ def guide_tree(points: np.ndarray, tree_type: str) -> list[trees.Node]:
     """The tree of coordinates; NJ trees have their longest branch in the centre."""
     if len(points) > TREE_LEAVES:
         raise ValueError(f"a tree of more than {TREE_LEAVES} leaves needs max_cluster_size")
-    distances = np.linalg.norm(points[:, None] - points[None], axis=2)
+    distances = np.empty((len(points), len(points)))
+    strip = max(1, STRIP_VALUES // max(1, points.size))
+    for at in range(0, len(points), strip):
+        distances[at : at + strip] = np.linalg.norm(points[at : at + strip, None] - points[None], axis=2)
     if tree_type == "UPGMA" or len(points) < 3:
         return trees.upgma(distances)
     return trees.neighbor_joining(distances)
@@ -143,22 +150,58 @@ def _rooted_at_longest(tree: list[trees.Node]) -> tuple[list[trees.Node], dict[i
     return turned, {number[n]: leaf for n, leaf in leaves.items()}
 
 
-def _merge_level(spark, blobs: DataFrame, plan: list[tuple[int, int, int, float, float]], options: AlignOptions) -> DataFrame:
-    """Merges of one tree level: plan has (node, left, right, left weight, right weight)."""
-    steps = spark.createDataFrame(plan, "parent long, left long, right long, wa double, wb double")
-    left = steps.join(blobs.withColumnRenamed("blob", "a"), F.col("left") == F.col("node")).drop("node", "score")
-    both = left.join(blobs.select("node", F.col("blob").alias("b")), F.col("right") == F.col("node")).drop("node")
+def _tasks(steps: list[tuple[int, int, int, float, float]]) -> list[dict[int, list]]:
+    """The merges of a tree (node, left, right, weights; children first) as rounds of tasks.
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for parent, a, b, wa, wb in zip(f["parent"], f["a"], f["b"], f["wa"], f["wb"], strict=True):
-                whole, score = align_and_merge(Profile.from_bytes(a), Profile.from_bytes(b), options, (wa, wb))
-                rows.append((parent, whole.to_bytes(), score))
-            yield pd.DataFrame(rows, columns=["node", "blob", "score"])
+    A task has a connected part of the tree with at most TASK_INPUTS profiles
+    going in, and is named by the node that comes out; rounds follow each
+    other. A chain of n merges takes n / (TASK_INPUTS - 1) rounds, a balanced
+    tree a quarter of its levels.
+    """
+    inputs, cut = {}, set()
+    for node, left, right, *_ in steps:
+        sides = {c: inputs.get(c, 1) for c in (left, right)}
+        while sum(sides.values()) > TASK_INPUTS:
+            heavy = max(sides, key=sides.get)
+            cut.add(heavy)
+            sides[heavy] = 1
+        inputs[node] = sum(sides.values())
+    owner = {steps[-1][0]: steps[-1][0]}
+    for node, left, right, *_ in reversed(steps):
+        for c in (left, right):
+            owner[c] = c if c in cut else owner[node]
+    turn: dict[int, int] = {}
+    rounds: list[dict[int, list]] = []
+    for step in steps:
+        task = owner[step[0]]
+        before = [turn[c] + 1 for c in step[1:3] if c in cut]
+        turn[task] = max([turn.get(task, 0), *before])
+    for step in steps:
+        task = owner[step[0]]
+        while len(rounds) <= turn[task]:
+            rounds.append({})
+        rounds[turn[task]].setdefault(task, []).append(step)
+    return rounds
+
+
+def _merged(blobs: DataFrame, tasks: dict[int, list], options: AlignOptions) -> DataFrame:
+    """node, blob, score: what comes out of the tasks of a round."""
+    going = {c: task for task, steps in tasks.items() for step in steps for c in step[1:3]}
+    made = {step[0] for steps in tasks.values() for step in steps}
+    number = [(c, task) for c, task in going.items() if c not in made]
+    # At most a row for each leaf of the tree, so TREE_LEAVES rows.
+    dealt = F.broadcast(blobs.sparkSession.createDataFrame(number, "node long, task long"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        held = {int(n): (Profile.from_bytes(b), 0.0) for n, b in zip(f["node"], f["blob"], strict=True)}
+        task = int(f["task"].iloc[0])
+        for node, a, b, wa, wb in tasks[task]:
+            held[node] = align_and_merge(held.pop(a)[0], held.pop(b)[0], options, (wa, wb))
+        whole, score = held[task]
+        return pd.DataFrame({"node": [task], "blob": [whole.to_bytes()], "score": [score]})
 
-    ready = both.select("parent", "a", "b", "wa", "wb").repartition(max(1, len(plan)), "parent")
-    return ready.mapInPandas(run, "node long, blob binary, score double")
+    ready = blobs.join(dealt, "node").select("task", "node", "blob").repartition(len(tasks), "task")
+    return ready.groupBy("task").applyInPandas(run, "node long, blob binary, score double")
 
 
 def _levels(tree: list[trees.Node], leaves: dict[int, int]):
@@ -180,9 +223,9 @@ def _levels(tree: list[trees.Node], leaves: dict[int, int]):
 def tree_alignment(packed: DataFrame, options: AlignOptions, extra: list[Profile] = ()) -> tuple[Profile, float]:
     """The merged profile of all packed sequences by a guide tree, and the score of the last merge.
 
-    Each level of the tree is one job, cut off from the one before by a
-    checkpoint; the driver holds one coordinate for each sequence and the
-    result.
+    Parts of the tree are merged in tasks, round after round, each cut off from
+    the one before by a checkpoint; the driver holds one coordinate for each
+    sequence and the result.
     """
     packed = checkpointed(packed)
     points = coordinates(packed, options).orderBy("seq_ord").collect()
@@ -197,13 +240,16 @@ def tree_alignment(packed: DataFrame, options: AlignOptions, extra: list[Profile
     levels, last, _ = _levels(tree, leaves)
     spark = packed.sparkSession
     number = spark.createDataFrame([(orders[leaf], n) for n, leaf in leaves.items()], "seq_ord int, leaf long")
-    blobs = _blobs(packed).join(number, F.col("node") == F.col("seq_ord")).select(F.col("leaf").alias("node"), "blob", F.lit(0.0).alias("score"))
-    blobs = checkpointed(blobs)
-    for plan in [*levels, *last]:
-        done = checkpointed(_merge_level(spark, blobs, plan, options))
-        used = {x for step in plan for x in step[1:3]}
-        blobs = blobs.where(~F.col("node").isin(list(used))).unionByName(done)
-    (row,) = blobs.collect()
+    blobs = _blobs(packed).join(number, F.col("node") == F.col("seq_ord")).select(F.col("leaf").alias("node"), "blob")
+    blobs, held = checkpointed(blobs), None
+    for tasks in _tasks([step for level in [*levels, *last] for step in level]):
+        ready = blobs if held is None else blobs.unionByName(held.select("node", "blob"))
+        done = _merged(ready, tasks, options)
+        if held is not None:  # what comes out of a round waits for the round that needs it
+            used = [c for steps in tasks.values() for step in steps for c in step[1:3]]
+            done = held.where(~F.col("node").isin(used)).unionByName(done)
+        held = checkpointed(done)
+    (row,) = held.collect()
     return Profile.from_bytes(row.blob), row.score
 
 
@@ -234,36 +280,46 @@ def tree_alignment_in_task(profiles: list[Profile], options: AlignOptions, keep_
     return [held[n] for n in sorted(held, reverse=True)]
 
 
-def cluster_points(spark, points: np.ndarray, max_members: int, seed: int) -> list[list[int]]:
-    """Clusters of at most max_members rows by bisecting k-means: the trial of anchors with the least loss.
+def cluster_points(points: DataFrame, max_members: int, seed: int) -> DataFrame:
+    """key, cluster int of points(key long, vec): at most max_members by bisecting k-means, from the trial with the least loss.
 
-    Each trial measures the points' distances to other anchors and runs in a task of its own.
+    Each trial sees the points by their distances to other anchors, in a task
+    of its own that holds ANCHORS numbers for each point; the driver gets the
+    anchors and the losses.
     """
-    rng = np.random.default_rng(seed)
-    trials = [(t, rng.integers(0, len(points), ANCHORS).tolist(), int(rng.integers(1 << 31))) for t in range(ANCHOR_TRIALS)]
-    rows = spark.createDataFrame(trials, "trial int, anchors array<int>, seed long").repartition(len(trials), "trial")
+    order = F.xxhash64(F.lit(seed), "key")
+    chosen = points.orderBy(order, "key").limit(ANCHORS * ANCHOR_TRIALS).select("vec").collect()
+    anchors = np.array([r.vec for r in chosen], float)
+    names = [np.arange(t * ANCHORS, (t + 1) * ANCHORS) % max(1, len(anchors)) for t in range(ANCHOR_TRIALS)]
 
-    def run(frames):
+    def measure(frames):
         for f in frames:
-            for trial, anchors, own in zip(f["trial"], f["anchors"], f["seed"], strict=True):
-                distances = np.linalg.norm(points[:, None] - points[list(anchors)][None], axis=2)
-                found = bisecting_kmeans(distances, max_members, own)
-                if found is not None:
-                    labels = np.zeros(len(points), int)
-                    for n, members in enumerate(found[0]):
-                        labels[members] = n
-                    yield pd.DataFrame({"trial": [trial], "loss": [found[1]], "labels": [labels.tolist()]})
-
-    best = rows.mapInPandas(run, "trial int, loss double, labels array<int>").orderBy("loss", "trial").first()
+            vecs = np.array(f["vec"].tolist(), float)
+            for trial, mine in enumerate(names):
+                distances = np.stack([np.linalg.norm(vecs - a, axis=1) for a in anchors[mine]], axis=1)
+                yield pd.DataFrame({"trial": trial, "key": f["key"], "d": distances.tolist()})
+
+    def cluster(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("key")
+        found = bisecting_kmeans(np.array(f["d"].tolist()), max_members, seed + int(f["trial"].iloc[0]))
+        if found is None:
+            return pd.DataFrame({"trial": [], "loss": [], "key": [], "cluster": []})
+        labels = np.zeros(len(f), int)
+        for n, members in enumerate(found[0]):
+            labels[members] = n
+        return pd.DataFrame({"trial": f["trial"], "loss": found[1], "key": f["key"], "cluster": labels})
+
+    measured = points.select("key", "vec").mapInPandas(measure, "trial int, key long, d array<double>")
+    done = measured.repartition(ANCHOR_TRIALS, "trial").groupBy("trial").applyInPandas(cluster, "trial int, loss double, key long, cluster int")
+    done = checkpointed(done)
+    best = done.agg(F.min(F.struct("loss", "trial")).alias("x")).first().x
     if best is None:
         raise ValueError("no trial could split all clusters")
-    labels = np.array(best.labels)
-    return [np.flatnonzero(labels == n).tolist() for n in range(labels.max() + 1)]
+    return done.where(F.col("trial") == best.trial).select("key", "cluster")
 
 
 def hierarchical_alignment(packed: DataFrame, options: AlignOptions) -> tuple[Profile, float]:
     """Clusters too many sequences, aligns each cluster in a task, and goes on with the merged groups."""
-    spark = packed.sparkSession
     blobs = checkpointed(_blobs(packed))
     while True:
         count = blobs.count()
@@ -273,12 +329,11 @@ def hierarchical_alignment(packed: DataFrame, options: AlignOptions) -> tuple[Pr
 
         def mean(frames):
             for f in frames:
-                yield pd.DataFrame({"node": f["node"], "vec": [Profile.from_bytes(b).mean_vector().tolist() for b in f["blob"]]})
+                yield pd.DataFrame({"key": f["node"], "vec": [Profile.from_bytes(b).mean_vector().tolist() for b in f["blob"]]})
 
-        points = blobs.mapInPandas(mean, "node long, vec array<double>").orderBy("node").collect()
-        clusters = cluster_points(spark, np.array([r.vec for r in points]), options.max_cluster_size, options.random_seed)
-        labels = [(points[i].node, n) for n, members in enumerate(clusters) for i in members]
-        named = blobs.join(spark.createDataFrame(labels, "node long, cluster long"), "node")
+        points = checkpointed(blobs.mapInPandas(mean, "key long, vec array<double>"))
+        clusters = cluster_points(points, options.max_cluster_size, options.random_seed)
+        named = blobs.join(clusters.withColumnRenamed("key", "node"), "node")
 
         def run(f: pd.DataFrame) -> pd.DataFrame:
             f = f.sort_values("node")

@@ -1,7 +1,7 @@
 """Writers of aligned FASTA, A3M, profile and statistics text.
 
-Outputs have an order and go to one file, so rows are sorted and gathered in
-one partition: results of one alignment, far smaller than what led to them.
+Outputs have an order: rows are sorted over all partitions, so the parts of a
+folder make the text in the order of their names. Small outputs are one part.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def save_lines(lines: DataFrame, path: str, order: list[str], compressed: bool | None = None) -> None:
-    """Write column line in the given order; gzip if the path ends so. Overwrites."""
+    """Write column line in the given order, in parts that follow each other; gzip if the path ends so. Overwrites."""
     squeeze = path.endswith(".gz") if compressed is None else compressed
-    ordered = lines.orderBy(*order).select("line").coalesce(1)
+    ordered = lines.orderBy(*order).select("line")
     ordered.write.mode("overwrite").option("compression", "gzip" if squeeze else "none").text(path)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weft.functions.blosum import blosum_table
+from weft.lineage import bounded, checkpointed
 
 PROFILE = (
     "seq_ord int, name string, pos int, residue string, vec array<float>, "
@@ -54,12 +55,28 @@ def split_records(files: DataFrame) -> DataFrame:
     in front. Lines before the first one make a record named "". Blank lines
     and # comments are left out.
     """
-    blocks = files.select("file_ord", F.posexplode(F.split(F.concat(F.lit("\n"), "text"), r"[\r\n]+(?=>)")).alias("rec", "block"))
-    body = blocks.select("file_ord", "rec", F.filter(_lines(F.col("block")), lambda x: (F.trim(x) != "") & ~x.startswith("#")).alias("all"))
-    headed = F.coalesce(F.get("all", F.lit(0)).startswith(">"), F.lit(False))
-    name = F.when(headed, F.regexp_extract(F.get("all", F.lit(0)), r"^>\s*([^\r\n]*)", 1)).otherwise("")
-    lines = F.when(headed, F.slice("all", F.lit(2), F.size("all"))).otherwise(F.col("all"))
-    return body.select("file_ord", "rec", name.alias("name"), lines.alias("lines")).where((F.size("lines") > 0) | headed)
+    blocks = F.split(F.concat(F.lit("\n"), "text"), r"[\r\n]+(?=>)")
+
+    def record(block: Column) -> Column:
+        every = F.filter(_lines(block), lambda x: (F.trim(x) != "") & ~x.startswith("#"))
+        headed = F.ltrim(block, F.lit("\r\n")).startswith(">")
+        name = F.when(headed, F.regexp_extract(F.get(every, F.lit(0)), r"^>\s*([^\r\n]*)", 1)).otherwise("")
+        return F.struct(name.alias("name"), F.when(headed, F.slice(every, F.lit(2), F.size(every))).otherwise(every).alias("lines"), headed.alias("headed"))
+
+    # Records are counted inside their file's row, so rec has no gaps.
+    records = F.filter(F.transform(blocks, record), lambda r: r["headed"] | (F.size(r["lines"]) > 0))
+    return files.select("file_ord", F.posexplode(records).alias("rec", "r")).select("file_ord", "rec", "r.name", "r.lines")
+
+
+def numbered(records: DataFrame, name: str) -> DataFrame:
+    """records(file_ord, rec from 0 without gaps) with their number over all files, in the order of files.
+
+    Only counts of records leave their files: the texts stay where they are.
+    """
+    counts = checkpointed(records.groupBy("file_ord").agg((F.max("rec") + 1).alias("n")))
+    before = Window.orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    firsts = checkpointed(counts.select("file_ord", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
+    return records.join(bounded(firsts), "file_ord").withColumn(name, (F.col("first") + F.col("rec")).cast("int")).drop("first")
 
 
 def parse_profiles(records: DataFrame) -> DataFrame:
@@ -70,14 +87,12 @@ def parse_profiles(records: DataFrame) -> DataFrame:
     last row of a record has no residue and holds the state of its end.
     Wrong numbers of fields raise an error.
     """
-    order = Window.orderBy("file_ord", "rec")  # one row for each record
-    numbered = records.withColumn("seq_ord", (F.row_number().over(order) - 1).cast("int"))
     tokens = lambda x: F.split(F.trim(x), r"\s+")
     residues = F.filter("lines", lambda x: ~x.startswith("@"))
     states = F.filter("lines", lambda x: x.startswith("@"))
     rows = F.transform(residues, tokens)
     numbers = lambda x: F.transform(F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), lambda v: v.cast("float"))
-    packed = numbered.select("seq_ord", "name", rows.alias("rows"), F.transform(F.transform(states, tokens), numbers).alias("states"))
+    packed = numbered(records, "seq_ord").select("seq_ord", "name", rows.alias("rows"), F.transform(F.transform(states, tokens), numbers).alias("states"))
     width = F.size(F.get("rows", F.lit(0)))
     wrong = (
         F.exists("rows", lambda x: F.size(x) != width)
@@ -109,12 +124,13 @@ def parse_fasta(files: DataFrame, keep_space: bool = False) -> DataFrame:
     the description. White space in sequences goes unless it is kept.
     """
     marked = F.regexp_replace(F.concat(F.lit("\n"), "text"), r"(?m)^[^>\r\n]*>", "\u0001")
+    # What is in front of the first header is no record.
     blocks = files.select("file_ord", F.posexplode(F.split(marked, "\u0001")).alias("rec", "block")).where("rec > 0")
+    blocks = numbered(blocks.withColumn("rec", F.col("rec") - 1), "ord")
     header, body = F.regexp_extract("block", r"^([^\r\n]*)", 1), F.regexp_replace("block", r"^[^\r\n]*", "")
     seq = F.regexp_replace(body, r"[\r\n]+" if keep_space else r"\s+", "")
-    order = Window.orderBy("file_ord", "rec")  # one row for each record
     return blocks.select(
-        (F.row_number().over(order) - 1).cast("int").alias("ord"),
+        "ord",
         F.regexp_extract(header, r"^\s*(\S*)", 1).alias("name"),
         F.rtrim(F.regexp_extract(header, r"^\s*\S*\s*(.*)", 1)).alias("desc"),
         seq.alias("seq"),
