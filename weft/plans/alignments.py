@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from weft.functions import trees
-from weft.functions.dynamic import align, merge
-from weft.functions.kmeans import bisecting_kmeans
+from weft.functions.dynamic import Alignment, align, merge
 from weft.operators import alignment as A
 from weft.options import AlignOptions
 from weft.plans.relational import DISTANCES_SQL, mean_coordinates, rounded
@@ -80,7 +80,7 @@ SELECT dp.a, dp.b, round({best}, 4) AS score FROM dp JOIN pen ON pen.a = dp.a AN
 
 
 def _scores(spark, sf_dir, options):
-    pairs = A.all_pairs(_plain(spark, sf_dir)).repartition(8, "a", "b")
+    pairs = A.all_pairs(_plain(spark, sf_dir)).repartition("a", "b")
     return rounded(A.pair_scores(pairs, options).select("a", "b", "score"), 4, "score")
 
 
@@ -128,6 +128,16 @@ def a3m_scores(spark, sf_dir):
     return found.select("name", F.round("score", 4).alias("score"), "positive_count", "profile_length", F.round(F.col("score") / F.col("profile_length"), 4).alias("per_position"))
 
 
+@query(f"""
+SELECT 'p' || s.b AS name, score, CAST(k.n AS INTEGER) AS profile_length, round(score / k.n, 3) AS per_position
+FROM ({_dp_sql(True)}) s JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) k ON k.label = s.b WHERE s.a = 0""")
+def a3m_local_scores(spark, sf_dir):
+    """The metrics of a local search without gap states: score, length, and score for each position."""
+    rows = _plain(spark, sf_dir)
+    found = A.a3m_search(_one(rows, 0), rows.where("seq_ord > 0"), LOCAL_DOT).withColumn("score", F.round("score", 4))
+    return found.select("name", "score", "profile_length", F.round(F.col("score") / F.col("profile_length"), 3).alias("per_position"))
+
+
 # ----------------------------------------------------- multiple alignments
 
 _MSA_SQL = _RESIDUES_SQL + " SELECT name, residues, true AS same_length FROM r"
@@ -179,17 +189,55 @@ def msa_edges(spark, sf_dir):
     return _invariants(spark, *done[0])
 
 
+def _merges(spark, sf_dir, path_of, result, schema):
+    """result(whole) of the merges of all pairs of profiles along path_of(a, b)."""
+
+    def run(frames):
+        for f in frames:
+            for a, ca, b, cb in zip(f["a"], f["a_columns"], f["b"], f["b_columns"], strict=True):
+                one, two = A.unpack("", ca), A.unpack("", cb)
+                rows = result(merge(one, two, path_of(one, two), DOT))
+                yield pd.DataFrame({"a": a, "b": b, **rows})
+
+    pairs = A.all_pairs(packed(spark, sf_dir)).repartition("a", "b")
+    return pairs.select("a", "a_columns", "b", "b_columns").mapInPandas(run, f"a int, b int, {schema}")
+
+
 @query(f"""
-WITH {POSITIONS_SQL}, n AS (SELECT seq_ord, count(*) AS n FROM positions WHERE seq_ord < 2 GROUP BY seq_ord)
-SELECT CAST(seq_ord AS INTEGER) AS seq_ord, n AS residues, true AS ascending, true AS ratios FROM n""")
+WITH {POSITIONS_SQL}, n AS (SELECT seq_ord, count(*) AS n FROM positions GROUP BY seq_ord)
+SELECT x.seq_ord AS a, y.seq_ord AS b, CAST(m AS INTEGER) AS member, CASE WHEN m = 0 THEN x.n ELSE y.n END AS residues, true AS ascending, true AS ratios
+FROM n x JOIN n y ON x.seq_ord < y.seq_ord, range(2) r(m)""")
 def profile_merge(spark, sf_dir):
-    """Invariants of a merge of two profiles: every residue has a column, and ratios sum to one."""
-    rows = packed(spark, sf_dir)
-    a, b = _one(rows, 0), _one(rows, 1)
-    whole = merge(a, b, align(a, b, DOT), DOT)
-    ratios = bool(np.allclose(whole.gap[:, 0] + whole.gap[:, 1], 1))
-    made = [(i, len(c), bool((np.diff(c) > 0).all() and c[-1] < len(whole)), ratios) for i, c in enumerate(whole.cols)]
-    return spark.createDataFrame(made, "seq_ord int, residues long, ascending boolean, ratios boolean")
+    """Invariants of the merges of all pairs of profiles: every residue has a column, and ratios sum to one."""
+
+    def invariants(whole):
+        ratios = bool(np.allclose(whole.gap[:, 0] + whole.gap[:, 1], 1))
+        ascending = [bool((np.diff(c) > 0).all() and c[-1] < len(whole)) for c in whole.cols]
+        return {"member": [0, 1], "residues": [len(c) for c in whole.cols], "ascending": ascending, "ratios": ratios}
+
+    return _merges(spark, sf_dir, lambda a, b: align(a, b, DOT), invariants, "member int, residues long, ascending boolean, ratios boolean")
+
+
+@query(f"""
+WITH {POSITIONS_SQL}, k AS (SELECT DISTINCT seq_ord FROM positions), p AS (SELECT x.seq_ord AS a, y.seq_ord AS b FROM k x JOIN k y ON x.seq_ord < y.seq_ord),
+x AS (SELECT a, b, pos, list_sum(vec) AS v, match_ratio AS m FROM p JOIN positions ON seq_ord = a),
+y AS (SELECT a, b, pos, list_sum(vec) AS v, match_ratio AS m FROM p JOIN positions ON seq_ord = b),
+c AS (SELECT a, b, pos AS col, coalesce(x.m, 0) + coalesce(y.m, 0) AS kept, coalesce(1 - x.m, 1) + coalesce(1 - y.m, 1) AS lost,
+      coalesce(x.m * x.v, 0) + coalesce(y.m * y.v, 0) AS v FROM x FULL JOIN y USING (a, b, pos))
+SELECT a, b, col, round(v / kept, 4) AS total, round(kept / (kept + lost), 5) AS match_ratio, round(lost / (kept + lost), 5) AS del_ratio FROM c""")
+def merge_along_path(spark, sf_dir):
+    """Merges of all pairs of profiles along the diagonal: the components' sum and the ratios of every column."""
+
+    def diagonal(a, b):
+        at = np.arange(max(len(a), len(b)))
+        return Alignment(np.where(at < len(a), at, -1), np.where(at < len(b), at, -1), np.array([]), 0.0)
+
+    def columns(whole):
+        states = whole.gap[:-1]
+        return {"col": np.arange(len(whole)), "total": whole.vec.sum(axis=1), "match_ratio": states[:, 0], "del_ratio": states[:, 1]}
+
+    found = _merges(spark, sf_dir, diagonal, columns, "col int, total double, match_ratio double, del_ratio double")
+    return rounded(rounded(found, 4, "total"), 5, "match_ratio", "del_ratio")
 
 
 @query(_RESIDUES_SQL + " SELECT name, CAST(n AS INTEGER) AS members, true AS sum_of_weights FROM (SELECT 'dummy' AS name, count(*) AS n FROM r)")
@@ -213,7 +261,7 @@ _TREE_SQL = f"WITH RECURSIVE {DISTANCES_SQL}, n AS (SELECT count(*) AS n FROM me
 _ARGMIN = "first_value({}) OVER (ORDER BY {}, least(i, j), greatest(i, j) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 
 
-@query(f"""{_TREE_SQL}, t AS (
+_UPGMA_SQL = f"""{_TREE_SQL}, t AS (
   SELECT 0 AS step, i, j, d, 1.0::DOUBLE AS si, 1.0::DOUBLE AS sj FROM (SELECT i, j, d FROM dist UNION ALL SELECT j, i, d FROM dist)
   UNION ALL
   SELECT step + 1, i, j, CASE WHEN i = a THEN wi WHEN j = a THEN wj ELSE d END, CASE WHEN i = a THEN sa ELSE si END, CASE WHEN j = a THEN sa ELSE sj END FROM (
@@ -221,8 +269,10 @@ _ARGMIN = "first_value({}) OVER (ORDER BY {}, least(i, j), greatest(i, j) ROWS B
       SELECT *, {_ARGMIN.format("least(i, j)", "d")} AS a, {_ARGMIN.format("greatest(i, j)", "d")} AS b, {_ARGMIN.format("si + sj", "d")} AS sa FROM t
     )
   ) WHERE i <> b AND j <> b
-)
-SELECT step, round(min(d) / 2, 6) AS height FROM t GROUP BY step""")
+)"""
+
+
+@query(f"{_UPGMA_SQL} SELECT step, round(min(d) / 2, 6) AS height FROM t GROUP BY step")
 def upgma_heights(spark, sf_dir):
     tree = _mean_tree(spark, sf_dir, "UPGMA")
     leaves = sum(1 for v in tree if v[1] < 0)
@@ -233,7 +283,7 @@ def upgma_heights(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "step int, height double"), 6, "height")
 
 
-@query(f"""{_TREE_SQL}, t AS (
+_NJ_SQL = f"""{_TREE_SQL}, t AS (
   SELECT 0 AS step, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, d, NULL::BIGINT AS a, NULL::BIGINT AS b FROM (SELECT i, j, d FROM dist UNION ALL SELECT j, i, d FROM dist)
   UNION ALL
   SELECT step + 1, CASE WHEN i = x THEN n + step ELSE i END, CASE WHEN j = x THEN n + step ELSE j END,
@@ -244,8 +294,10 @@ def upgma_heights(spark, sf_dir):
       )
     ), n WHERE k > 3
   ) WHERE i <> y AND j <> y
-)
-SELECT DISTINCT CAST(step - 1 AS INTEGER) AS step, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM t WHERE step > 0""")
+)"""
+
+
+@query(f"{_NJ_SQL} SELECT DISTINCT CAST(step - 1 AS INTEGER) AS step, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM t WHERE step > 0")
 def nj_merges(spark, sf_dir):
     tree = _mean_tree(spark, sf_dir, "NJ")
     leaves = sum(1 for v in tree if v[1] < 0)
@@ -258,6 +310,31 @@ def _mean_tree(spark, sf_dir, kind):
     return A.guide_tree(np.array([r.vec for r in points]), kind)
 
 
+@query(f"""{_NJ_SQL}, q AS (
+  SELECT step, i, j, d, count(*) OVER (PARTITION BY step, i) + 1 AS k, sum(d) OVER (PARTITION BY step, i) AS ri, sum(d) OVER (PARTITION BY step, j) AS rj FROM t
+), m AS (
+  SELECT step, arg_min(struct_pack(i := i, j := j, d := d, k := k, ri := ri, rj := rj), (round((k - 2) * d - ri - rj, 9), i, j)) AS x
+  FROM q WHERE i < j AND k > 3 GROUP BY step
+), raw AS (
+  SELECT x.i AS node, x.d / 2 + (x.ri - x.rj) / (2 * (x.k - 2)) AS len FROM m
+  UNION ALL SELECT x.j, x.d / 2 - (x.ri - x.rj) / (2 * (x.k - 2)) FROM m
+  UNION ALL SELECT i, any_value(ri) - (SELECT sum(d) / 4 FROM q WHERE k = 3) FROM q WHERE k = 3 GROUP BY i
+), tree AS (
+  SELECT n + step AS node, x.i AS lo, x.j AS hi FROM m, n UNION ALL SELECT seq_ord, seq_ord, -1 FROM means
+)
+SELECT CAST(tree.node AS INTEGER) AS node, CAST(lo AS INTEGER) AS "left", CAST(hi AS INTEGER) AS "right",
+       round(own.len - CASE WHEN hi >= 0 THEN (x.len + y.len) / 2 ELSE 0 END, 6) AS length
+FROM tree JOIN raw own ON own.node = tree.node LEFT JOIN raw x ON x.node = lo LEFT JOIN raw y ON y.node = hi""")
+def nj_lengths(spark, sf_dir):
+    """The neighbor-joining tree of the label means with its branch lengths, not rooted."""
+    return _tree_rows(spark, _mean_tree(spark, sf_dir, "NJ"))
+
+
+def _tree_rows(spark, tree):
+    rows = [(n, int(a), int(b), round(float(x), 6)) for n, (a, b, x) in enumerate(tree)]
+    return spark.createDataFrame(rows, "node int, left int, right int, length double")
+
+
 @query()
 def nj_tree(spark, sf_dir):
     """The neighbor-joining tree of the label means, rooted at its longest branch, with Newick text."""
@@ -273,21 +350,24 @@ def nj_tree(spark, sf_dir):
     return spark.createDataFrame(rows, "node int, left int, right int, length double, newick string")
 
 
-@query()
+@query(f"""{_UPGMA_SQL}, m AS (
+  SELECT step, arg_min(least(i, j), (d, least(i, j), greatest(i, j))) AS a, arg_min(greatest(i, j), (d, least(i, j), greatest(i, j))) AS b, min(d) / 2 AS h FROM t GROUP BY step
+), tree AS (
+  SELECT n + step AS node, coalesce((SELECT max(n + e.step) FROM m e WHERE e.step < m.step AND e.a = m.a), a) AS lo,
+         coalesce((SELECT max(n + e.step) FROM m e WHERE e.step < m.step AND e.a = m.b), b) AS hi, h FROM m, n
+  UNION ALL SELECT seq_ord, seq_ord, -1, 0.0 FROM means
+)
+SELECT CAST(c.node AS INTEGER) AS node, CAST(c.lo AS INTEGER) AS "left", CAST(c.hi AS INTEGER) AS "right", round(coalesce(p.h - c.h, 0), 6) AS length
+FROM tree c LEFT JOIN tree p ON p.hi >= 0 AND c.node IN (p.lo, p.hi)""")
 def upgma_tree(spark, sf_dir):
-    tree = _mean_tree(spark, sf_dir, "UPGMA")
-    rows = [(n, int(a), int(b), round(float(x), 6)) for n, (a, b, x) in enumerate(tree)]
-    return spark.createDataFrame(rows, "node int, left int, right int, length double")
+    return _tree_rows(spark, _mean_tree(spark, sf_dir, "UPGMA"))
 
 
 @query("SELECT count(*) AS ids, count(DISTINCT vec_id) AS distinct_ids, true AS within_limit FROM embeddings")
 def bisecting_clusters(spark, sf_dir):
     """Clusters of all vectors with at most 60 members: every vector is in exactly one."""
-    rows = positions(spark, sf_dir).select("vec_id", "vec").orderBy("vec_id").collect()
-    points = np.array([r.vec for r in rows], float)
-    clusters = A.cluster_points(spark, points, 60, 1)
-    labelled = spark.createDataFrame([(rows[i].vec_id, n) for n, c in enumerate(clusters) for i in c], "vec_id long, cluster int")
-    sizes = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.collect_set("vec_id").alias("ids"))
-    return sizes.agg(
-        F.sum("n").alias("ids"), F.size(F.array_distinct(F.flatten(F.collect_list("ids")))).cast("long").alias("distinct_ids"), (F.max("n") <= 60).alias("within_limit")
-    )
+    points = positions(spark, sf_dir).select(F.col("vec_id").alias("key"), "vec")
+    labelled = A.cluster_points(points, 60, 1)
+    sizes = labelled.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
+    ids = labelled.agg(F.count("*").alias("ids"), F.countDistinct("key").alias("distinct_ids"))
+    return ids.join(F.broadcast(sizes)).select("ids", "distinct_ids", (F.col("most") <= 60).alias("within_limit"))

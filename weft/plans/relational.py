@@ -99,7 +99,7 @@ def ssbias_window(spark, sf_dir):
 
 @query(f"""
 WITH {SEQUENCES_SQL}, {ALIGNED_SQL}, c AS (
-  SELECT name, unnest(range(40)) AS col, unnest(string_split(aligned, '')) AS ch FROM aligned
+  SELECT name, unnest(range(length(aligned))) AS col, unnest(string_split(aligned, '')) AS ch FROM aligned
 ), n AS (SELECT col, ch, count(*) AS n FROM c GROUP BY col, ch), k AS (SELECT col, count(*) AS k FROM n GROUP BY col),
 w AS (SELECT name, sum(1.0 / n / k) AS w FROM c JOIN n USING (col, ch) JOIN k USING (col) GROUP BY name)
 SELECT name, round(w / (SELECT sum(w) FROM w), 8) AS weight FROM w""")
@@ -211,29 +211,31 @@ def vec_euclid_pairs(spark, sf_dir):
     return rounded(mean_distances(spark, sf_dir), 6, "d")
 
 
-@query(f"""
-WITH {POSITIONS_SQL} SELECT a.pos AS i, b.pos AS j, round({_DOT}, 5) AS score
-FROM positions a JOIN positions b ON a.seq_ord = 0 AND b.seq_ord = 1""")
+#: Zero has no sign in the rows that are compared.
+_UNSIGNED = "SELECT * REPLACE (CASE WHEN score = 0 THEN 0.0 ELSE score END AS score) FROM ({})"
+
+
+@query(_UNSIGNED.format(f"""
+WITH {POSITIONS_SQL} SELECT a.seq_ord AS a, b.seq_ord AS b, a.pos AS i, b.pos AS j, round({_DOT}, 5) AS score
+FROM positions a JOIN positions b ON a.seq_ord < b.seq_ord"""))
 def score_matrix_dot(spark, sf_dir):
-    p = positions(spark, sf_dir)
-    return rounded(pairs.dot_scores(p.where("seq_ord = 0"), p.where("seq_ord = 1")), 5, "score")
+    return rounded(pairs.dot_scores(positions(spark, sf_dir)), 5, "score")
 
 
-@query(f"""
+@query(_UNSIGNED.format(f"""
 WITH {POSITIONS_SQL}, e AS (
-  SELECT a.pos AS i, b.pos AS j, a.match_ratio AS wa, b.match_ratio AS wb, exp(-{_EUCLID} / 64) AS e
-  FROM positions a JOIN positions b ON a.seq_ord = 0 AND b.seq_ord = 1
+  SELECT a.seq_ord AS a, b.seq_ord AS b, a.pos AS i, b.pos AS j, a.match_ratio AS wa, b.match_ratio AS wb, exp(-{_EUCLID} / 64) AS e
+  FROM positions a JOIN positions b ON a.seq_ord < b.seq_ord
 ), m AS (
-  SELECT *, sum(wb * e) OVER (PARTITION BY i) / sum(wb) OVER (PARTITION BY i) AS mi,
-            sum(wa * e) OVER (PARTITION BY j) / sum(wa) OVER (PARTITION BY j) AS mj FROM e
+  SELECT *, sum(wb * e) OVER (PARTITION BY a, b, i) / sum(wb) OVER (PARTITION BY a, b, i) AS mi,
+            sum(wa * e) OVER (PARTITION BY a, b, j) / sum(wa) OVER (PARTITION BY a, b, j) AS mj FROM e
 ), v AS (
-  SELECT *, sqrt(sum(wb * (e - mi) ** 2) OVER (PARTITION BY i) / sum(wb) OVER (PARTITION BY i)) AS si,
-            sqrt(sum(wa * (e - mj) ** 2) OVER (PARTITION BY j) / sum(wa) OVER (PARTITION BY j)) AS sj FROM m
+  SELECT *, sqrt(sum(wb * (e - mi) ** 2) OVER (PARTITION BY a, b, i) / sum(wb) OVER (PARTITION BY a, b, i)) AS si,
+            sqrt(sum(wa * (e - mj) ** 2) OVER (PARTITION BY a, b, j) / sum(wa) OVER (PARTITION BY a, b, j)) AS sj FROM m
 )
-SELECT i, j, round((e - mi) / si / 2 + (e - mj) / sj / 2, 4) AS score FROM v""")
+SELECT a, b, i, j, round((e - mi) / si / 2 + (e - mj) / sj / 2, 4) AS score FROM v"""))
 def score_matrix_distz(spark, sf_dir):
-    p = positions(spark, sf_dir)
-    return rounded(pairs.distance_zscores(p.where("seq_ord = 0"), p.where("seq_ord = 1")), 4, "score")
+    return rounded(pairs.distance_zscores(positions(spark, sf_dir)), 4, "score")
 
 
 @query(f"""
@@ -257,7 +259,7 @@ def anchor_distances(spark, sf_dir):
 @query(f"""
 WITH {SEQUENCES_SQL}, {ALIGNED_SQL}
 SELECT a.seq_ord AS i, b.seq_ord AS j, CAST(a.seq_ord * (a.seq_ord + 1) // 2 + b.seq_ord AS BIGINT) AS place,
-       len(list_filter(list_zip(string_split(a.aligned, ''), string_split(b.aligned, '')), lambda z: z[1] <> z[2])) / 40.0 AS d
+       len(list_filter(list_zip(string_split(a.aligned, ''), string_split(b.aligned, '')), lambda z: z[1] <> z[2])) / CAST(length(a.aligned) AS DOUBLE) AS d
 FROM aligned a JOIN aligned b ON b.seq_ord <= a.seq_ord""")
 def mismatch_matrix(spark, sf_dir):
     return pairs.mismatches(aligned_strings(spark, sf_dir))
@@ -314,14 +316,19 @@ def tree_leaves(spark, sf_dir):
     return spark.createDataFrame(rows, "node int, leaf int")
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT vec_id AS a, vec_id // 3 AS b FROM embeddings WHERE vec_id % 5 <> 0),
+# Every vector has an edge to the one with a seventh of its id in its own label's tens of thousands.
+_EDGE = "label * 10000 + vec_id // 7 AS b"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT label * 10000 + vec_id AS a, {_EDGE} FROM embeddings),
 s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT DISTINCT a AS node, a AS to_ FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.to_)
 SELECT node, min(to_) AS root FROM r GROUP BY node""")
 def union_find(spark, sf_dir):
-    ids = table(spark, sf_dir, "embeddings").where("vec_id % 5 <> 0")
-    return graph.smallest_reachable(ids.select(F.col("vec_id").alias("a"), F.floor(F.col("vec_id") / 3).alias("b")))
+    rows = table(spark, sf_dir, "embeddings")
+    tens = F.col("label").cast("long") * 10000
+    return graph.smallest_reachable(rows.select((tens + F.col("vec_id")).alias("a"), (tens + F.floor(F.col("vec_id") / 7)).alias("b")))
 
 
 @query(f"""
@@ -484,12 +491,13 @@ def sample_deterministic(spark, sf_dir):
     return strings.sample_records(table(spark, sf_dir, "benchmark").select("item_id"), 20, 123, "item_id")
 
 
-@query(f"WITH {SEQUENCES_SQL} SELECT name, seq FROM sequences WHERE seq_ord % 3 = 1")
+@query(f"WITH {SEQUENCES_SQL} SELECT name, seq FROM sequences WHERE name IN (SELECT 'b' || doc_id FROM labels)")
 def pick_records(spark, sf_dir):
+    """The records that a list from another table names."""
     records = sequences(spark, sf_dir)
-    named = records.select(F.concat("name", F.lit(" a description")).alias("name"), "seq")
-    targets = records.where("seq_ord % 3 = 1").select(F.col("name").alias("target"))
-    return strings.pick_records(named, targets).select(F.regexp_extract("name", r"^(\S+)", 1).alias("name"), "seq")
+    described = records.select(F.concat("name", F.lit(" a description")).alias("name"), "seq")
+    targets = table(spark, sf_dir, "labels").select(F.concat(F.lit("b"), F.col("doc_id").cast("string")).alias("target"))
+    return strings.pick_records(described, targets).select(F.regexp_extract("name", r"^(\S+)", 1).alias("name"), "seq")
 
 
 _MOVED = "CASE WHEN seq_ord % 2 = 0 THEN '-' || aligned ELSE aligned || '-' END"

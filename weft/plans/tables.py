@@ -67,13 +67,14 @@ sequences AS (
 
 
 def aligned_strings(spark, sf_dir: str) -> DataFrame:
-    """Sequences as strings of 40 columns with a gap for every E and at the end."""
-    return sequences(spark, sf_dir).select(
-        "seq_ord", "name", F.rpad(F.substring(F.translate("seq", "E", "-"), 1, 40), 40, "-").alias("aligned")
-    )
+    """Whole sequences as strings of one length: a gap for every E, and at the end up to the longest."""
+    rows = sequences(spark, sf_dir)
+    longest = rows.agg(F.max(F.length("seq")).alias("longest"))  # one row
+    aligned = F.rpad(F.translate("seq", "E", "-"), F.col("longest"), F.lit("-"))
+    return rows.join(F.broadcast(longest)).select("seq_ord", "name", aligned.alias("aligned"))
 
 
 ALIGNED_SQL = """
 aligned AS (
-  SELECT seq_ord, name, rpad(substr(replace(seq, 'E', '-'), 1, 40), 40, '-') AS aligned FROM sequences
+  SELECT seq_ord, name, rpad(replace(seq, 'E', '-'), CAST((SELECT max(length(seq)) FROM sequences) AS INTEGER), '-') AS aligned FROM sequences
 )"""
