@@ -310,7 +310,8 @@ def cluster_points(points: DataFrame, max_members: int, seed: int) -> DataFrame:
         return pd.DataFrame({"trial": f["trial"], "loss": found[1], "key": f["key"], "cluster": labels})
 
     measured = points.select("key", "vec").mapInPandas(measure, "trial int, key long, d array<double>")
-    done = measured.repartition(ANCHOR_TRIALS, "trial").groupBy("trial").applyInPandas(cluster, "trial int, loss double, key long, cluster int")
+    # More partitions than trials, so that few trials share one.
+    done = measured.repartition(8 * ANCHOR_TRIALS, "trial").groupBy("trial").applyInPandas(cluster, "trial int, loss double, key long, cluster int")
     done = checkpointed(done)
     best = done.agg(F.min(F.struct("loss", "trial")).alias("x")).first().x
     if best is None:
