@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import trees
 from weft.functions.dynamic import Alignment, align, merge
-from weft.operators import alignment as A
+from weft.operators import alignment as A, pairs
 from weft.options import AlignOptions
 from weft.plans.relational import DISTANCES_SQL, mean_coordinates, rounded
 from weft.plans.tables import POSITIONS_SQL, SEQUENCES_SQL, plain_positions, positions, sequences
@@ -350,19 +350,39 @@ def nj_tree(spark, sf_dir):
     return spark.createDataFrame(rows, "node int, left int, right int, length double, newick string")
 
 
-@query(f"""{_UPGMA_SQL}, m AS (
+_UPGMA_TREE_SQL = f"""{_UPGMA_SQL}, m AS (
   SELECT step, arg_min(least(i, j), (d, least(i, j), greatest(i, j))) AS a, arg_min(greatest(i, j), (d, least(i, j), greatest(i, j))) AS b, min(d) / 2 AS h FROM t GROUP BY step
 ), tree AS (
   SELECT n + step AS node, coalesce((SELECT max(n + e.step) FROM m e WHERE e.step < m.step AND e.a = m.a), a) AS lo,
          coalesce((SELECT max(n + e.step) FROM m e WHERE e.step < m.step AND e.a = m.b), b) AS hi, h FROM m, n
   UNION ALL SELECT seq_ord, seq_ord, -1, 0.0 FROM means
-)
+)"""
+
+
+@query(f"""{_UPGMA_TREE_SQL}
 SELECT CAST(c.node AS INTEGER) AS node, CAST(c.lo AS INTEGER) AS "left", CAST(c.hi AS INTEGER) AS "right", round(coalesce(p.h - c.h, 0), 6) AS length
 FROM tree c LEFT JOIN tree p ON p.hi >= 0 AND c.node IN (p.lo, p.hi)""")
 def upgma_tree(spark, sf_dir):
     return _tree_rows(spark, _mean_tree(spark, sf_dir, "UPGMA"))
 
 
+@query(f"""{_UPGMA_TREE_SQL}
+SELECT CAST(c.node AS INTEGER) AS node, CAST(coalesce(p.node, -1) AS INTEGER) AS parent
+FROM tree c LEFT JOIN tree p ON p.hi >= 0 AND c.node IN (p.lo, p.hi)""")
+def tree_parent(spark, sf_dir):
+    return pairs.tree_parents(_tree_rows(spark, _mean_tree(spark, sf_dir, "UPGMA")))
+
+
+@query(f"""{_UPGMA_TREE_SQL}, below AS (
+  SELECT node, node AS leaf FROM tree WHERE hi < 0
+  UNION ALL SELECT tree.node, leaf FROM below JOIN tree ON tree.hi >= 0 AND below.node IN (tree.lo, tree.hi)
+) SELECT CAST(node AS INTEGER) AS node, CAST(leaf AS INTEGER) AS leaf FROM below""")
+def tree_leaves(spark, sf_dir):
+    tree = _mean_tree(spark, sf_dir, "UPGMA")
+    rows = [(n, leaf) for n in range(len(tree)) for leaf in sorted(trees.leaves_below(tree, n))]
+    return spark.createDataFrame(rows, "node int, leaf int")
+
+
 @query("SELECT count(*) AS ids, count(DISTINCT vec_id) AS distinct_ids, true AS within_limit FROM embeddings")
 def bisecting_clusters(spark, sf_dir):
     """Clusters of all vectors with at most 60 members: every vector is in exactly one."""

@@ -265,11 +265,14 @@ def mismatch_matrix(spark, sf_dir):
     return pairs.mismatches(aligned_strings(spark, sf_dir))
 
 
-@query("SELECT i, j, CAST(row_number() OVER (ORDER BY i, j) - 1 AS BIGINT) AS place FROM range(99) a(i) JOIN range(99) b(j) ON j <= i")
+@query("""
+SELECT a.n_nationkey AS i, b.n_nationkey AS j, CAST(row_number() OVER (ORDER BY a.n_nationkey, b.n_nationkey) - 1 AS BIGINT) AS place
+FROM nation a JOIN nation b ON b.n_nationkey <= a.n_nationkey""")
 def condensed_index(spark, sf_dir):
-    i = spark.range(99).withColumnRenamed("id", "i")
-    grid = i.select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("i"))).alias("j"))
-    return grid.select("i", "j", V.condensed_index(F.col("j"), F.col("i")).alias("place"))
+    """The place of each pair of nations, whose keys count from 0."""
+    i = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"))
+    grid = i.select("i", F.explode(F.sequence(F.lit(0), F.col("i"))).alias("j"))
+    return grid.select("i", "j", V.condensed_index(F.col("j"), F.col("i")).cast("long").alias("place"))
 
 
 @query(f"""
@@ -286,36 +289,6 @@ def upgma_first_pair(spark, sf_dir):
     return pairs.first_joined(mean_distances(spark, sf_dir), "UPGMA")
 
 
-_TREE_SQL = """
-tree AS (SELECT CAST(n AS INTEGER) AS node, CAST(CASE WHEN n < 8 THEN n ELSE 2 * (n - 8) END AS INTEGER) AS "left",
-                CAST(CASE WHEN n < 8 THEN -1 ELSE 2 * (n - 8) + 1 END AS INTEGER) AS "right" FROM range(15) t(n))"""
-
-
-def _balanced_tree():
-    return [(n, -1, 1.0) if n < 8 else (2 * (n - 8), 2 * (n - 8) + 1, 1.0) for n in range(15)]
-
-
-@query(f"""
-WITH {_TREE_SQL}, k AS (SELECT node AS parent, "left" AS child FROM tree WHERE "right" >= 0 UNION ALL SELECT node, "right" FROM tree WHERE "right" >= 0)
-SELECT node, coalesce(parent, -1) AS parent FROM tree LEFT JOIN k ON child = node""")
-def tree_parent(spark, sf_dir):
-    rows = [(n, *v) for n, v in enumerate(_balanced_tree())]
-    return pairs.tree_parents(spark.createDataFrame(rows, "node int, left int, right int, length double"))
-
-
-@query(f"""
-WITH RECURSIVE {_TREE_SQL}, below AS (
-  SELECT node, node AS leaf FROM tree WHERE "right" < 0
-  UNION ALL SELECT tree.node, leaf FROM below JOIN tree ON tree."right" >= 0 AND below.node IN (tree."left", tree."right")
-) SELECT node, leaf FROM below""")
-def tree_leaves(spark, sf_dir):
-    from weft.functions.trees import leaves_below
-
-    tree = _balanced_tree()
-    rows = [(n, leaf) for n in range(len(tree)) for leaf in sorted(leaves_below(tree, n))]
-    return spark.createDataFrame(rows, "node int, leaf int")
-
-
 # Every vector has an edge to the one with a seventh of its id in its own label's tens of thousands.
 _EDGE = "label * 10000 + vec_id // 7 AS b"
 
@@ -341,14 +314,15 @@ def kmeans_assign_step(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT a / 10.0 - 1 AS la, b / 10.0 - 1 AS lb FROM range(40) x(a), range(40) y(b)),
-s AS (SELECT la, lb, CASE WHEN least(la, lb) <= 0 THEN least(la, lb) - 0.01 ELSE 0 END AS s FROM l)
-SELECT round(la, 1) AS la, round(lb, 1) AS lb, round(greatest((lb - s) / (la + lb - 2 * s), 0.01), 6) AS wa,
+WITH l AS (SELECT l_discount * 10 - 0.2 AS la, l_tax * 10 - 0.2 AS lb, count(*) AS n FROM lineitem GROUP BY ALL),
+s AS (SELECT *, CASE WHEN least(la, lb) <= 0 THEN least(la, lb) - 0.01 ELSE 0 END AS s FROM l)
+SELECT round(la, 1) AS la, round(lb, 1) AS lb, n, round(greatest((lb - s) / (la + lb - 2 * s), 0.01), 6) AS wa,
        round(greatest((la - s) / (la + lb - 2 * s), 0.01), 6) AS wb FROM s""")
 def branch_weights(spark, sf_dir):
-    a = F.col("id")
-    lengths = spark.range(1600).select(((a / 40).cast("int") / 10.0 - 1).alias("la"), ((a % 40) / 10.0 - 1).alias("lb"))
-    return rounded(rounded(lengths.select("la", "lb", *pairs.branch_weights()), 1, "la", "lb"), 6, "wa", "wb")
+    """The weights of all pairs of lengths that discounts and taxes give, some of them below zero."""
+    lengths = [(F.col(c) * 10 - 0.2).alias(n) for c, n in (("l_discount", "la"), ("l_tax", "lb"))]
+    found = table(spark, sf_dir, "lineitem").select(*lengths).groupBy("la", "lb").agg(F.count("*").alias("n"))
+    return rounded(rounded(found.select("la", "lb", "n", *pairs.branch_weights()), 1, "la", "lb"), 6, "wa", "wb")
 
 
 # -------------------------------------------------- texts, formats, strings
@@ -480,10 +454,13 @@ def merge_fragments(spark, sf_dir):
     return rounded(strings.merge_fragments(fragments, 2), 5, "x")
 
 
-@query("SELECT v AS text, CASE WHEN v = '*' THEN 0.0 ELSE round(pow(2.0, -CAST(v AS DOUBLE) / 1000), 5) END AS value FROM (SELECT CASE WHEN n = 0 THEN '*' ELSE CAST(n * 7 AS VARCHAR) END AS v FROM range(2000) t(n))".replace("CAST(v AS DOUBLE)", "TRY_CAST(v AS DOUBLE)"))
+@query("""
+SELECT p_partkey, v AS text, CASE WHEN v = '*' THEN 0.0 ELSE round(pow(2.0, -TRY_CAST(v AS DOUBLE) / 1000), 5) END AS value
+FROM (SELECT p_partkey, CASE WHEN p_size = 1 THEN '*' ELSE CAST(p_size * 97 AS VARCHAR) END AS v FROM part)""")
 def hhm_convert(spark, sf_dir):
-    v = F.when(F.col("id") == 0, "*").otherwise((F.col("id") * 7).cast("string"))
-    return spark.range(2000).select(v.alias("text"), text.hhm_value(v).alias("value"))
+    """Sizes of parts as the numbers of an HMM file; the smallest stands for none."""
+    v = F.when(F.col("p_size") == 1, "*").otherwise((F.col("p_size") * 97).cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", v.alias("text"), text.hhm_value(v).alias("value"))
 
 
 @query("SELECT CAST(item_id AS BIGINT) AS item_id FROM benchmark ORDER BY md5('123#' || item_id), item_id LIMIT 20")
