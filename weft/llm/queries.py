@@ -7,6 +7,8 @@ import public_tokenizers
 from weft.llm import (
     embed_dedup,
     exact_dedup,
+    fill_middle,
+    importance,
     langid,
     license_scan,
     mixing,
@@ -15,6 +17,7 @@ from weft.llm import (
     sharding,
     simhash_dedup,
     token_store,
+    warc,
 )
 
 
@@ -64,6 +67,18 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.scan_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark, sf_dir):
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_warc(spark, sf_dir):
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
+def op13_fill_middle(spark, sf_dir):
+    return fill_middle.digests(_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -103,6 +118,68 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM p
 """
 
+OP11_SQL = rf"""
+WITH texts AS (
+  SELECT true AS own, row_number() OVER () AS r, doc_id, text FROM documents
+  UNION ALL SELECT false, row_number() OVER (), item_id, text FROM benchmark
+), w AS (
+  SELECT own, r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), f AS (
+  SELECT own, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w
+), per AS (SELECT own, r, f, count(*) AS n FROM f GROUP BY own, r, f),
+names AS (SELECT f, CAST({_crc32_sql("f")} AS BIGINT) % 10000 AS bucket FROM (SELECT DISTINCT f FROM per)),
+used AS (SELECT own, r, bucket, sum(n) AS n FROM per JOIN names USING (f) GROUP BY own, r, bucket),
+counts AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM used GROUP BY bucket),
+sums AS (SELECT sum(s) AS s, sum(t) AS t FROM counts),
+gains AS (
+  SELECT bucket, floor(1000 * ln((CAST(c.t AS DOUBLE) + 1) * (CAST(sums.s AS DOUBLE) + 10000) / ((CAST(c.s AS DOUBLE) + 1) * (CAST(sums.t AS DOUBLE) + 10000)))) AS gain FROM counts c, sums
+), weights AS (SELECT r, sum(n) AS n, floor(sum(n * gain) / sum(n)) AS weight FROM used JOIN gains USING (bucket) WHERE own GROUP BY r),
+scores AS (
+  SELECT w.r, doc_id, len(w) AS words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM w LEFT JOIN weights ON weights.r = w.r WHERE own
+), ranks AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS total FROM scores WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN rank <= 25 * total // 100 THEN rank END AS BIGINT) AS rank FROM scores LEFT JOIN ranks USING (r)
+"""
+
+
+def _base32_sql(digest: str) -> str:
+    """Base32 of a hex digest of 40 digits: four characters for every five digits."""
+    five = f"CAST('0x' || substr({digest}, 5 * k + 1, 5) AS BIGINT)"
+    letters = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST({five} >> {shift} & 31 AS INTEGER) + 1, 1)" for shift in (15, 10, 5, 0))
+    return f"array_to_string(list_transform(range(8), lambda k: {letters}), '')"
+
+
+OP12_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+k AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_base32_sql("sha1(html)")} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM k
+"""
+
+
+def _hash_number(k: int) -> str:
+    return f"CAST('0x' || substr(sha256('7:' || doc_id), {8 * k + 1}, 8) AS BIGINT)"
+
+
+OP13_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines FROM t),
+c AS (
+  SELECT *, len(lines) AS n, {_hash_number(0)} % (len(lines) + 1) AS x, {_hash_number(1)} % (len(lines) + 1) AS y,
+         text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {_hash_number(2)} % 100 >= 100 AS plain,
+         CASE WHEN {_hash_number(3)} % 100 < 50 THEN 'spm' ELSE 'psm' END AS moved FROM u
+), d AS (
+  SELECT *, array_to_string(lines[1:least(x, y)], '') AS p, array_to_string(lines[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(lines[greatest(x, y) + 1:], '') AS s FROM c
+)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' ELSE moved END AS form,
+       CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN moved = 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM d
+"""
+
 
 def queries():
     return {
@@ -116,8 +193,17 @@ def queries():
         "op8_exact_dedup": op8_exact_dedup,
         "op9_sharding": op9_sharding,
         "op10_secret_scan": op10_secret_scan,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_warc": op12_warc,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
 def oracle_sql():
-    return {"op8_exact_dedup": OP8_SQL, "op9_sharding": OP9_SQL}
+    return {
+        "op8_exact_dedup": OP8_SQL,
+        "op9_sharding": OP9_SQL,
+        "op11_importance_resampling": OP11_SQL,
+        "op12_warc": OP12_SQL,
+        "op13_fill_middle": OP13_SQL,
+    }
