@@ -1,6 +1,8 @@
 """Readers, writers and runs from files."""
 
 import gzip
+import random
+import re
 
 import numpy as np
 import pytest
@@ -60,6 +62,66 @@ def test_records_are_numbered_over_files_without_moving_their_texts(spark, tmp_p
     assert [tuple(r) for r in fasta.orderBy("ord").collect()] == [(0, "c", "", "AC"), (1, "a", "x", "MK"), (2, "b", "", "")]
 
 
+@pytest.fixture
+def tiny_blocks(spark):
+    """Files are cut into blocks of a few bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+
+    def cut(size):
+        for n, x in zip(names, (size, 0), strict=True):
+            spark.conf.set(n, str(x))
+
+    yield cut
+    for n, x in zip(names, before, strict=True):
+        spark.conf.set(n, x)
+
+
+def brute_fasta(content):
+    found = []
+    for line in re.split(r"\r\n|\r|\n", content):
+        if ">" in line:
+            found.append([line.split(">", 1)[1], ""])
+        elif found:
+            found[-1][1] += re.sub(r"\s", "", line)
+    return [(h.strip().split(None, 1)[0] if h.strip() else "", seq) for h, seq in found]
+
+
+@pytest.mark.parametrize("size", [7, 64, 1 << 20])
+def test_records_of_one_file_are_read_in_blocks(spark, tmp_path, tiny_blocks, size):
+    rng = random.Random(size)
+    texts = []
+    for n in range(4):
+        records = "".join(f">s{n}_{k} d>e{eol}" + "".join("MK" * rng.randint(0, 9) + eol for _ in range(rng.randint(0, 3))) for k in range(6) for eol in [rng.choice(["\n", "\r\n", "\n\n"])])
+        texts.append(["", "in front\n", "\n\n", ""][n] + records + ["", "\n>\n", "\nx>odd header\nAC\n", ">last"][n])
+    texts += ["", ">a\rAC\r>b\rMK\r", "no record"]
+    paths = []
+    for n, content in enumerate(texts):
+        (tmp_path / f"f{n}.fas").write_bytes(content.encode())
+        paths.append(str(tmp_path / f"f{n}.fas"))
+    paths = paths[3:] + paths[:3]
+    tiny_blocks(size)
+    pieces = text.record_pieces(spark, paths)
+    assert size > 7 or pieces.select("file_ord", "block").distinct().count() > 20
+    rows = text.read_fasta(spark, paths).orderBy("ord").collect()
+    want = [r for content in texts[3:] + texts[:3] for r in brute_fasta(content)]
+    assert [(r.name, r.seq) for r in rows] == want and [r.ord for r in rows] == list(range(len(want)))
+
+
+@pytest.mark.parametrize("size", [11, 90])
+def test_profiles_of_one_file_are_read_in_blocks(spark, tmp_path, tiny_blocks, size):
+    body = "# head\n\n" + "".join(f">r{k} x\n@ 1 0 0 1\nA {k} 2\n# c\n\n@ 1 0 0 0.5\n" for k in range(30))
+    (tmp_path / "one.gmat").write_text(body)
+    (tmp_path / "two.gmat").write_text("A 1 2\n" + body)
+    tiny_blocks(size)
+    rows = text.read_gmat(spark, [str(tmp_path / "two.gmat"), str(tmp_path / "one.gmat")]).where("residue IS NOT NULL").orderBy("seq_ord").collect()
+    want = [""] + [f"r{k} x" for k in range(30)] * 2
+    assert [(r.seq_ord, r.name) for r in rows] == list(enumerate(want))
+    assert [r.vec[0] for r in rows] == [1.0, *map(float, range(30)), *map(float, range(30))]
+    limited = text.read_gmat(spark, [str(tmp_path / "one.gmat")], max_records=7)
+    assert limited.select("name").distinct().count() == 7
+
+
 def test_tree_tasks_cover_chains_and_balanced_trees():
     n = 100
     chain = [(n + i, 0 if i == 0 else n + i - 1, i + 1, 0.5, 0.5) for i in range(n - 1)]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from weft.functions import vectors as V
 from weft.functions.blosum import BLOSUM62, parse_matrix
+from weft.lineage import shared_folder
 from weft.operators import graph, pairs, stats, strings
 from weft.plans.tables import (
     ALIGNED_SQL,
@@ -337,7 +340,16 @@ def _fasta_files(spark, sf_dir):
 
 @query(f"WITH {SEQUENCES_SQL} SELECT CAST(row_number() OVER (ORDER BY seq_ord) - 1 AS INTEGER) AS ord, name, 'item of length ' || length(seq) AS \"desc\", seq FROM sequences")
 def fasta_records(spark, sf_dir):
-    return text.parse_fasta(_fasta_files(spark, sf_dir))
+    """Sequences written as FASTA files and read again by record."""
+    return text.read_fasta(spark, _written(_fasta_files(spark, sf_dir)))
+
+
+def _written(texts):
+    """The paths, in order, of files with the records of texts(file_ord, text), written beside the checkpoints."""
+    spark = texts.sparkSession
+    folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    sinks.save_lines(texts.select("file_ord", F.col("text").alias("line")), folder, ["file_ord"])
+    return sorted(spark.read.text(folder).inputFiles())
 
 
 @query(f"WITH {SEQUENCES_SQL} SELECT name, CAST(unnest(range(length(seq))) AS INTEGER) AS pos, unnest(string_split(seq, '')) AS residue FROM sequences")
@@ -374,12 +386,11 @@ WITH {POSITIONS_SQL}, p AS (
   UNION ALL SELECT seq_ord, name, CAST(count(*) AS INTEGER), NULL, 1.0, 0.0 FROM positions GROUP BY seq_ord, name
 ) SELECT * FROM p""")
 def gmat_round_trip(spark, sf_dir):
-    """Profiles written as text and parsed again."""
+    """Profiles written as text files and read again by record."""
     lines = sinks.gmat_lines(_with_ends(positions(spark, sf_dir)))
     texts = lines.groupBy("seq_ord").agg(F.sort_array(F.collect_list(F.struct("pos", "part", "line"))).alias("l"))
     files = texts.select(F.col("seq_ord").alias("file_ord"), F.array_join(F.col("l.line"), "\n").alias("text"))
-    parsed = text.parse_profiles(text.split_records(files))
-    return parsed.select(
+    return text.read_gmat(spark, _written(files)).select(
         "seq_ord", "name", "pos", "residue", F.round(F.col("match_ratio").cast("double"), 4).alias("match_ratio"),
         F.round(V.total(F.transform(F.col("vec").cast("array<double>"), lambda x: F.round(x, 5))), 5).alias("total"),
     )

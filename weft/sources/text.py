@@ -1,8 +1,9 @@
 """Readers of profile, FASTA, statistics and HMM text files as DataFrames.
 
-Files are read whole, one row each, so that records keep their order inside a
-file; compressed files are decoded by their suffix. Rows carry the place of
-their file in the list of paths and of their record in the file.
+Profile and FASTA files are read by record: a large file is split among tasks,
+and records keep their numbers in the order of files. Lists, statistics and
+HMM texts are one small text a file. Compressed files are decoded by their
+suffix (and not split).
 """
 
 from __future__ import annotations
@@ -22,14 +23,43 @@ DEFAULT_STATE = (("match_ratio", 1.0), ("del_ratio", 0.0), ("match_to_del", 0.0)
 
 def whole_files(spark, paths: list[str]) -> DataFrame:
     """file_ord int, text string: one row for each file, in the order of paths."""
-    if not paths:
-        raise ValueError("no input files")
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    # The list of paths is short: it came from the command line or a list file.
-    order = spark.createDataFrame([(i, _tail(p)) for i, p in enumerate(paths)], "file_ord int, tail string")
+    files = _text(spark, paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return _in_order(files, paths)
+
+
+def record_pieces(spark, paths: list[str]) -> DataFrame:
+    """file_ord int, block long, row long, text string: files cut in front of every line that begins with >.
+
+    A plain file is read in blocks by as many tasks; block is where one begins
+    and row ascends in it. What is in front of a file's first > is a piece of
+    its own. The pieces are written once to the shared folder, since a second
+    reading could cut the blocks otherwise. A piece holds at most 2 GB; a > that
+    is a file's last character starts none.
+    """
+    files = _text(spark, paths, lineSep="\n>").select(
+        F.input_file_name().alias("path"), F.input_file_block_start().alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").alias("text"),
+    )
+    pieces = checkpointed(_in_order(files, paths))
+    heads = pieces.where("block = 0").groupBy("file_ord").agg(F.min("row").alias("head"))  # a row for each file
+    cut = pieces.join(F.broadcast(heads), "file_ord")
+    return cut.select("file_ord", "block", "row", F.when(F.col("row") == F.col("head"), F.col("text")).otherwise(F.concat(F.lit(">"), "text")).alias("text"))
+
+
+def _in_order(files: DataFrame, paths: list[str]) -> DataFrame:
+    """files with file_ord, the place of their path in paths, instead of path."""
     if len({_tail(p) for p in paths}) < len(paths):
         raise ValueError("a file is listed twice")
-    return files.join(F.broadcast(order), F.expr("endswith(url_decode(path), tail)")).select("file_ord", "text")
+    # The list of paths is short: it came from the command line or a list file.
+    order = files.sparkSession.createDataFrame([(i, _tail(p)) for i, p in enumerate(paths)], "file_ord int, tail string")
+    named = files.join(F.broadcast(order), F.expr("endswith(url_decode(path), tail)"))
+    return named.select("file_ord", *[c for c in files.columns if c != "path"])
+
+
+def _text(spark, paths: list[str], **options) -> DataFrame:
+    if not paths:
+        raise ValueError("no input files")
+    return spark.read.text(paths, **options)
 
 
 def _tail(path: str) -> str:
@@ -49,7 +79,7 @@ def _lines(text: Column) -> Column:
 
 
 def split_records(files: DataFrame) -> DataFrame:
-    """file_ord, rec, name, lines: the records of GMAT texts.
+    """seq_ord, name, lines: the records of GMAT texts, either whole files (file_ord, text) or record_pieces().
 
     A line that begins with > starts a record and is its name, without blanks
     in front. Lines before the first one make a record named "". Blank lines
@@ -63,20 +93,37 @@ def split_records(files: DataFrame) -> DataFrame:
         name = F.when(headed, F.regexp_extract(F.get(every, F.lit(0)), r"^>\s*([^\r\n]*)", 1)).otherwise("")
         return F.struct(name.alias("name"), F.when(headed, F.slice(every, F.lit(2), F.size(every))).otherwise(every).alias("lines"), headed.alias("headed"))
 
-    # Records are counted inside their file's row, so rec has no gaps.
     records = F.filter(F.transform(blocks, record), lambda r: r["headed"] | (F.size(r["lines"]) > 0))
-    return files.select("file_ord", F.posexplode(records).alias("rec", "r")).select("file_ord", "rec", "r.name", "r.lines")
+    return numbered(files, records, "seq_ord").select("seq_ord", "item.name", "item.lines")
 
 
-def numbered(records: DataFrame, name: str) -> DataFrame:
-    """records(file_ord, rec from 0 without gaps) with their number over all files, in the order of files.
+def numbered(pieces: DataFrame, items: Column, name: str) -> DataFrame:
+    """name int, item: the items of all pieces, numbered in the order of files, blocks and rows.
 
-    Only counts of records leave their files: the texts stay where they are.
+    pieces has (file_ord, text), a row for each file, or also (block, row).
+    Only counts of items leave their tasks, one for each block: texts stay
+    where they are. That is enough where the pieces of a block hold one item
+    each, its first one aside; if not, each piece gets its own place by a join.
     """
-    counts = checkpointed(records.groupBy("file_ord").agg((F.max("rec") + 1).alias("n")))
-    before = Window.orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
-    firsts = checkpointed(counts.select("file_ord", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
-    return records.join(bounded(firsts), "file_ord").withColumn(name, (F.col("first") + F.col("rec")).cast("int")).drop("first")
+    if "row" not in pieces.columns:
+        pieces = pieces.withColumns({"block": F.lit(0).cast("long"), "row": F.lit(0).cast("long")})
+    held = pieces.withColumn("items", items)
+    sizes = held.select("file_ord", "block", "row", F.size("items").alias("n"))
+    by_block = sizes.groupBy("file_ord", "block").agg(
+        F.sum("n").alias("n"), F.min("row").alias("head"), F.min_by("n", "row").alias("head_n"), F.count_if(F.col("n") != 1).alias("odd")
+    )
+    before = Window.orderBy("file_ord", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
+    blocks = checkpointed(by_block.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
+    placed = held.join(bounded(blocks.select("file_ord", "block", "first", "head", "head_n")), ["file_ord", "block"])
+    if blocks.where((F.col("odd") > 1) | ((F.col("odd") == 1) & (F.col("head_n") == 1))).isEmpty():
+        inside = F.when(F.col("row") == F.col("head"), F.lit(0)).otherwise(F.col("head_n") + (F.col("row") - F.col("head") - 1))
+    else:
+        earlier = Window.partitionBy("file_ord", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+        places = checkpointed(sizes.select("file_ord", "block", "row", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("inside")))
+        placed = placed.join(bounded(places), ["file_ord", "block", "row"])
+        inside = F.col("inside")
+    rows = placed.select((F.col("first") + inside).alias("start"), F.posexplode("items").alias("k", "item"))
+    return rows.select((F.col("start") + F.col("k")).cast("int").alias(name), "item")
 
 
 def parse_profiles(records: DataFrame) -> DataFrame:
@@ -92,7 +139,7 @@ def parse_profiles(records: DataFrame) -> DataFrame:
     states = F.filter("lines", lambda x: x.startswith("@"))
     rows = F.transform(residues, tokens)
     numbers = lambda x: F.transform(F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), lambda v: v.cast("float"))
-    packed = numbered(records, "seq_ord").select("seq_ord", "name", rows.alias("rows"), F.transform(F.transform(states, tokens), numbers).alias("states"))
+    packed = records.select("seq_ord", "name", rows.alias("rows"), F.transform(F.transform(states, tokens), numbers).alias("states"))
     width = F.size(F.get("rows", F.lit(0)))
     wrong = (
         F.exists("rows", lambda x: F.size(x) != width)
@@ -113,20 +160,20 @@ def parse_profiles(records: DataFrame) -> DataFrame:
 
 def read_gmat(spark, paths: list[str], max_records: int | None = None) -> DataFrame:
     """Profiles of GMAT files, in long form; the first max_records ones if given."""
-    profiles = parse_profiles(split_records(whole_files(spark, paths)))
+    profiles = parse_profiles(split_records(record_pieces(spark, paths)))
     return profiles if max_records is None else profiles.where(F.col("seq_ord") < max_records)
 
 
 def parse_fasta(files: DataFrame, keep_space: bool = False) -> DataFrame:
-    """ord int, name, desc, seq: the records of FASTA texts.
+    """ord int, name, desc, seq: the records of FASTA texts, either whole files (file_ord, text) or record_pieces().
 
     A line with > anywhere is a header: its first word is the name, the rest
     the description. White space in sequences goes unless it is kept.
     """
     marked = F.regexp_replace(F.concat(F.lit("\n"), "text"), r"(?m)^[^>\r\n]*>", "\u0001")
     # What is in front of the first header is no record.
-    blocks = files.select("file_ord", F.posexplode(F.split(marked, "\u0001")).alias("rec", "block")).where("rec > 0")
-    blocks = numbered(blocks.withColumn("rec", F.col("rec") - 1), "ord")
+    found = F.split(marked, "\u0001")
+    blocks = numbered(files, F.slice(found, F.lit(2), F.size(found)), "ord").withColumnRenamed("item", "block")
     header, body = F.regexp_extract("block", r"^([^\r\n]*)", 1), F.regexp_replace("block", r"^[^\r\n]*", "")
     seq = F.regexp_replace(body, r"[\r\n]+" if keep_space else r"\s+", "")
     return blocks.select(
@@ -138,7 +185,7 @@ def parse_fasta(files: DataFrame, keep_space: bool = False) -> DataFrame:
 
 
 def read_fasta(spark, paths: list[str], keep_space: bool = False) -> DataFrame:
-    return parse_fasta(whole_files(spark, paths), keep_space)
+    return parse_fasta(record_pieces(spark, paths), keep_space)
 
 
 def fasta_residues(fasta: DataFrame) -> DataFrame:
