@@ -31,6 +31,8 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 #: Slots at most of the table that is asked first whether a signature is of a template.
 MOST_SLOTS = 1 << 16
+#: Shingles of a part of a text, a multiple of all strides.
+PART_SHINGLES = 512
 
 
 class Width(NamedTuple):
@@ -174,18 +176,20 @@ def _starts(hashes: Column, stride: int) -> Column:
     return F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.size(hashes), F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
 
-def _signatures(hashes: Column, n: int, keep) -> Column:
+def _signatures(hashes: Column, n: int, keep, starts: Column | None = None) -> Column:
     """array<struct<at, band, value>> of the windows of the n-th width, where the value is kept.
 
-    A window that lies at the end may have less shingles than its width.
+    Windows begin at starts, or else at every stride. A window that lies at the
+    end may have less shingles than its width.
     """
     width, first = WIDTHS[n], sum(w.bands for w in WIDTHS[:n])
+    starts = _starts(hashes, width.stride) if starts is None else starts
     signature = lambda at, band, value: F.struct(at.alias("at"), band.alias("band"), value.alias("value"))
     if width.bands == 1:
         least = lambda at: F.get(hashes, at - 1)
         if width.shingles > 1:
             least = lambda at: F.least(*[F.get(hashes, at + (j - 1)) for j in range(width.shingles)])
-        kept = F.filter(_starts(hashes, width.stride), lambda at: keep(least(at)))
+        kept = F.filter(starts, lambda at: keep(least(at)))
         return F.transform(kept, lambda at: signature(at, F.lit(first), least(at)))
     # A band has the hashes of one range: in order, the least one comes behind another band's.
     bits = width.bands.bit_length() - 1
@@ -198,7 +202,7 @@ def _signatures(hashes: Column, n: int, keep) -> Column:
 
         return bound(F.sort_array(F.slice(hashes, at, width.shingles)), least)
 
-    return F.flatten(F.transform(_starts(hashes, width.stride), bins))
+    return F.flatten(F.transform(starts, bins))
 
 
 def _templates(spark, templates) -> tuple[DataFrame, list[tuple[str, list[str]]]]:
@@ -255,7 +259,9 @@ def scan(docs: DataFrame, templates=TEMPLATES + SHORT_TEMPLATES, containment: fl
     n_places is the number of windows in whose surroundings a template of the
     license is held, and of other places of one below SHINGLE words, which is
     held whole or not at all; containment is the largest share of a template's
-    shingles. Texts are whole; null and empty ones hold none. Rows that repeat
+    shingles. A text is looked at in parts of PART_SHINGLES with a margin, and
+    only in those that hold a shingle of the templates' signatures: the time is
+    in proportion to the text and the hits. Texts are whole; null and empty ones hold none. Rows that repeat
     a doc_id are one document. Other columns of docs are ignored; an empty
     table gives an empty result.
     """
@@ -279,14 +285,37 @@ def _long_places(docs: DataFrame, long: DataFrame) -> DataFrame:
     low = {r.low for r in index.select(F.col("value").bitwiseAND(F.lit(slots - 1)).alias("low")).distinct().collect()}
     table = F.from_json(F.lit(json.dumps([int(i in low) for i in range(slots)])), "array<int>")
     hashed = docs.select("doc_id", shingles_of(words_of(F.col("text"))).alias("h"))
+    margin = long.agg(F.max("n_words").alias("n")).first().n
+    # A window's signature is the hash of one of its shingles: where no shingle has an index value, none is retrieved.
+    widest = WIDTHS[-1].shingles
+    part = lambda at: F.floor((at - 1) / PART_SHINGLES).cast("int")
 
-    def known(slots_: Column) -> Column:
-        keep = lambda value: F.get(slots_, value.bitwiseAND(F.lit(slots - 1)).cast("int")) == 1
-        return F.concat(*[_signatures(F.col("h"), n, keep) for n in range(len(WIDTHS))])
+    def in_table(slots_: Column, value: Column) -> Column:
+        return F.get(slots_, value.bitwiseAND(F.lit(slots - 1)).cast("int")) == 1
+
+    def parts(slots_: Column) -> Column:
+        places = F.filter(_starts(F.col("h"), 1), lambda at: in_table(slots_, F.get("h", at - 1)))
+        reached = F.flatten(F.transform(places, lambda at: F.array(part(at), part(F.greatest(at - (widest - 1), F.lit(1))))))
+        return F.transform(F.array_distinct(reached), piece)
+
+    def piece(number: Column) -> Column:
+        begin = F.greatest(number * PART_SHINGLES + 1 - margin, F.lit(1))
+        own = F.least((number + 1) * PART_SHINGLES, F.size("h"))
+        shingles = F.slice("h", begin, own - begin + (1 + widest + 2 * margin))
+        return F.struct(begin.alias("begin"), (number * PART_SHINGLES + 1).alias("first"), own.alias("last"), shingles.alias("h"))
 
-    signatures = hashed.select("doc_id", "h", F.explode(bound(table, known)).alias("s"))
-    hits = signatures.select("doc_id", "h", "s.*").join(bounded(index), ["band", "value"])
-    begin = F.greatest(F.col("at") - F.col("n_words"), F.lit(1))
-    region = F.slice("h", begin, F.lit(WIDTHS[-1].shingles) + 2 * F.col("n_words"))
+    cut = hashed.select("doc_id", F.explode(bound(table, parts)).alias("p")).select("doc_id", "p.*")
+
+    def known(slots_: Column) -> Column:
+        found = []
+        for n, width in enumerate(WIDTHS):
+            starts = F.transform(F.sequence("first", "last", F.lit(width.stride)), lambda at: at - F.col("begin") + 1)
+            found.append(_signatures(F.col("h"), n, lambda value: in_table(slots_, value), starts))
+        return F.concat(*found)
+
+    signatures = cut.select("doc_id", "begin", "h", F.explode(bound(table, known)).alias("s"))
+    hits = signatures.select("doc_id", "begin", "h", "s.*").join(bounded(index), ["band", "value"])
+    from_ = F.greatest(F.col("at") - F.col("n_words"), F.lit(1))
+    region = F.slice("h", from_, F.lit(widest) + 2 * F.col("n_words"))
     share = F.size(F.array_intersect("shingles", region)) / F.size("shingles")
-    return hits.select("doc_id", "at", "license_id", share.alias("containment"))
+    return hits.select("doc_id", (F.col("at") + F.col("begin") - 1).alias("at"), "license_id", share.alias("containment"))
