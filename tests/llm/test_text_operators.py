@@ -298,3 +298,20 @@ def test_null_ids(spark):
     assert [r.doc_id for r in token_store.store_documents(docs, WORD).orderBy("start").collect()] == [None, None, 4]
     assert packing.pack_documents(docs, BYTE).count() == 3
     assert sharding.shard_documents(docs).count() == 3
+
+
+def test_tokens_of_rows_that_share_an_id_fill_several_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "LEAST_DOCUMENTS", 64)
+    monkeypatch.setattr(token_store, "RANGE_DOCUMENTS", 64)
+    lowest = -(1 << 63)
+    rows = [(None, f"text {k % 90} of many", None, None, 0) for k in range(400)] + [(5, "one text", None, None, 0)] * 300 + [(lowest, "x", None, None, 0), (4, "y", None, None, 0), (6, "z", None, None, 0)]
+    docs = frame(spark, rows)
+    token_store.write_tokens(docs, WORD, 1, str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    assert stored.select("range").distinct().count() >= 8 and stored.agg({"n_docs": "max"}).first()[0] < 200
+    got = [tuple(r) for r in token_store.read_tokens(spark, str(tmp_path / "s")).orderBy("start").collect()]
+    assert [r[0] for r in got] == [None] * 400 + [lowest, 4] + [5] * 300 + [6]
+    ends = np.cumsum([r[2] for r in got]).tolist()
+    assert [r[1] for r in got] == [0, *ends[:-1]]
+    want = sorted((r[0] is not None, r[0] or 0, crc(ids_of(WORD, r[1], 1))) for r in rows)
+    assert sorted((r[0] is not None, r[0] or 0, r[3]) for r in got) == want

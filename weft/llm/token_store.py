@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ ROUND_RULES, LEAST_USES = 8192, 8
 #: Counters of a round: 2**20; pairs that share one are told apart by value.
 _COUNTER_BITS = 20
 _MAGIC = b"RePair1\0"
+#: What stands for a null id where ids are compared.
+_NO_ID = -(1 << 63)
 _STORED = "range long, part long, n_docs long, n_tokens long, data binary"
 
 
@@ -208,25 +211,37 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, specia
 
     Shards ascend by range and part, and the documents in them by doc_id
     (null ids first; rows that repeat a doc_id lie side by side, ordered by
-    their ids). A null text is empty, so it holds end_id alone. Names of special
+    XXH64 of their texts, and are dealt to several ranges if they are many, even
+    where they repeat the text too). A null text is empty, so it holds end_id alone. Names of special
     tokens in a text are these tokens, or else ordinary text. An empty table
     writes no shard. A task sorts its ranges, on disk if need be, and holds one
     shard of shard_bytes, or one document that has more. The driver holds one
-    doc_id for each range of RANGE_DOCUMENTS.
+    key for each range of RANGE_DOCUMENTS.
     """
+    text = F.col("text").cast("string")
+    copy = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 16) - 1))  # tells rows apart that repeat everything
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), copy.alias("copy"))
+    # A null id comes before the smallest number.
+    number = F.coalesce("doc_id", F.lit(_NO_ID).cast("long"))
+    key = F.struct(number.alias("a"), F.col("doc_id").isNotNull().cast("int").alias("b"), F.col("hash").alias("c"), F.col("copy").alias("d"))
     count = docs.count()
     ranges = max(1, min(-(-count // LEAST_DOCUMENTS), RANGES), -(-count // RANGE_DOCUMENTS))
-    dealt = docs.select("doc_id").repartitionByRange(ranges, "doc_id")
-    firsts = dealt.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("first")).select("first")
-    bounds = np.array(sorted(r.first for r in firsts.where("first IS NOT NULL").collect())[1:], np.int64)
+    dealt = narrow.select(key.alias("key")).repartitionByRange(ranges, "key")
+    firsts = dealt.groupBy(F.spark_partition_id()).agg(F.min("key").alias("first"))
+    bounds = sorted(tuple(r["first"]) for r in firsts.collect())[1:]
+    numbers = np.array([b[0] for b in bounds], np.int64)
     dtype = id_type(tokenizer)
 
     def make():
         encode = encoder(tokenizer, special_tokens).encode
 
-        def encoded(doc_ids, texts):
-            numbers = pc.fill_null(doc_ids, -(1 << 63)).to_numpy(zero_copy_only=False)
-            return [encode(texts, end_id), pa.array(np.searchsorted(bounds, numbers, "right"))]
+        def encoded(doc_ids, texts, hashes, copies):
+            mine = pc.fill_null(doc_ids, _NO_ID).to_numpy(zero_copy_only=False)
+            low, place = np.searchsorted(numbers, mine, "left"), np.searchsorted(numbers, mine, "right")
+            for k in np.flatnonzero(low < place).tolist():  # of one number with a bound: the rest of the key decides
+                whole = (int(mine[k]), int(doc_ids[k].is_valid), hashes[k].as_py(), copies[k].as_py())
+                place[k] = bisect_right(bounds, whole, int(low[k]), int(place[k]))
+            return [encode(texts, end_id), pa.array(place)]
 
         return encoded
 
@@ -244,9 +259,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, specia
             )
         release_memory()
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = append_columns(narrow, ["doc_id", "text"], make, "ids binary, range long").drop("text")
-    ordered = coded.repartition("range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
+    coded = append_columns(narrow, ["doc_id", "text", "hash", "copy"], make, "ids binary, range long").drop("text", "copy")
+    ordered = coded.repartition("range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "hash")
     ordered.mapInArrow(build, _STORED).write.mode("overwrite").parquet(path)
 
 
