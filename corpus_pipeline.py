@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import public_tokenizers
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from weft.llm import exact_dedup, langid, mixing, packing, simhash_dedup
 from weft.lineage import bounded, checkpointed
@@ -52,9 +52,9 @@ def _keep(docs, marks, of_group):
         return rows.join(bounded(kept), same, "left_semi").select("row.*")
     alone = checkpointed(kept.join(bounded(shared), "kept_id", "left_anti").where("kept_id IS NOT NULL"))
     known = rows.join(bounded(alone), same, "left_semi").select("row")
-    order = Window.partitionBy("group").orderBy("text", F.xxhash64("row"))
     others = of_group(rows.join(bounded(shared), same, "left_semi"))
-    first = others.withColumn("place", F.row_number().over(order)).where("place = 1").select("row")
+    # One row of a group leaves each task, however many rows have no id.
+    first = others.groupBy("group").agg(F.min_by("row", F.struct("text", F.xxhash64("row"))).alias("row")).select("row")
     return known.unionByName(first).select("row.*")
 
 
