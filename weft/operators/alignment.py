@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from weft.functions import trees
 from weft.functions.dynamic import Profile, align, align_and_merge, fold, merge, merge_by_edges, to_a3m
-from weft.functions.kmeans import bisecting_kmeans
 from weft.lineage import checkpointed
+from weft.operators.clusters import cluster_points
 from weft.options import AlignOptions
 
 _STATE = ("match_ratio", "del_ratio", "match_to_del", "del_to_del")
@@ -24,8 +24,6 @@ TREE_LEAVES = 5000
 STRIP_VALUES = 1 << 23
 #: Profiles that one task merges at most when a tree is followed.
 TASK_INPUTS = 16
-#: Anchors of a clustering's coordinates, and trials of them.
-ANCHORS, ANCHOR_TRIALS = 5, 10
 
 
 def pack_profiles(profiles: DataFrame) -> DataFrame:
@@ -280,45 +278,6 @@ def tree_alignment_in_task(profiles: list[Profile], options: AlignOptions, keep_
     return [held[n] for n in sorted(held, reverse=True)]
 
 
-def cluster_points(points: DataFrame, max_members: int, seed: int) -> DataFrame:
-    """key, cluster int of points(key long, vec): at most max_members by bisecting k-means, from the trial with the least loss.
-
-    Each trial sees the points by their distances to other anchors, in a task
-    of its own that holds ANCHORS numbers for each point; the driver gets the
-    anchors and the losses.
-    """
-    order = F.xxhash64(F.lit(seed), "key")
-    chosen = points.orderBy(order, "key").limit(ANCHORS * ANCHOR_TRIALS).select("vec").collect()
-    anchors = np.array([r.vec for r in chosen], float)
-    names = [np.arange(t * ANCHORS, (t + 1) * ANCHORS) % max(1, len(anchors)) for t in range(ANCHOR_TRIALS)]
-
-    def measure(frames):
-        for f in frames:
-            vecs = np.array(f["vec"].tolist(), float)
-            for trial, mine in enumerate(names):
-                distances = np.stack([np.linalg.norm(vecs - a, axis=1) for a in anchors[mine]], axis=1)
-                yield pd.DataFrame({"trial": trial, "key": f["key"], "d": distances.tolist()})
-
-    def cluster(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("key")
-        found = bisecting_kmeans(np.array(f["d"].tolist()), max_members, seed + int(f["trial"].iloc[0]))
-        if found is None:
-            return pd.DataFrame({"trial": [], "loss": [], "key": [], "cluster": []})
-        labels = np.zeros(len(f), int)
-        for n, members in enumerate(found[0]):
-            labels[members] = n
-        return pd.DataFrame({"trial": f["trial"], "loss": found[1], "key": f["key"], "cluster": labels})
-
-    measured = points.select("key", "vec").mapInPandas(measure, "trial int, key long, d array<double>")
-    # More partitions than trials, so that few trials share one.
-    done = measured.repartition(8 * ANCHOR_TRIALS, "trial").groupBy("trial").applyInPandas(cluster, "trial int, loss double, key long, cluster int")
-    done = checkpointed(done)
-    best = done.agg(F.min(F.struct("loss", "trial")).alias("x")).first().x
-    if best is None:
-        raise ValueError("no trial could split all clusters")
-    return done.where(F.col("trial") == best.trial).select("key", "cluster")
-
-
 def hierarchical_alignment(packed: DataFrame, options: AlignOptions) -> tuple[Profile, float]:
     """Clusters too many sequences, aligns each cluster in a task, and goes on with the merged groups."""
     blobs = checkpointed(_blobs(packed))

@@ -6,9 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from weft.functions import trees
+from weft.functions import trees, vectors as V
 from weft.functions.dynamic import Alignment, align, merge
-from weft.operators import alignment as A, pairs
+from weft.operators import alignment as A, clusters, pairs
 from weft.options import AlignOptions
 from weft.plans.relational import DISTANCES_SQL, mean_coordinates, rounded
 from weft.plans.tables import POSITIONS_SQL, SEQUENCES_SQL, plain_positions, positions, sequences
@@ -383,11 +383,40 @@ def tree_leaves(spark, sf_dir):
     return spark.createDataFrame(rows, "node int, leaf int")
 
 
+_SPLIT_SQL = f"""
+WITH RECURSIVE {POSITIONS_SQL}, p AS (SELECT vec_id, vec FROM positions), dims AS (SELECT CAST(d AS INTEGER) AS d FROM range(1, (SELECT max(len(vec)) + 1 FROM p)) r(d)),
+total AS (SELECT list(m ORDER BY d) AS mean FROM (SELECT d, avg(vec[d]) AS m FROM p, dims GROUP BY d)),
+c AS (
+  SELECT 0 AS step, vec AS c0, list_transform(list_zip(mean, vec), lambda z: 2 * z[1] - z[2]) AS c1 FROM p, total WHERE vec_id = (SELECT min(vec_id) FROM p)
+  UNION ALL
+  SELECT step + 1, list(m0 ORDER BY d), list(m1 ORDER BY d) FROM (
+    SELECT step, d, avg(vec[d]) FILTER (NOT side) AS m0, avg(vec[d]) FILTER (side) AS m1 FROM (
+      SELECT step, vec, list_distance(vec, c1) < list_distance(vec, c0) AS side FROM c, p WHERE step < 60
+    ), dims GROUP BY step, d
+  ) GROUP BY step
+), last AS (SELECT c0, c1 FROM c ORDER BY step DESC LIMIT 1)
+SELECT CAST(side AS INTEGER) AS side, count(*) AS points, round(sum(least(d0, d1)), 3) AS loss FROM (
+  SELECT list_distance(vec, c1) < list_distance(vec, c0) AS side, list_distance(vec, c0) AS d0, list_distance(vec, c1) AS d1 FROM p, last
+) GROUP BY side"""
+
+
+@query(_SPLIT_SQL)
+def two_means_split(spark, sf_dir):
+    """One split of all vectors from the first of them: members and loss of each side, by sums over all tasks."""
+    points = positions(spark, sf_dir).select(F.col("vec_id").alias("key"), F.col("vec").cast("array<double>").alias("vec"))
+    first = points.orderBy("key").first().vec
+    sides, _ = clusters.two_means(points, first)
+    named = points.join(sides, "key")
+    centres = named.groupBy("side").agg(F.array(*[F.avg(F.col("vec")[k]) for k in range(len(first))]).alias("centre"))
+    far = named.join(F.broadcast(centres), "side")
+    return rounded(far.groupBy("side").agg(F.count("*").alias("points"), F.sum(V.euclid(F.col("vec"), F.col("centre"))).alias("loss")), 3, "loss")
+
+
 @query("SELECT count(*) AS ids, count(DISTINCT vec_id) AS distinct_ids, true AS within_limit FROM embeddings")
 def bisecting_clusters(spark, sf_dir):
     """Clusters of all vectors with at most 60 members: every vector is in exactly one."""
     points = positions(spark, sf_dir).select(F.col("vec_id").alias("key"), "vec")
-    labelled = A.cluster_points(points, 60, 1)
+    labelled = clusters.cluster_points(points, 60, 1)
     sizes = labelled.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
     ids = labelled.agg(F.count("*").alias("ids"), F.countDistinct("key").alias("distinct_ids"))
     return ids.join(F.broadcast(sizes)).select("ids", "distinct_ids", (F.col("most") <= 60).alias("within_limit"))
