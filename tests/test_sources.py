@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions import vectors as V
-from weft.operators import alignment as A, stats, strings
+from weft.functions.dynamic import align_and_merge
+from weft.operators import alignment as A, multiple, stats, strings
 from weft.options import AlignOptions
 from weft.sources import sinks, text
 
@@ -130,13 +131,13 @@ def test_tree_tasks_cover_chains_and_balanced_trees():
         live = [balanced.append((number + i, live[2 * i], live[2 * i + 1], 0.5, 0.5)) or number + i for i in range(len(live) // 2)]
         number += len(live)
     for steps, rounds in ((chain, 7), (balanced, 2)):
-        made, tasks = set(range(n)), A._tasks(steps)
+        made, tasks = set(range(n)), multiple.rounds_of(steps)
         assert len(tasks) == rounds and sorted(s for t in tasks for x in t.values() for s in x) == sorted(steps)
         for turn in tasks:
             for task, mine in turn.items():
                 held = {s[0] for s in mine}
                 going = [c for s in mine for c in s[1:3] if c not in held]
-                assert len(going) <= A.TASK_INPUTS and set(going) <= made and mine[-1][0] == task
+                assert len(going) <= multiple.TASK_INPUTS and set(going) <= made and mine[-1][0] == task
             made |= set(turn)
 
 
@@ -202,8 +203,8 @@ def test_all_routes_of_input_give_the_same(spark, files):
     options = AlignOptions(score_type="dot_product", tree_type="UPGMA")
     texts = []
     for n, rows in enumerate((direct, listed)):
-        whole, score = A.multiple_alignment(A.pack_profiles(rows), options)
-        aligned = A.aligned_rows(spark, whole, score).withColumn("seq_ord", F.monotonically_increasing_id())
+        packed = A.pack_profiles(rows)
+        aligned = multiple.aligned_rows(packed, multiple.multiple_alignment(packed, options))
         path = str(files / f"out{n}") + (".gz" if n else "")
         sinks.save_lines(sinks.fasta_lines(aligned), path, ["seq_ord", "part"])
         texts.append([r.value for r in spark.read.text(path).collect()])
@@ -236,7 +237,7 @@ def test_duplicate_names_are_refused(spark, files):
     rows = text.read_gmat(spark, [str(files / "one.gmat")])
     twice = A.pack_profiles(rows).unionByName(A.pack_profiles(rows).withColumn("seq_ord", F.col("seq_ord") + 1))
     with pytest.raises(ValueError, match="duplicated name one"):
-        A.multiple_alignment(twice, AlignOptions())
+        multiple.multiple_alignment(twice, AlignOptions())
 
 
 def test_fragments_and_names(spark):
@@ -275,8 +276,66 @@ def test_hierarchy_of_noisy_copies(spark):
         b = base[n % 3] + rng.standard_normal(base[n % 3].shape) * 0.05
         rows += [(n, f"s{n}", i, "ACDEFGHIKLMN"[i], v.tolist(), 1.0, 0.0, 0.0, 0.95) for i, v in enumerate(b)]
     packed = A.pack_profiles(spark.createDataFrame(rows, text.PROFILE))
-    whole, _ = A.multiple_alignment(packed, AlignOptions(max_cluster_size=13))
-    assert sorted(whole.names, key=lambda s: int(s[1:])) == [f"s{n}" for n in range(36)]
-    assert all(whole.aligned(i).replace("-", "") == whole.residues[i] for i in range(36))
-    copies = [whole.aligned(i) for i in range(36) if int(whole.names[i][1:]) % 3 == 1]
-    assert len(set(copies)) == 1  # copies of one record agree
+    found = multiple.multiple_alignment(packed, AlignOptions(max_cluster_size=13))
+    aligned = {r.name: r.aligned for r in multiple.aligned_rows(packed, found).collect()}
+    assert sorted(aligned, key=lambda s: int(s[1:])) == [f"s{n}" for n in range(36)]
+    assert all(aligned[f"s{n}"].replace("-", "") == "ACDEFGHIKLMN"[: len(base[n % 3])] for n in range(36))
+    assert {len(x) for x in aligned.values()} == {found.whole.first().length}
+    assert len({aligned[f"s{n}"] for n in range(1, 36, 3)}) == 1  # copies of one record agree
+    assert found.places.where("first").count() == 1
+
+
+def random_profiles(spark, count, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for n in range(count):
+        length = int(rng.integers(3, 9))
+        rows += [(2 * n, f"s{n}", i, "ACDEFGHIK"[i], rng.standard_normal(3).tolist(), 1.0, 0.0, 0.1, 0.9) for i in range(length)]
+    packed = A.pack_profiles(spark.createDataFrame(rows, text.PROFILE))
+    return packed, [A.unpack(r.name, r.columns) for r in packed.orderBy("seq_ord").collect()]
+
+
+def by_steps(profiles, steps, options):
+    """All members' aligned strings, from whole profiles merged one by one."""
+    held = {2 * n: (p, 0.0) for n, p in enumerate(profiles)}
+    for node, a, b, weights in steps:
+        held[node] = align_and_merge(held.pop(a)[0], held.pop(b)[0], options, weights)
+    return {name: (p.aligned(k), round(score, 6)) for p, score in held.values() for k, name in enumerate(p.names)}, {p.names[0] for p, _ in held.values()}
+
+
+@pytest.mark.parametrize("kind", ["NJ", "UPGMA", "fold", "edges"])
+def test_merges_in_tasks_equal_merges_of_whole_profiles(spark, monkeypatch, kind):
+    monkeypatch.setattr(multiple, "TASK_INPUTS", 3)
+    packed, profiles = random_profiles(spark, 11, 3)
+    options = AlignOptions(tree_type="UPGMA" if kind == "UPGMA" else "NJ", tree_guided=kind != "fold", alignment_type="local" if kind == "UPGMA" else "global")
+    order = [2 * n for n in range(11)]
+    if kind == "edges":
+        edges = [(0, 1), (1, 0), (2, 5), (5, 1), (9, 8), (10, 9)]
+        found = multiple.edge_alignment(packed, edges, options, merge_all=False)
+        steps = multiple.edge_steps(order, edges, 100, False)
+    else:
+        found = multiple.multiple_alignment(packed, options)
+        points = np.array([p.mean_vector() for p in profiles])
+        steps = multiple.fold_steps(order, 100) if kind == "fold" else multiple.tree_steps(points, order, 100, options)
+        assert len(multiple.rounds_of(steps)) >= 2
+    want, leading = by_steps(profiles, steps, options)
+    rows = multiple.aligned_rows(packed, found).collect()
+    assert {r.name: (r.aligned, round(r.last_merge_score, 6)) for r in rows} == want
+    first = {r.node for r in found.places.where("first").collect()}
+    assert {f"s{n // 2}" for n in first} == leading
+    long = multiple.merged_profile(packed, found)
+    shown = {r.name: "".join(x for x in r.t if x is not None) for r in long.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("pos", "residue"))).alias("t")).select("name", F.col("t.residue").alias("t")).collect()}
+    assert shown == {name: want[name][0] for name in leading}
+
+
+def test_iterations_and_small_collections(spark):
+    packed, profiles = random_profiles(spark, 4, 5)
+    found = multiple.multiple_alignment(packed, AlignOptions(num_iter=3))
+    rows = multiple.aligned_rows(packed, found).collect()
+    assert sorted(r.name for r in rows) == ["s0", "s1", "s2", "s3"]
+    residues = {p.names[0]: p.residues[0] for p in profiles}
+    assert all(r.aligned.replace("-", "") == residues[r.name] and len(r.aligned) == found.whole.first().length for r in rows)
+    for n in (1, 2, 3):
+        few = packed.where(F.col("seq_ord") < 2 * n)
+        for options in (AlignOptions(), AlignOptions(tree_guided=False), AlignOptions(max_cluster_size=13)):
+            assert multiple.aligned_rows(few, multiple.multiple_alignment(few, options)).count() == n

@@ -6,7 +6,7 @@ import sys
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weft.operators import alignment as A, stats
+from weft.operators import alignment as A, multiple, stats
 from weft.options import parse_arguments
 from weft.sources import sinks, text
 
@@ -55,13 +55,12 @@ def run(spark: SparkSession, arguments: list[str]) -> dict[str, DataFrame]:
         sinks.save_lines(lines, files["out"], ["seq_ord", "part"])
         done["a3m"] = found
         return done
-    whole, score = A.multiple_alignment(packed, options)
-    order = packed.select("seq_ord", "name")
-    aligned = order.join(A.aligned_rows(spark, whole, score), "name")
+    found = multiple.multiple_alignment(packed, options)
+    aligned = multiple.aligned_rows(packed, found).drop("root")
     sinks.save_lines(sinks.fasta_lines(aligned), files["out"], ["seq_ord", "part"])
     done["aligned"] = aligned
     if "out_matrix" in files:
-        done["matrix"] = A.merged_profile(spark, whole)
+        done["matrix"] = multiple.merged_profile(packed, found)
         sinks.save_lines(sinks.gmat_lines(done["matrix"]), files["out_matrix"], ["seq_ord", "pos", "part"])
     return done
 

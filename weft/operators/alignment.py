@@ -1,8 +1,7 @@
-"""Alignments of whole profiles as DataFrame operations around the numpy kernels.
+"""Pairs of whole profiles as DataFrame operations around the numpy kernels: packing, searches, scores and coordinates.
 
-A packed profile is one row with a blob; long rows are packed by one
-aggregation. Parts of a guide tree are merged in parallel, each in a task of
-its own; trees of profiles are built on the driver from coordinates.
+A packed profile is one row; long rows are packed by one aggregation. See
+multiple for multiple alignments.
 """
 
 from __future__ import annotations
@@ -12,18 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from weft.functions import trees
-from weft.functions.dynamic import Profile, align, align_and_merge, fold, merge, merge_by_edges, to_a3m
+from weft.functions.dynamic import Alignment, Profile, align, merge, to_a3m
 from weft.lineage import checkpointed
-from weft.operators.clusters import cluster_points
 from weft.options import AlignOptions
 
-_STATE = ("match_ratio", "del_ratio", "match_to_del", "del_to_del")
-#: Profiles that one task folds or the driver builds a tree of at most; more are clustered first.
+STATE = ("match_ratio", "del_ratio", "match_to_del", "del_to_del")
+#: Profiles that the driver builds a tree of at most; more are clustered first.
 TREE_LEAVES = 5000
 #: Differences of coordinates that are held at once.
 STRIP_VALUES = 1 << 23
-#: Profiles that one task merges at most when a tree is followed.
-TASK_INPUTS = 16
 
 
 def pack_profiles(profiles: DataFrame) -> DataFrame:
@@ -31,25 +27,25 @@ def pack_profiles(profiles: DataFrame) -> DataFrame:
 
     Rows need the end position (residue null) only for its gap state.
     """
-    column = F.struct("pos", "residue", F.col("vec").cast("array<double>").alias("vec"), *[F.col(c).cast("double").alias(c) for c in _STATE])
+    column = F.struct("pos", "residue", F.col("vec").cast("array<double>").alias("vec"), *[F.col(c).cast("double").alias(c) for c in STATE])
     return profiles.groupBy("seq_ord", "name").agg(F.sort_array(F.collect_list(column)).alias("columns"))
 
 
 def unpack(name: str, columns) -> Profile:
     """The profile of a packed row."""
     rows = [c for c in columns if c["residue"] is not None]
-    gap = [[c[s] for s in _STATE] for c in columns]
+    gap = [[c[s] for s in STATE] for c in columns]
     if len(columns) == len(rows):
         gap.append([1.0, 0.0, 0.0, 0.95])
     return Profile.single(name, "".join(c["residue"] for c in rows), [list(c["vec"]) for c in rows], gap)
 
 
-def _blobs(packed: DataFrame) -> DataFrame:
-    """node long, blob binary from packed rows."""
+def leaves(packed: DataFrame) -> DataFrame:
+    """node long, blob binary from packed rows: their columns, without names and residues."""
 
     def run(frames):
         for f in frames:
-            blobs = [unpack(n, c).to_bytes() for n, c in zip(f["name"], f["columns"], strict=True)]
+            blobs = [unpack("", c).as_dummy().to_bytes() for c in f["columns"]]
             yield pd.DataFrame({"node": f["seq_ord"].astype("int64"), "blob": blobs})
 
     return packed.mapInPandas(run, "node long, blob binary")
@@ -87,7 +83,7 @@ def pair_scores(pairs: DataFrame, options: AlignOptions) -> DataFrame:
             rows = []
             for a, ca, b, cb in zip(f["a"], f["a_columns"], f["b"], f["b_columns"], strict=True):
                 path = align(unpack("", ca), unpack("", cb), options)
-                rows.append((a, b, path.score, float(path.matched[path.matched > 0].sum())))
+                rows.append((a, b, path.score, positive_score(path)))
             yield pd.DataFrame(rows, columns=["a", "b", "score", "positive"])
 
     return pairs.select("a", "a_columns", "b", "b_columns").mapInPandas(run, "a int, b int, score double, positive double")
@@ -100,8 +96,18 @@ def all_pairs(packed: DataFrame) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b"))
 
 
+def positive_score(path: Alignment) -> float:
+    """The sum of a path's positive match scores."""
+    return float(path.matched[path.matched > 0].sum())
+
+
 def coordinates(packed: DataFrame, options: AlignOptions) -> DataFrame:
-    """seq_ord, vec array<double>: the point that stands for each profile in the guide tree.
+    """seq_ord, vec array<double>: coordinates_of() packed sequences."""
+    return coordinates_of(leaves(packed), options).select(F.col("node").cast("int").alias("seq_ord"), "vec")
+
+
+def coordinates_of(blobs: DataFrame, options: AlignOptions) -> DataFrame:
+    """node, vec array<double>: the point that stands for each profile (node, blob) in the guide tree.
 
     Either the mean of its columns weighted by match_ratio, or its alignment
     scores with seed sequences: the positive match scores over the shorter length.
@@ -110,19 +116,26 @@ def coordinates(packed: DataFrame, options: AlignOptions) -> DataFrame:
 
         def means(frames):
             for f in frames:
-                vecs = [unpack("", c).mean_vector().tolist() for c in f["columns"]]
-                yield pd.DataFrame({"seq_ord": f["seq_ord"], "vec": vecs})
+                vecs = [Profile.from_bytes(b).mean_vector().tolist() for b in f["blob"]]
+                yield pd.DataFrame({"node": f["node"], "vec": vecs})
 
-        return packed.mapInPandas(means, "seq_ord int, vec array<double>")
-    order = F.md5(F.concat_ws("#", F.lit(str(options.random_seed)), F.col("seq_ord").cast("string")))
+        return blobs.mapInPandas(means, "node long, vec array<double>")
+    blobs = checkpointed(blobs)
+    order = F.md5(F.concat_ws("#", F.lit(str(options.random_seed)), F.col("node").cast("string")))
     # A handful of seeds, as many as the option says.
-    seeds = packed.orderBy(order, "seq_ord").limit(options.num_seed_seqs).select(F.col("seq_ord").alias("b"), F.col("columns").alias("b_columns"))
-    rows = packed.select(F.col("seq_ord").alias("a"), F.col("columns").alias("a_columns")).join(F.broadcast(seeds))
-    lengths = packed.select("seq_ord", F.size(F.filter("columns", lambda c: c["residue"].isNotNull())).alias("n"))
-    scores = pair_scores(rows, options)
-    la, lb = lengths.select(F.col("seq_ord").alias("a"), F.col("n").alias("na")), lengths.select(F.col("seq_ord").alias("b"), F.col("n").alias("nb"))
-    sized = scores.join(la, "a").join(lb, "b").select(F.col("a").alias("seq_ord"), "b", (F.col("positive") / F.least("na", "nb")).alias("x"))
-    return sized.groupBy("seq_ord").agg(F.sort_array(F.collect_list(F.struct("b", "x"))).alias("s")).select("seq_ord", F.col("s.x").alias("vec"))
+    seeds = blobs.orderBy(order, "node").limit(options.num_seed_seqs).select(F.col("node").alias("seed"), F.col("blob").alias("seed_blob"))
+
+    def scores(frames):
+        for f in frames:
+            rows = []
+            for node, one, seed, two in zip(f["node"], f["blob"], f["seed"], f["seed_blob"], strict=True):
+                a, b = Profile.from_bytes(one), Profile.from_bytes(two)
+                rows.append((node, seed, positive_score(align(a, b, options)) / min(len(a), len(b))))
+            yield pd.DataFrame(rows, columns=["node", "seed", "x"])
+
+    pairs = blobs.join(F.broadcast(seeds)).select("node", "blob", "seed", "seed_blob")
+    scored = pairs.mapInPandas(scores, "node long, seed long, x double")
+    return scored.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("seed", "x"))).alias("s")).select("node", F.col("s.x").alias("vec"))
 
 
 def guide_tree(points: np.ndarray, tree_type: str) -> list[trees.Node]:
@@ -136,224 +149,3 @@ def guide_tree(points: np.ndarray, tree_type: str) -> list[trees.Node]:
     if tree_type == "UPGMA" or len(points) < 3:
         return trees.upgma(distances)
     return trees.neighbor_joining(distances)
-
-
-def _rooted_at_longest(tree: list[trees.Node]) -> tuple[list[trees.Node], dict[int, int]]:
-    """The tree with its longest branch in the centre, and the leaf of each node number."""
-    leaves = {n: n for n, v in enumerate(tree) if v[1] < 0}
-    longest = max(range(len(tree)), key=lambda n: (tree[n][2], -n))
-    if trees.parents(tree)[longest] < 0:
-        return tree, leaves
-    turned, number = trees.reroot(tree, longest)
-    return turned, {number[n]: leaf for n, leaf in leaves.items()}
-
-
-def _tasks(steps: list[tuple[int, int, int, float, float]]) -> list[dict[int, list]]:
-    """The merges of a tree (node, left, right, weights; children first) as rounds of tasks.
-
-    A task has a connected part of the tree with at most TASK_INPUTS profiles
-    going in, and is named by the node that comes out; rounds follow each
-    other. A chain of n merges takes n / (TASK_INPUTS - 1) rounds, a balanced
-    tree a quarter of its levels.
-    """
-    inputs, cut = {}, set()
-    for node, left, right, *_ in steps:
-        sides = {c: inputs.get(c, 1) for c in (left, right)}
-        while sum(sides.values()) > TASK_INPUTS:
-            heavy = max(sides, key=sides.get)
-            cut.add(heavy)
-            sides[heavy] = 1
-        inputs[node] = sum(sides.values())
-    owner = {steps[-1][0]: steps[-1][0]}
-    for node, left, right, *_ in reversed(steps):
-        for c in (left, right):
-            owner[c] = c if c in cut else owner[node]
-    turn: dict[int, int] = {}
-    rounds: list[dict[int, list]] = []
-    for step in steps:
-        task = owner[step[0]]
-        before = [turn[c] + 1 for c in step[1:3] if c in cut]
-        turn[task] = max([turn.get(task, 0), *before])
-    for step in steps:
-        task = owner[step[0]]
-        while len(rounds) <= turn[task]:
-            rounds.append({})
-        rounds[turn[task]].setdefault(task, []).append(step)
-    return rounds
-
-
-def _merged(blobs: DataFrame, tasks: dict[int, list], options: AlignOptions) -> DataFrame:
-    """node, blob, score: what comes out of the tasks of a round."""
-    going = {c: task for task, steps in tasks.items() for step in steps for c in step[1:3]}
-    made = {step[0] for steps in tasks.values() for step in steps}
-    number = [(c, task) for c, task in going.items() if c not in made]
-    # At most a row for each leaf of the tree, so TREE_LEAVES rows.
-    dealt = F.broadcast(blobs.sparkSession.createDataFrame(number, "node long, task long"))
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        held = {int(n): (Profile.from_bytes(b), 0.0) for n, b in zip(f["node"], f["blob"], strict=True)}
-        task = int(f["task"].iloc[0])
-        for node, a, b, wa, wb in tasks[task]:
-            held[node] = align_and_merge(held.pop(a)[0], held.pop(b)[0], options, (wa, wb))
-        whole, score = held[task]
-        return pd.DataFrame({"node": [task], "blob": [whole.to_bytes()], "score": [score]})
-
-    ready = blobs.join(dealt, "node").select("task", "node", "blob").repartition(len(tasks), "task")
-    return ready.groupBy("task").applyInPandas(run, "node long, blob binary, score double")
-
-
-def _levels(tree: list[trees.Node], leaves: dict[int, int]):
-    """Levels of merges with weights, and the nodes that are left at the end."""
-    levels = []
-    for level in trees.merge_order(tree):
-        levels.append([(n, a, b, *trees.branch_weights(tree[a][2], tree[b][2])) for n, a, b in level])
-    centre = [n for n, p in enumerate(trees.parents(tree)) if p < 0]
-    last = []
-    if len(centre) > 1:
-        centre.sort(key=lambda n: (tree[n][2], n))
-        a, b, *rest = centre
-        last.append([(len(tree), a, b, *trees.branch_weights(tree[a][2], tree[b][2]))])
-        if rest:
-            last.append([(len(tree) + 1, len(tree), rest[0], 0.5, 0.5)])
-    return levels, last, centre
-
-
-def tree_alignment(packed: DataFrame, options: AlignOptions, extra: list[Profile] = ()) -> tuple[Profile, float]:
-    """The merged profile of all packed sequences by a guide tree, and the score of the last merge.
-
-    Parts of the tree are merged in tasks, round after round, each cut off from
-    the one before by a checkpoint; the driver holds one coordinate for each
-    sequence and the result.
-    """
-    packed = checkpointed(packed)
-    points = coordinates(packed, options).orderBy("seq_ord").collect()
-    orders = [r.seq_ord for r in points]
-    if len(orders) < 3:
-        rows = packed.orderBy("seq_ord").collect()
-        return fold([unpack(r.name, r.columns) for r in rows], options)
-    tree = guide_tree(np.array([r.vec for r in points]), options.tree_type)
-    leaves = {n: n for n in range(len(orders))}
-    if options.tree_type == "NJ":
-        tree, leaves = _rooted_at_longest(tree)
-    levels, last, _ = _levels(tree, leaves)
-    spark = packed.sparkSession
-    number = spark.createDataFrame([(orders[leaf], n) for n, leaf in leaves.items()], "seq_ord int, leaf long")
-    blobs = _blobs(packed).join(number, F.col("node") == F.col("seq_ord")).select(F.col("leaf").alias("node"), "blob")
-    blobs, held = checkpointed(blobs), None
-    for tasks in _tasks([step for level in [*levels, *last] for step in level]):
-        ready = blobs if held is None else blobs.unionByName(held.select("node", "blob"))
-        done = _merged(ready, tasks, options)
-        if held is not None:  # what comes out of a round waits for the round that needs it
-            used = [c for steps in tasks.values() for step in steps for c in step[1:3]]
-            done = held.where(~F.col("node").isin(used)).unionByName(done)
-        held = checkpointed(done)
-    (row,) = held.collect()
-    return Profile.from_bytes(row.blob), row.score
-
-
-def tree_alignment_in_task(profiles: list[Profile], options: AlignOptions, keep_groups: bool = False) -> list[tuple[Profile, float]]:
-    """The same for profiles that fit one task; the last two groups of an NJ centre of three can stay apart."""
-    if len(profiles) < 3:
-        return [fold(profiles, options)] if len(profiles) > 1 else [(profiles[0], -1.0)]
-    if options.distance_base == "averaged_value":
-        points = np.array([p.mean_vector() for p in profiles])
-    else:
-        chosen = np.random.default_rng(options.random_seed).permutation(len(profiles))[: options.num_seed_seqs]
-        points = np.zeros((len(profiles), len(chosen)))
-        for i, p in enumerate(profiles):
-            for k, s in enumerate(chosen):
-                matched = align(p, profiles[s], options).matched
-                points[i, k] = matched[matched > 0].sum() / min(len(p), len(profiles[s]))
-    tree = guide_tree(points, options.tree_type)
-    leaves = {n: n for n in range(len(profiles))}
-    if options.tree_type == "NJ":
-        tree, leaves = _rooted_at_longest(tree)
-    levels, last, centre = _levels(tree, leaves)
-    held = {n: (profiles[leaf], 0.0) for n, leaf in leaves.items()}
-    if keep_groups and len(centre) == 3:
-        last = last[:1]
-    for plan in [*levels, *last]:
-        for node, a, b, wa, wb in plan:
-            held[node] = align_and_merge(held.pop(a)[0], held.pop(b)[0], options, (wa, wb))
-    return [held[n] for n in sorted(held, reverse=True)]
-
-
-def hierarchical_alignment(packed: DataFrame, options: AlignOptions) -> tuple[Profile, float]:
-    """Clusters too many sequences, aligns each cluster in a task, and goes on with the merged groups."""
-    blobs = checkpointed(_blobs(packed))
-    while True:
-        count = blobs.count()
-        if count <= options.max_cluster_size:
-            profiles = [Profile.from_bytes(r.blob) for r in blobs.orderBy("node").collect()]
-            return tree_alignment_in_task(profiles, options)[0]
-
-        def mean(frames):
-            for f in frames:
-                yield pd.DataFrame({"key": f["node"], "vec": [Profile.from_bytes(b).mean_vector().tolist() for b in f["blob"]]})
-
-        points = checkpointed(blobs.mapInPandas(mean, "key long, vec array<double>"))
-        clusters = cluster_points(points, options.max_cluster_size, options.random_seed)
-        named = blobs.join(clusters.withColumnRenamed("key", "node"), "node")
-
-        def run(f: pd.DataFrame) -> pd.DataFrame:
-            f = f.sort_values("node")
-            profiles = [Profile.from_bytes(b) for b in f["blob"]]
-            done = tree_alignment_in_task(profiles, options, True) if len(profiles) > 3 else [(p, 0.0) for p in profiles]
-            return pd.DataFrame({"node": f["node"].tolist()[: len(done)], "blob": [p.to_bytes() for p, _ in done]})
-
-        merged = checkpointed(named.groupBy("cluster").applyInPandas(run, "node long, blob binary"))
-        if merged.count() >= count:
-            raise ValueError("clusters could not be merged further")
-        blobs = merged
-
-
-def multiple_alignment(packed: DataFrame, options: AlignOptions) -> tuple[Profile, float]:
-    """The multiple alignment of packed sequences as the options say, and its last merge's score.
-
-    Further iterations align everything anew to the profile of the iteration
-    before, which takes part as one dummy sequence.
-    """
-    names = packed.groupBy("name").count().where("count > 1").limit(1).collect()
-    if names:
-        raise ValueError(f"duplicated name {names[0].name}")
-    before: Profile | None = None
-    for _ in range(options.num_iter):
-        rows = packed
-        if before is not None:
-            rows = packed.unionByName(_packed_dummy(packed.sparkSession, before.as_dummy(), packed.schema))
-        if not options.tree_guided:
-            # One profile after another: sequential by nature.
-            profiles = [unpack(r.name, r.columns) for r in rows.orderBy("seq_ord").collect()]
-            before, score = fold(profiles, options)
-        elif options.max_cluster_size != -1:
-            before, score = hierarchical_alignment(rows, options)
-        else:
-            before, score = tree_alignment(rows, options)
-    return before, score
-
-
-def _packed_dummy(spark, dummy: Profile, schema) -> DataFrame:
-    columns = [(i, "X" if i < len(dummy) else None, dummy.vec[i].tolist() if i < len(dummy) else [0.0] * dummy.vec.shape[1], *map(float, dummy.gap[i])) for i in range(len(dummy) + 1)]
-    return spark.createDataFrame([(-1, "dummy", columns)], schema)
-
-
-def aligned_rows(spark, whole: Profile, score: float) -> DataFrame:
-    """name, aligned, last_merge_score of the members of a merged profile; dummies are left out."""
-    rows = [(n, whole.aligned(i), float(score)) for i, n in enumerate(whole.names) if n != "dummy"]
-    return spark.createDataFrame(rows, "name string, aligned string, last_merge_score double")
-
-
-def merged_profile(spark, whole: Profile, member: int = 0) -> DataFrame:
-    """A merged profile in long form, named after a member whose aligned residues it shows."""
-    text, size = whole.aligned(member), len(whole)
-    rows = [
-        (0, whole.names[member], i, text[i] if i < size else None, whole.vec[i].tolist() if i < size else [0.0] * whole.vec.shape[1], *map(float, whole.gap[i]))
-        for i in range(size + 1)
-    ]
-    return spark.createDataFrame(rows, "seq_ord int, name string, pos int, residue string, vec array<double>, " + ", ".join(f"{c} double" for c in _STATE))
-
-
-def edge_alignment(packed: DataFrame, edges: list[tuple[int, int]], options: AlignOptions, merge_all: bool = True) -> list[tuple[Profile, float]]:
-    """Merges along given edges (places in seq_ord order), for collections that fit the driver."""
-    profiles = [unpack(r.name, r.columns) for r in packed.orderBy("seq_ord").collect()]
-    return merge_by_edges(profiles, edges, options, merge_all)

@@ -32,9 +32,11 @@ def a3m_to_pair(query: Column, a3m: Column) -> Column:
 
 
 def render(residues: Column, columns: Column, length: Column) -> Column:
-    """The aligned string of a member: its residues at their columns, gaps elsewhere."""
-    places = F.map_from_arrays(columns, _chars(residues))
-    return F.array_join(F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.coalesce(F.element_at(places, i), F.lit("-"))), "")
+    """The aligned string of a member: its residues at their ascending columns, gaps elsewhere."""
+    before = F.transform(columns, lambda c, i: c - F.coalesce(F.when(i > 0, F.get(columns, i - 1)), F.lit(-1)) - 1)
+    placed = F.zip_with(_chars(residues), before, lambda r, n: F.concat(F.repeat(F.lit("-"), n), r))
+    last = F.when(F.size(columns) > 0, F.get(columns, F.size(columns) - 1)).otherwise(F.lit(-1))
+    return F.concat(F.array_join(placed, ""), F.repeat(F.lit("-"), length - last - 1))
 
 
 def crop_fragments(fasta: DataFrame, size: int, shift: int) -> DataFrame:

@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from weft.functions import trees, vectors as V
-from weft.functions.dynamic import Alignment, align, merge
-from weft.operators import alignment as A, clusters, pairs
+from weft.functions.dynamic import Alignment, Profile, align, merge
+from weft.operators import alignment as A, clusters, multiple, pairs
 from weft.options import AlignOptions
 from weft.plans.relational import DISTANCES_SQL, mean_coordinates, rounded
 from weft.plans.tables import POSITIONS_SQL, SEQUENCES_SQL, plain_positions, positions, sequences
@@ -144,13 +144,14 @@ _MSA_SQL = _RESIDUES_SQL + " SELECT name, residues, true AS same_length FROM r"
 _FASTA_MSA_SQL = f"WITH {SEQUENCES_SQL} SELECT name, regexp_replace(seq, '[JOU]', 'X', 'g') AS residues, true AS same_length FROM sequences"
 
 
-def _invariants(spark, whole, score):
-    rows = A.aligned_rows(spark, whole, score)
-    return rows.select("name", F.regexp_replace("aligned", "-", "").alias("residues"), (F.length("aligned") == len(whole)).alias("same_length"))
+def _invariants(rows, found):
+    aligned = multiple.aligned_rows(rows, found).join(F.broadcast(found.whole.select("root", "length")), "root")  # one root
+    return aligned.select("name", F.regexp_replace("aligned", "-", "").alias("residues"), (F.length("aligned") == F.col("length")).alias("same_length"))
 
 
 def _msa(spark, sf_dir, rows=packed, **options):
-    return _invariants(spark, *A.multiple_alignment(rows(spark, sf_dir), AlignOptions(**options)))
+    sequences_ = rows(spark, sf_dir)
+    return _invariants(sequences_, multiple.multiple_alignment(sequences_, AlignOptions(**options)))
 
 
 @query(_MSA_SQL)
@@ -185,8 +186,8 @@ def msa_hier(spark, sf_dir):
 
 @query(_MSA_SQL)
 def msa_edges(spark, sf_dir):
-    done = A.edge_alignment(packed(spark, sf_dir), [(0, 1), (2, 3), (1, 3), (0, 2), (5, 4)], DOT)
-    return _invariants(spark, *done[0])
+    rows = packed(spark, sf_dir)
+    return _invariants(rows, multiple.edge_alignment(rows, [(0, 1), (2, 3), (1, 3), (0, 2), (5, 4)], DOT))
 
 
 def _merges(spark, sf_dir, path_of, result, schema):
@@ -243,10 +244,16 @@ def merge_along_path(spark, sf_dir):
 @query(_RESIDUES_SQL + " SELECT name, CAST(n AS INTEGER) AS members, true AS sum_of_weights FROM (SELECT 'dummy' AS name, count(*) AS n FROM r)")
 def merged_dummy(spark, sf_dir):
     """A merged profile as one dummy sequence that carries the weight of all its members."""
-    whole, _ = A.multiple_alignment(packed(spark, sf_dir), AlignOptions(tree_guided=False))
-    dummy = whole.as_dummy()
-    row = (dummy.names[0], len(whole.names), dummy.weights == [float(len(whole.names))])
-    return spark.createDataFrame([row], "name string, members int, sum_of_weights boolean")
+    found = multiple.multiple_alignment(packed(spark, sf_dir), AlignOptions(tree_guided=False))
+
+    def dummies(frames):
+        for f in frames:
+            held = [Profile.from_bytes(b) for b in f["blob"]]
+            yield pd.DataFrame({"root": f["root"], "name": [p.names[0] for p in held], "weight": [sum(p.weights) for p in held]})
+
+    whole = found.whole.select("root", "blob").mapInPandas(dummies, "root long, name string, weight double")
+    members = found.places.groupBy("root").agg(F.count("*").cast("int").alias("members"))
+    return whole.join(members, "root").select("name", "members", (F.col("weight") == F.col("members")).alias("sum_of_weights"))
 
 
 @query(f"WITH {POSITIONS_SQL} SELECT DISTINCT seq_ord, 5 AS coordinates, true AS positive FROM positions")
