@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from weft.functions import trees, vectors as V
 from weft.functions.dynamic import Alignment, Profile, align, merge
-from weft.operators import alignment as A, clusters, multiple, pairs
+from weft.lineage import checkpointed
+from weft.operators import alignment as A, clusters, multiple, pairs, treeframes
 from weft.options import AlignOptions
 from weft.plans.relational import DISTANCES_SQL, mean_coordinates, rounded
 from weft.plans.tables import POSITIONS_SQL, SEQUENCES_SQL, plain_positions, positions, sequences
@@ -281,13 +282,22 @@ _UPGMA_SQL = f"""{_TREE_SQL}, t AS (
 
 @query(f"{_UPGMA_SQL} SELECT step, round(min(d) / 2, 6) AS height FROM t GROUP BY step")
 def upgma_heights(spark, sf_dir):
-    tree = _mean_tree(spark, sf_dir, "UPGMA")
-    leaves = sum(1 for v in tree if v[1] < 0)
-    height = {}
-    for n, (left, right, _) in enumerate(tree):
-        height[n] = 0.0 if right < 0 else height[left] + tree[left][2]
-    rows = [(n - leaves, float(height[n])) for n in range(leaves, len(tree))]
-    return rounded(spark.createDataFrame(rows, "step int, height double"), 6, "height")
+    """Heights of the merges, from the lengths of the branches down to one of their leaves."""
+    tree = checkpointed(_upgma(spark, sf_dir))
+    below = treeframes.leaf_sets(tree)
+    leaf = below.groupBy("node").agg(F.min("leaf").alias("leaf"))
+    lengths = tree.select(F.col("node").alias("branch"), "length")
+    # The branches of a leaf's ancestors below a node, itself left out: the path from the node to the leaf.
+    paths = leaf.join(below.select(F.col("node").alias("branch"), "leaf"), "leaf").where("branch < node").join(lengths, "branch")
+    first = tree.where("right < 0").agg((F.max("node") + 1).alias("leaves"))
+    heights = paths.groupBy("node").agg(F.sum("length").alias("height")).join(F.broadcast(first))
+    return rounded(heights.select((F.col("node") - F.col("leaves")).cast("int").alias("step"), "height"), 6, "height")
+
+
+def _upgma(spark, sf_dir):
+    """The UPGMA tree of the label means as a table, with no part of it on the driver."""
+    means = mean_coordinates(spark, sf_dir)
+    return treeframes.average_linkage(pairs.coordinate_distances(means), means.select(F.col("seq_ord").alias("node")))
 
 
 _NJ_SQL = f"""{_TREE_SQL}, t AS (
@@ -370,14 +380,16 @@ _UPGMA_TREE_SQL = f"""{_UPGMA_SQL}, m AS (
 SELECT CAST(c.node AS INTEGER) AS node, CAST(c.lo AS INTEGER) AS "left", CAST(c.hi AS INTEGER) AS "right", round(coalesce(p.h - c.h, 0), 6) AS length
 FROM tree c LEFT JOIN tree p ON p.hi >= 0 AND c.node IN (p.lo, p.hi)""")
 def upgma_tree(spark, sf_dir):
-    return _tree_rows(spark, _mean_tree(spark, sf_dir, "UPGMA"))
+    numbers = [F.col(c).cast("int").alias(c) for c in ("node", "left", "right")]
+    return rounded(_upgma(spark, sf_dir).select(*numbers, "length"), 6, "length")
 
 
 @query(f"""{_UPGMA_TREE_SQL}
 SELECT CAST(c.node AS INTEGER) AS node, CAST(coalesce(p.node, -1) AS INTEGER) AS parent
 FROM tree c LEFT JOIN tree p ON p.hi >= 0 AND c.node IN (p.lo, p.hi)""")
 def tree_parent(spark, sf_dir):
-    return pairs.tree_parents(_tree_rows(spark, _mean_tree(spark, sf_dir, "UPGMA")))
+    parents = pairs.tree_parents(checkpointed(_upgma(spark, sf_dir)))
+    return parents.select(F.col("node").cast("int").alias("node"), F.col("parent").cast("int").alias("parent"))
 
 
 @query(f"""{_UPGMA_TREE_SQL}, below AS (
@@ -385,9 +397,8 @@ def tree_parent(spark, sf_dir):
   UNION ALL SELECT tree.node, leaf FROM below JOIN tree ON tree.hi >= 0 AND below.node IN (tree.lo, tree.hi)
 ) SELECT CAST(node AS INTEGER) AS node, CAST(leaf AS INTEGER) AS leaf FROM below""")
 def tree_leaves(spark, sf_dir):
-    tree = _mean_tree(spark, sf_dir, "UPGMA")
-    rows = [(n, leaf) for n in range(len(tree)) for leaf in sorted(trees.leaves_below(tree, n))]
-    return spark.createDataFrame(rows, "node int, leaf int")
+    found = treeframes.leaf_sets(checkpointed(_upgma(spark, sf_dir)))
+    return found.select(F.col("node").cast("int").alias("node"), F.col("leaf").cast("int").alias("leaf"))
 
 
 _SPLIT_SQL = f"""
