@@ -296,7 +296,8 @@ def _long_places(docs: DataFrame, long: DataFrame) -> DataFrame:
     def parts(slots_: Column) -> Column:
         places = F.filter(_starts(F.col("h"), 1), lambda at: in_table(slots_, F.get("h", at - 1)))
         reached = F.flatten(F.transform(places, lambda at: F.array(part(at), part(F.greatest(at - (widest - 1), F.lit(1))))))
-        return F.transform(F.array_distinct(reached), piece)
+        # Most texts end here, without a list of their places.
+        return F.when(F.exists("h", lambda value: in_table(slots_, value)), F.transform(F.array_distinct(reached), piece))
 
     def piece(number: Column) -> Column:
         begin = F.greatest(number * PART_SHINGLES + 1 - margin, F.lit(1))

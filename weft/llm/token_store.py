@@ -226,9 +226,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, specia
     key = F.struct(number.alias("a"), F.col("doc_id").isNotNull().cast("int").alias("b"), F.col("hash").alias("c"), F.col("copy").alias("d"))
     count = docs.count()
     ranges = max(1, min(-(-count // LEAST_DOCUMENTS), RANGES), -(-count // RANGE_DOCUMENTS))
-    dealt = narrow.select(key.alias("key")).repartitionByRange(ranges, "key")
-    firsts = dealt.groupBy(F.spark_partition_id()).agg(F.min("key").alias("first"))
-    bounds = sorted(tuple(r["first"]) for r in firsts.collect())[1:]
+    plain = F.struct("a", "b", F.lit(_NO_ID).cast("long").alias("c"), F.lit(_NO_ID).cast("long").alias("d"))
+    dealt = narrow.select(key.alias("key")).select("key.a", "key.b").repartitionByRange(ranges, "a", "b")
+    firsts = dealt.groupBy(F.spark_partition_id()).agg(F.min(plain).alias("first"), F.count("*").alias("n")).collect()
+    if any(r.n > 2 * -(-count // ranges) for r in firsts):  # rows share ids: texts decide too, which are read for that only then
+        dealt = narrow.select(key.alias("key")).repartitionByRange(ranges, "key")
+        firsts = dealt.groupBy(F.spark_partition_id()).agg(F.min("key").alias("first")).collect()
+    bounds = sorted(tuple(r["first"]) for r in firsts)[1:]
     numbers = np.array([b[0] for b in bounds], np.int64)
     dtype = id_type(tokenizer)
 
