@@ -104,19 +104,46 @@ def pairs_of_residues(aligned: DataFrame) -> DataFrame:
     return a.join(b, "col").where("a < b").drop("col")
 
 
+def _keyed(aligned: DataFrame) -> DataFrame:
+    """key, aligned: sequences known by their residues in upper case."""
+    return aligned.select(F.upper(F.regexp_replace("aligned", "[-.]", "")).alias("key"), F.upper("aligned").alias("aligned"))
+
+
+def _all_held(reference: DataFrame, test: DataFrame) -> None:
+    lacking = reference.join(test, "key", "left_anti").count()
+    if lacking:
+        raise ValueError(f"{lacking} sequences are missing")
+
+
+def sum_of_pairs_total(reference: DataFrame, test: DataFrame) -> DataFrame:
+    """matched, total, score: pairs of all residues of a reference alignment (aligned) that a test alignment holds, in one row.
+
+    Residues are counted by their column in either alignment: n of them that
+    share both columns are n (n - 1) / 2 pairs held, n that share the
+    reference's are as many pairs of it. So the work is linear in residues,
+    where sum_of_pairs() has a row for each pair. Of sequences that repeat
+    their residues the first aligned string in order counts. A sequence of the
+    reference that the test lacks raises an error; no pairs give score null.
+    """
+    one = lambda df: _keyed(df).groupBy("key").agg(F.min("aligned").alias("aligned"))
+    reference, test = one(reference), one(test)
+    _all_held(reference, test)
+    places = residue_columns(reference).join(residue_columns(test).withColumnRenamed("col", "test_col"), ["key", "k"])
+    cells = places.groupBy("col", "test_col").agg(F.count("*").alias("n"))
+    pairs = lambda n: (n * (n - 1) / 2).cast("long")
+    columns = cells.groupBy("col").agg(F.sum(pairs(F.col("n"))).alias("matched"), F.sum("n").alias("n"))
+    whole = columns.agg(F.coalesce(F.sum("matched"), F.lit(0)).alias("matched"), F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0)).alias("total"))
+    return whole.select("matched", "total", (F.col("matched") / F.nullif(F.col("total"), F.lit(0))).alias("score"))
+
+
 def sum_of_pairs(reference: DataFrame, test: DataFrame) -> DataFrame:
     """a, b, matched, total: pairs of the reference alignment that a test alignment holds.
 
     Both have (aligned); sequences are known by their residues in upper case.
     A sequence of the reference that the test lacks raises an error.
     """
-    def keyed(df):
-        return df.select(F.upper(F.regexp_replace("aligned", "[-.]", "")).alias("key"), F.upper("aligned").alias("aligned"))
-
-    reference, test = keyed(reference), keyed(test)
-    lacking = reference.join(test, "key", "left_anti").count()
-    if lacking:
-        raise ValueError(f"{lacking} sequences are missing")
+    reference, test = _keyed(reference), _keyed(test)
+    _all_held(reference, test)
     held = pairs_of_residues(test).withColumn("held", F.lit(1))
     joined = pairs_of_residues(reference).join(held, ["a", "b", "ka", "kb"], "left")
     return joined.groupBy("a", "b").agg(F.count("held").alias("matched"), F.count("*").alias("total"))

@@ -491,13 +491,23 @@ def pick_records(spark, sf_dir):
 _MOVED = "CASE WHEN seq_ord % 2 = 0 THEN '-' || aligned ELSE aligned || '-' END"
 
 
-@query(f"""
+_SP_SQL = f"""
 WITH {SEQUENCES_SQL}, {ALIGNED_SQL}, both_ AS (SELECT 0 AS t, replace(aligned, '-', '') AS key, aligned FROM aligned UNION ALL SELECT 1, replace(aligned, '-', ''), {_MOVED} FROM aligned),
 c AS (SELECT t, key, unnest(range(length(aligned))) AS col, unnest(string_split(aligned, '')) AS ch FROM both_),
 r AS (SELECT t, key, col, row_number() OVER (PARTITION BY t, key ORDER BY col) - 1 AS k FROM c WHERE ch <> '-'),
 p AS (SELECT a.t, a.key AS a, b.key AS b, a.k AS ka, b.k AS kb FROM r a JOIN r b ON a.t = b.t AND a.col = b.col AND a.key < b.key)
 SELECT x.a, x.b, count(y.a) AS matched, count(*) AS total FROM p x LEFT JOIN p y ON y.t = 1 AND x.a = y.a AND x.b = y.b AND x.ka = y.ka AND x.kb = y.kb
-WHERE x.t = 0 GROUP BY x.a, x.b""")
+WHERE x.t = 0 GROUP BY x.a, x.b"""
+
+
+@query(_SP_SQL)
 def sp_score(spark, sf_dir):
     reference = aligned_strings(spark, sf_dir)
     return strings.sum_of_pairs(reference.select("aligned"), reference.select(F.expr(_MOVED).alias("aligned")))
+
+
+@query(f"SELECT CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(total) AS BIGINT) AS total, round(sum(matched) / sum(total), 9) AS score FROM ({_SP_SQL})")
+def sp_total(spark, sf_dir):
+    """The sum-of-pairs score of a whole alignment, from counts of columns."""
+    reference = aligned_strings(spark, sf_dir)
+    return rounded(strings.sum_of_pairs_total(reference.select("aligned"), reference.select(F.expr(_MOVED).alias("aligned"))), 9, "score")
