@@ -129,14 +129,40 @@ def a3m_scores(spark, sf_dir):
     return found.select("name", F.round("score", 4).alias("score"), "positive_count", "profile_length", F.round(F.col("score") / F.col("profile_length"), 4).alias("per_position"))
 
 
-@query(f"""
-SELECT 'p' || s.b AS name, score, CAST(k.n AS INTEGER) AS profile_length, round(score / k.n, 3) AS per_position
-FROM ({_dp_sql(True)}) s JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) k ON k.label = s.b WHERE s.a = 0""")
+#: The local recurrence of the first profile with all others, with the positive matches on the best way into each layer
+#: of a cell: a way begins anew where nothing before it is above zero, and of equal ways a match goes first.
+_LOCAL_COUNTS_SQL = f"""
+WITH RECURSIVE {POSITIONS_SQL}, s AS (
+  SELECT q.seq_ord AS b, p.pos AS i, q.pos AS j, list_sum(list_transform(list_zip(p.vec, q.vec), lambda z: z[1] * z[2])) AS score
+  FROM positions p JOIN positions q ON p.seq_ord = 0 AND q.seq_ord > 0
+), pen AS (
+  SELECT b, n, m, g, 0.05 * g AS e FROM (SELECT b, max(i) + 1 AS n, max(j) + 1 AS m, -0.5 * max(score) + CASE WHEN min(score) > 0 THEN 0 ELSE 0.5 * min(score) END AS g FROM s GROUP BY b)
+), dp AS (
+  SELECT b, 0 AS i, CAST(j AS INTEGER) AS j, CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE -1e18 END AS mm, CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE -1e18 END AS l, 0.0::DOUBLE AS u, 0 AS cm, 0 AS cl, 0 AS cu
+  FROM pen, range(100000) r(j) WHERE j <= m
+  UNION ALL
+  SELECT b, i, j, mm, l, CASE WHEN j = 0 THEN -1e18 ELSE greatest(0, g + (j - 1) * e + best.v) END, cm, cl, CASE WHEN j = 0 THEN 0 ELSE best.c END FROM (
+    SELECT *, max(struct_pack(v := mm - j * e, k := j, c := cm)) OVER (PARTITION BY b ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (
+      SELECT d.b, d.i + 1 AS i, d.j, g, e,
+             CASE WHEN d.j = 0 THEN -1e18 ELSE greatest(0, lag(greatest(d.mm, d.l, d.u)) OVER w + s.score) END AS mm,
+             CASE WHEN d.j = 0 THEN 0.0 ELSE greatest(0, d.mm + g, d.l + e) END AS l,
+             CASE WHEN d.j = 0 THEN 0 ELSE lag(CASE WHEN greatest(d.mm, d.l, d.u) <= 0 THEN 0 WHEN d.mm >= d.l AND d.mm >= d.u THEN cm WHEN d.l >= d.u THEN cl ELSE cu END) OVER w + CAST(s.score > 0 AS INTEGER) END AS cm,
+             CASE WHEN d.j = 0 THEN 0 WHEN d.mm + g >= d.l + e THEN cm ELSE cl END AS cl
+      FROM dp d JOIN pen ON pen.b = d.b LEFT JOIN s ON s.b = d.b AND s.i = d.i AND s.j = d.j - 1 WHERE d.i < n WINDOW w AS (PARTITION BY d.b ORDER BY d.j)
+    )
+  )
+)
+SELECT 'p' || dp.b AS name, round(max(mm), 4) AS score, CAST(arg_max(cm, struct_pack(v := mm, i := -dp.i, j := -dp.j)) AS INTEGER) AS positive_count, CAST(any_value(m) AS INTEGER) AS profile_length,
+       round(round(max(mm), 4) / any_value(m), 3) AS per_position
+FROM dp JOIN pen ON pen.b = dp.b GROUP BY dp.b"""
+
+
+@query(_LOCAL_COUNTS_SQL)
 def a3m_local_scores(spark, sf_dir):
-    """The metrics of a local search without gap states: score, length, and score for each position."""
+    """The metrics of a local search without gap states: score, positive matches, length, and score for each position."""
     rows = _plain(spark, sf_dir)
     found = A.a3m_search(_one(rows, 0), rows.where("seq_ord > 0"), LOCAL_DOT).withColumn("score", F.round("score", 4))
-    return found.select("name", "score", "profile_length", F.round(F.col("score") / F.col("profile_length"), 3).alias("per_position"))
+    return found.select("name", "score", "positive_count", "profile_length", F.round(F.col("score") / F.col("profile_length"), 3).alias("per_position"))
 
 
 # ----------------------------------------------------- multiple alignments
