@@ -29,7 +29,7 @@ from weft.llm.common import bound
 SHINGLE = 5
 #: Share of a template's shingles that its place in the text must hold.
 CONTAINMENT = 0.8
-#: Slots at most of the table that is asked first whether a signature is of a template.
+#: Slots at most of the table of index values that every shingle is looked up in.
 MOST_SLOTS = 1 << 16
 #: Shingles of a part of a text, a multiple of all strides.
 PART_SHINGLES = 512
@@ -282,8 +282,10 @@ def _long_places(docs: DataFrame, long: DataFrame) -> DataFrame:
     """doc_id, at, license_id, containment: the share of every template that a window retrieves, around the window."""
     index = checkpointed(_index(long))
     slots = min(MOST_SLOTS, 1 << (16 * index.count() - 1).bit_length())
-    low = {r.low for r in index.select(F.col("value").bitwiseAND(F.lit(slots - 1)).alias("low")).distinct().collect()}
-    table = F.from_json(F.lit(json.dumps([int(i in low) for i in range(slots)])), "array<int>")
+    held: list[list[int] | None] = [None] * slots
+    for r in index.select("value").distinct().collect():  # of the templates, which came from the driver
+        held[r.value & (slots - 1)] = [*(held[r.value & (slots - 1)] or []), r.value]
+    table = F.from_json(F.lit(json.dumps(held)), "array<array<bigint>>")
     hashed = docs.select("doc_id", shingles_of(words_of(F.col("text"))).alias("h"))
     margin = long.agg(F.max("n_words").alias("n")).first().n
     # A window's signature is the hash of one of its shingles: where no shingle has an index value, none is retrieved.
@@ -291,7 +293,7 @@ def _long_places(docs: DataFrame, long: DataFrame) -> DataFrame:
     part = lambda at: F.floor((at - 1) / PART_SHINGLES).cast("int")
 
     def in_table(slots_: Column, value: Column) -> Column:
-        return F.get(slots_, value.bitwiseAND(F.lit(slots - 1)).cast("int")) == 1
+        return F.array_contains(F.get(slots_, value.bitwiseAND(F.lit(slots - 1)).cast("int")), value)
 
     def parts(slots_: Column) -> Column:
         places = F.filter(_starts(F.col("h"), 1), lambda at: in_table(slots_, F.get("h", at - 1)))
@@ -305,7 +307,8 @@ def _long_places(docs: DataFrame, long: DataFrame) -> DataFrame:
         shingles = F.slice("h", begin, own - begin + (1 + widest + 2 * margin))
         return F.struct(begin.alias("begin"), (number * PART_SHINGLES + 1).alias("first"), own.alias("last"), shingles.alias("h"))
 
-    cut = hashed.select("doc_id", F.explode(bound(table, parts)).alias("p")).select("doc_id", "p.*")
+    # explode() would look at its array twice, first for its size, and compute the text's shingles for it each time.
+    cut = hashed.select("doc_id", F.explode_outer(bound(table, parts)).alias("p")).where("p IS NOT NULL").select("doc_id", "p.*")
 
     def known(slots_: Column) -> Column:
         found = []
@@ -314,7 +317,7 @@ def _long_places(docs: DataFrame, long: DataFrame) -> DataFrame:
             found.append(_signatures(F.col("h"), n, lambda value: in_table(slots_, value), starts))
         return F.concat(*found)
 
-    signatures = cut.select("doc_id", "begin", "h", F.explode(bound(table, known)).alias("s"))
+    signatures = cut.select("doc_id", "begin", "h", F.explode_outer(bound(table, known)).alias("s")).where("s IS NOT NULL")
     hits = signatures.select("doc_id", "begin", "h", "s.*").join(bounded(index), ["band", "value"])
     from_ = F.greatest(F.col("at") - F.col("n_words"), F.lit(1))
     region = F.slice("h", from_, F.lit(widest) + 2 * F.col("n_words"))
