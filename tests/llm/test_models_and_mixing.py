@@ -420,3 +420,19 @@ def test_empty_tables(spark):
         assert result.collect() == []
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).collect() == []
+
+
+def test_languages_licenses_and_mixes_of_null_and_repeated_ids(spark):
+    notice = "Licensed under the MIT License."
+    rows = documents()
+    rows += [(None, rows[5][1], "en", "src0", 0), (None, notice, None, None, 0), (None, None, None, None, 0), rows[8], rows[8]]
+    docs = frame(spark, rows)
+    languages = langid.identify_documents(docs).collect()
+    assert len(languages) == len(rows) and sum(r.doc_id is None for r in languages) == 3
+    repeated = [r for r in languages if r.doc_id == rows[8][0]]
+    assert len(repeated) == 3 and len(set(repeated)) == 1
+    found = {r.doc_id: r.license_id for r in license_scan.scan(docs).collect()}
+    assert found[None] == "MIT"
+    mixed = mixing.mix_documents(docs).collect()
+    assert len(mixed) == len(rows) and all(r.taken <= 2 * r["size"] for r in mixed)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in mixed) == sorted((r[0] is None, r[0] or 0) for r in rows)
