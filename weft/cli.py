@@ -47,8 +47,8 @@ def run(spark: SparkSession, arguments: list[str]) -> dict[str, DataFrame]:
         profiles = normalise_profiles(profiles, statistics)
     packed = A.pack_profiles(profiles)
     if options.a3m_pairwise:
-        first = packed.orderBy("seq_ord").first()
-        query = A.unpack(first.name, first.columns)
+        first = packed.select("seq_ord", "name").orderBy("seq_ord").first()
+        query = A.one_profile(packed.where(F.col("seq_ord") == first.seq_ord))
         found = A.a3m_search(query, packed.where(F.col("seq_ord") > first.seq_ord), options)
         head = spark.createDataFrame([(first.seq_ord, first.name, query.residues[0])], "seq_ord int, name string, a3m string")
         lines = sinks.fasta_lines(head.unionByName(found.select("seq_ord", "name", "a3m")), "a3m")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
 import sys
 
 import numpy as np
@@ -13,27 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from weft.lineage import BATCH_BYTES as BATCH_BYTES, small_batches
+
 #: The white space of the word contracts: space, \t, \n, \v, \f, \r.
 SPACE = r"[\x20\x09-\x0D]"
 
 #: Name under which a worker process keeps its token encoders.
 ENCODERS = "_weft_encoders"
 
-#: Bytes of an Arrow batch that a task exchanges with Python, about.
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark) -> None:
-    """Arrow batches of at most BATCH_BYTES, from here on in this session.
-
-    A batch is held several times over by the executor and by Python; by
-    default it may have 64 MB.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    size = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
-    if size is None or not 0 < int(size[1]) <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
 
 def release_memory() -> None:
     """Give back what a task has freed: an idle Python worker would keep it."""
