@@ -42,6 +42,12 @@ def test_malformed_gmat(spark, tmp_path, broken):
         text.read_gmat(spark, [str(tmp_path / "x.gmat")]).collect()
 
 
+def test_no_row_of_a_position_carries_all_states_of_its_record(spark, files):
+    plan = text.read_gmat(spark, [str(files / "one.gmat"), str(files / "two.gmat.gz")])._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate posexplode(CASE")]
+    assert "rows#" not in above and "states#" not in above
+
+
 def test_record_without_header(spark, tmp_path):
     (tmp_path / "x.gmat").write_text("A 1 2\n>y\nC 3 4\n")
     names = text.read_gmat(spark, [str(tmp_path / "x.gmat")]).where("residue IS NOT NULL").orderBy("seq_ord").collect()

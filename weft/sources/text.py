@@ -135,26 +135,29 @@ def parse_profiles(records: DataFrame) -> DataFrame:
     Wrong numbers of fields raise an error.
     """
     tokens = lambda x: F.split(F.trim(x), r"\s+")
+    numbers = lambda x: F.transform(F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), lambda v: v.cast("float"))
     residues = F.filter("lines", lambda x: ~x.startswith("@"))
     states = F.filter("lines", lambda x: x.startswith("@"))
-    rows = F.transform(residues, tokens)
-    numbers = lambda x: F.transform(F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), lambda v: v.cast("float"))
-    packed = records.select("seq_ord", "name", rows.alias("rows"), F.transform(F.transform(states, tokens), numbers).alias("states"))
-    width = F.size(F.get("rows", F.lit(0)))
-    wrong = (
-        F.exists("rows", lambda x: F.size(x) != width)
-        | F.exists("rows", lambda x: F.length(F.get(x, F.lit(0))) != 1)
-        | ((F.size("states") > 0) & (F.size("states") != F.size("rows") + 1))
-        | F.exists("states", lambda x: F.size(x) != 4)
-    )
-    checked = packed.withColumn("rows", F.when(~wrong, F.col("rows")).otherwise(F.raise_error(F.concat(F.lit("malformed record "), "name")).cast("array<array<string>>")))
-    end = F.array(F.lit(None).cast("string"))
-    columns = checked.select("seq_ord", "name", "states", width.alias("width"), F.posexplode(F.concat("rows", F.array(end))).alias("pos", "row"))
-    vec = F.when(F.get("row", F.lit(0)).isNull(), F.array_repeat(F.lit(0).cast("float"), F.col("width") - 1)).otherwise(numbers(F.col("row")))
-    state = F.get("states", F.col("pos"))
-    return columns.select(
-        "seq_ord", "name", "pos", F.get("row", F.lit(0)).alias("residue"), vec.alias("vec"),
-        *[F.coalesce(F.get(state, F.lit(i)), F.lit(x).cast("float")).alias(n) for i, (n, x) in enumerate(DEFAULT_STATE)],
+    packed = records.select("seq_ord", "name", residues.alias("rows"), states.alias("states"))
+    counted = (F.size("states") == 0) | (F.size("states") == F.size("rows") + 1)
+    malformed = lambda kind: F.raise_error(F.concat(F.lit("malformed record "), "name")).cast(kind)
+    # A line goes on alone, beside its own state and the width: lines are taken apart in rows of their own, which carry no others.
+    widths = F.array_repeat(F.size(tokens(F.get("rows", F.lit(0)))), F.size("rows") + 1)
+    line = F.arrays_zip(F.concat("rows", F.array(F.lit(None).cast("string"))).alias("row"), "states", widths.alias("width"))
+    lines = packed.select(
+        "seq_ord", "name",
+        F.posexplode(F.when(counted, line).otherwise(malformed("array<struct<row:string,states:string,width:int>>"))).alias("pos", "line"),
+    ).select("seq_ord", "name", "pos", F.col("line.width").alias("width"), tokens(F.col("line.row")).alias("row"), numbers(tokens(F.col("line.states"))).alias("state"))
+    wrong = F.col("row").isNotNull() & ((F.size("row") != F.col("width")) | (F.length(F.get("row", F.lit(0))) != 1))
+    lines = lines.withColumns({
+        "row": F.when(wrong, malformed("array<string>")).otherwise(F.col("row")),
+        "state": F.when(F.col("state").isNotNull() & (F.size("state") != 4), malformed("array<float>")).otherwise(F.col("state")),
+    })
+    residue = F.get("row", F.lit(0))
+    vec = F.when(F.col("row").isNull(), F.array_repeat(F.lit(0).cast("float"), F.col("width") - 1)).otherwise(numbers(F.col("row")))
+    return lines.select(
+        "seq_ord", "name", "pos", residue.alias("residue"), vec.alias("vec"),
+        *[F.coalesce(F.get("state", F.lit(i)), F.lit(x).cast("float")).alias(n) for i, (n, x) in enumerate(DEFAULT_STATE)],
     )
 
 
