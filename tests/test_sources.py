@@ -48,6 +48,14 @@ def test_no_row_of_a_position_carries_all_states_of_its_record(spark, files):
     assert "rows#" not in above and "states#" not in above
 
 
+def test_fasta_is_read_without_python_workers(spark, tmp_path):
+    (tmp_path / "a.fas").write_text(">a x\nMK\n>b\nAC\n")
+    rows = text.read_fasta(spark, [str(tmp_path / "a.fas")])
+    names = [rdd for rdd in rows._jdf.queryExecution().toRdd().toDebugString().splitlines() if "Python" in rdd]
+    assert not names and "ExistingRDD" not in text._in_order(text._text(spark, [str(tmp_path / "a.fas")]).select(F.input_file_name().alias("path")), [str(tmp_path / "a.fas")])._jdf.queryExecution().toString()
+    assert [r.seq for r in rows.orderBy("ord").collect()] == ["MK", "AC"]
+
+
 def test_record_without_header(spark, tmp_path):
     (tmp_path / "x.gmat").write_text("A 1 2\n>y\nC 3 4\n")
     names = text.read_gmat(spark, [str(tmp_path / "x.gmat")]).where("residue IS NOT NULL").orderBy("seq_ord").collect()

@@ -51,7 +51,8 @@ def _in_order(files: DataFrame, paths: list[str]) -> DataFrame:
     if len({_tail(p) for p in paths}) < len(paths):
         raise ValueError("a file is listed twice")
     # The list of paths is short: it came from the command line or a list file.
-    order = files.sparkSession.createDataFrame([(i, _tail(p)) for i, p in enumerate(paths)], "file_ord int, tail string")
+    # As literals it needs no Python worker.
+    order = files.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(_tail(p)) for p in paths])).alias("file_ord", "tail"))
     named = files.join(F.broadcast(order), F.expr("endswith(url_decode(path), tail)"))
     return named.select("file_ord", *[c for c in files.columns if c != "path"])
 
