@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import vectors as V
 from weft.functions.dynamic import align_and_merge
+from weft.lineage import checkpointed
 from weft.operators import alignment as A, multiple, stats, strings
 from weft.options import AlignOptions
 from weft.sources import sinks, text
@@ -317,6 +318,13 @@ def by_steps(profiles, steps, options):
     return {name: (p.aligned(k), round(score, 6)) for p, score in held.values() for k, name in enumerate(p.names)}, {p.names[0] for p, _ in held.values()}
 
 
+def test_pairs_of_profiles_are_made_without_a_task_for_each_pair_of_partitions(spark):
+    packed, _ = random_profiles(spark, 5, 4)
+    pairs = A.all_pairs(checkpointed(A.profile_blobs(packed)))
+    assert "CartesianProduct" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, pairs.collect())) == [(2 * a, 2 * b) for a in range(5) for b in range(a + 1, 5)]
+
+
 @pytest.mark.parametrize("kind", ["NJ", "UPGMA", "fold", "edges"])
 def test_merges_in_tasks_equal_merges_of_whole_profiles(spark, monkeypatch, kind):
     monkeypatch.setattr(multiple, "TASK_INPUTS", 3)

@@ -135,8 +135,17 @@ def of_pairs(blobs: DataFrame, pairs: DataFrame, compute, schema: str) -> DataFr
 def of_all_pairs(packed: DataFrame, compute, schema: str) -> DataFrame:
     """The same for all pairs a < b of packed rows."""
     blobs = checkpointed(profile_blobs(packed))
+    return of_pairs(blobs, checkpointed(all_pairs(blobs)), compute, schema)
+
+
+def all_pairs(blobs: DataFrame) -> DataFrame:
+    """a, b: all pairs a < b of nodes of checkpointed blobs.
+
+    One side is broadcast, so there are as many tasks as partitions; a
+    cartesian product has as many as pairs of partitions.
+    """
     a, b = blobs.select(F.col("node").alias("a")), blobs.select(F.col("node").alias("b"))
-    return of_pairs(blobs, checkpointed(a.join(b, F.col("a") < F.col("b"))), compute, schema)
+    return a.join(bounded(b), F.col("a") < F.col("b"))
 
 
 def pair_scores(packed: DataFrame, options: AlignOptions) -> DataFrame:
